@@ -11,7 +11,6 @@ NULL_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-_WHOLE = r"^\s*[+-]?\d+\s*$"
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 _INFINITY = r"(?i)^\s*[+-]?inf(inity)?\s*$"
 _TIMESTAMP = r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$"
@@ -35,7 +34,7 @@ def whole(c: Column) -> Column:
         .when((F.rint(number) == number) & (F.abs(number) < _LONG_LIMIT), number.cast("bigint"))
         .otherwise(F.raise_error(F.concat(F.lit("not a whole number: "), c)).cast("bigint"))
     )
-    return F.coalesce(F.when(c.rlike(_WHOLE), c.try_cast("bigint")), from_real)
+    return F.coalesce(c.try_cast("bigint"), from_real)
 
 
 def timestamp(c: Column) -> Column:

@@ -3,24 +3,22 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_PER_UNIT = 1_000_000
-# Below this many units the total in millionths is still exact as a double.
-_EXACT_UNITS = 9_000_000_000
 
-
-def money_sum(amount: Column) -> Column:
-    """Sum of doubles, exact to the millionth, the same in whatever order rows arrive.
+def money_sum(amount: str) -> Column:
+    """Sum of a double column, exact to the millionth, the same in whatever order rows arrive.
 
     Adds whole units and millionths as two longs. That costs about as much as a double sum
     (a decimal cast costs several times more) and does not change when a lost executor's
-    tasks are run again in another order. NaN, infinities and amounts beyond the long range
-    are added as doubles.
+    tasks are run again in another order. NaN, infinities and single amounts of 10^15 and
+    more are added as doubles.
     """
-    units = amount.try_cast("bigint")
-    millionths = F.rint((amount - units) * F.lit(float(_PER_UNIT))).cast("bigint")
-    whole, part = F.sum(units), F.sum(millionths)
-    exact = F.when(
-        F.abs(whole) < _EXACT_UNITS, (whole * _PER_UNIT + part) / float(_PER_UNIT)
-    ).otherwise(whole + part / float(_PER_UNIT))
-    beyond = F.sum(F.when(units.isNull(), amount))
-    return F.when(beyond.isNull(), exact).otherwise(F.coalesce(exact, F.lit(0.0)) + beyond)
+    units = f"CASE WHEN abs({amount}) < 1e15D THEN CAST({amount} AS bigint) END"
+    whole = f"sum({units})"
+    part = f"sum(CAST(rint(({amount} - {units}) * 1e6D) AS bigint))"
+    beyond = f"sum(CASE WHEN abs({amount}) >= 1e15D THEN {amount} END)"
+    # Below nine thousand million units the total in millionths is exact as a double.
+    exact = f"""
+        CASE WHEN abs({whole}) < 9000000000 THEN ({whole} * 1000000 + {part}) / 1e6D
+             ELSE {whole} + {part} / 1e6D END"""
+    return F.expr(f"""
+        CASE WHEN {beyond} IS NULL THEN {exact} ELSE coalesce({exact}, 0D) + {beyond} END""")

@@ -22,7 +22,7 @@ def kpi_delivery_by_state(fct_delivery: DataFrame) -> DataFrame:
 
 def kpi_top_sellers(fct_sellers: DataFrame) -> DataFrame:
     """The ten sellers of most revenue; equal revenue goes by seller id."""
-    revenue = F.round(money_sum(F.col("item_gross_revenue")), 2)
+    revenue = F.round(money_sum("item_gross_revenue"), 2)
     return (
         fct_sellers.groupBy("seller_id")
         .agg(revenue.alias("total_seller_revenue"))
@@ -53,7 +53,7 @@ def kpi_summary(fct_orders: DataFrame, fct_delivery: DataFrame) -> DataFrame:
     )
     return sales.unionAll(delivery).agg(
         F.sum("total_orders").alias("total_orders"),
-        F.round(money_sum(F.col("total_revenue")) / 1e6, 2).alias("total_revenue_millions"),
+        F.round(money_sum("total_revenue") / 1e6, 2).alias("total_revenue_millions"),
         F.round(F.avg("avg_days"), 1).alias("avg_delivery_days"),
     )
 
@@ -61,7 +61,7 @@ def kpi_summary(fct_orders: DataFrame, fct_delivery: DataFrame) -> DataFrame:
 def _by_month(fct_orders: DataFrame) -> DataFrame:
     return fct_orders.groupBy(month_start(F.col("purchased_at")).alias("month")).agg(
         F.count_distinct("order_id").alias("total_orders"),
-        F.round(money_sum(F.col("total_order_revenue")), 2).alias("total_revenue"),
+        F.round(money_sum("total_order_revenue"), 2).alias("total_revenue"),
     )
 
 

@@ -38,7 +38,7 @@ def fct_seller_revenue(
 
 def order_payments_sum(payments: DataFrame) -> DataFrame:
     return payments.groupBy("order_id").agg(
-        money_sum(F.col("payment_value")).alias("total_order_revenue")
+        money_sum("payment_value").alias("total_order_revenue")
     )
 
 

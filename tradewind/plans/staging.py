@@ -1,11 +1,8 @@
 """Staging models: cleaned names over the raw tables, rows without a key left out."""
 
 from dataclasses import dataclass, field
-from functools import reduce
-from operator import and_
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -96,13 +93,12 @@ STAGING = {
 def stage(model: str, raw: DataFrame) -> DataFrame:
     """The staging model over its raw table."""
     staging = STAGING[model]
-    has_keys = reduce(and_, [F.col(key).isNotNull() for key in staging.keys])
+    has_keys = " AND ".join(f"{key} IS NOT NULL" for key in staging.keys)
     renamed = rename(model, raw.where(has_keys))
     return renamed.fillna(staging.defaults) if staging.defaults else renamed
 
 
 def rename(model: str, raw: DataFrame) -> DataFrame:
     """Staged names over every raw row, for running the checks on the raw tables."""
-    return raw.select(
-        *[F.col(source).alias(name) for name, source in STAGING[model].columns.items()]
-    )
+    columns = STAGING[model].columns.items()
+    return raw.selectExpr(*[f"{source} AS {name}" for name, source in columns])

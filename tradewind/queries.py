@@ -198,9 +198,10 @@ def _delete_month_stored(spark, sf_dir):
 
 
 def _reload_month(spark, sf_dir):
-    """Loading a month that is there already, and again, leaves the table as it was."""
-    warehouse = _loaded(spark, sf_dir, "orders")
-    reload_months(spark, warehouse, "orders", [MONTH])
+    """Loading a month that is there already leaves the table as it was."""
+    warehouse = _landed(spark, sf_dir, "orders")
+    months = landed_months(spark, warehouse, "orders")
+    reload_months(spark, warehouse, "orders", months)
     reload_months(spark, warehouse, "orders", [MONTH])
     return read_raw(spark, warehouse, "orders")
 
@@ -284,25 +285,27 @@ def _landed(spark, sf_dir, *tables: str) -> Warehouse:
     """A fresh warehouse whose landing area has the tables."""
     warehouse = Warehouse(scratch_dir(spark))
     for table in tables:
-        df, path = raw_table(spark, sf_dir, table), warehouse.landing(table)
-        if table in MONTH_KEY:
-            write_months(with_month(df, table), path, PARTITION_MONTH)
-        else:
-            write_table(df, path)
+        _store(spark, sf_dir, table, warehouse.landing(table))
     return warehouse
 
 
 def _loaded(spark, sf_dir, *tables: str) -> Warehouse:
-    """A fresh warehouse whose raw tables are loaded."""
-    warehouse = _landed(spark, sf_dir, *tables)
-    jobs.load_static(spark, warehouse, tuple(t for t in tables if t not in MONTH_KEY))
+    """A fresh warehouse whose raw tables are there."""
+    warehouse = Warehouse(scratch_dir(spark))
     for table in tables:
-        if table in MONTH_KEY:
-            months = landed_months(spark, warehouse, table)
-            reload_months(spark, warehouse, table, months)
+        _store(spark, sf_dir, table, warehouse.raw(table))
     return warehouse
 
 
+def _store(spark, sf_dir, table: str, path: str) -> None:
+    df = raw_table(spark, sf_dir, table)
+    if table in MONTH_KEY:
+        write_months(with_month(df, table), path, PARTITION_MONTH)
+    else:
+        write_table(df, path)
+
+
+
 def _as_text(df: DataFrame) -> DataFrame:
     """Every column as a CSV file has it; times to the second."""
     return df.select(

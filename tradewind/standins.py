@@ -5,7 +5,7 @@ An order counts as delivered with status ``F``; its delivery is its last ship da
 
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.operators.joins import left_join_totals
@@ -26,13 +26,11 @@ def raw_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
         path = f"{sf_dir}/{name}.parquet"
         return spark.read.schema(_file_schema(spark, path)).parquet(path)
 
-    source, columns = _MAPPINGS[table](read)
-    declared = RAW_COLUMNS[table]
-    return source.select(*[columns[name].cast(kind).alias(name) for name, kind in declared.items()])
-
-
-def raw_tables(spark: SparkSession, sf_dir: str, *tables: str) -> list[DataFrame]:
-    return [raw_table(spark, sf_dir, table) for table in tables]
+    declared = RAW_COLUMNS[table].items()
+    mapped = zip(declared, _COLUMNS[table], strict=True)
+    return _SOURCES[table](read).selectExpr(
+        *[f"CAST({value} AS {kind}) AS {name}" for (name, kind), value in mapped]
+    )
 
 
 @lru_cache
@@ -41,83 +39,53 @@ def _file_schema(spark: SparkSession, path: str):
     return spark.read.parquet(path).schema
 
 
-def _columns(table: str, *values: Column | str) -> dict[str, Column]:
-    named = zip(RAW_COLUMNS[table], values, strict=True)
-    return {name: F.col(v) if isinstance(v, str) else v for name, v in named}
-
-
 def _orders(read):
     last_shipped = (
         read("lineitem")
         .groupBy(F.col("l_orderkey").alias("o_orderkey"))
         .agg(F.max("l_shipdate").alias("last_shipped"))
     )
-    source = left_join_totals(read("orders"), last_shipped, "o_orderkey")
-    return source, _columns(
-        "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate",
-        F.lit(None), F.lit(None), "last_shipped", F.lit(None),
-    )
+    return left_join_totals(read("orders"), last_shipped, "o_orderkey")
 
 
-def _order_reviews(read):
-    return read("events"), _columns(
-        "order_reviews", "event_id", "user_id", "value", "event_type", "props", "ts", "ts"
-    )
-
+_SOURCES = {
+    "orders": _orders,
+    "order_reviews": lambda read: read("events"),
+    "order_items": lambda read: read("lineitem"),
+    "order_payments": lambda read: read("lineitem"),
+    "customers": lambda read: read("customer").join(
+        read("nation"), F.expr("c_nationkey = n_nationkey"), "left"
+    ),
+    "sellers": lambda read: read("supplier").join(
+        read("nation"), F.expr("s_nationkey = n_nationkey"), "left"
+    ),
+    "products": lambda read: read("part"),
+    "geolocation": lambda read: read("nation").join(
+        read("region"), F.expr("n_regionkey = r_regionkey"), "left"
+    ),
+    "category_translation": lambda read: read("part").select("p_type").distinct(),
+}
 
-def _order_items(read):
-    return read("lineitem"), _columns(
-        "order_items", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
+# What fills the columns of each raw table, in their declared order.
+_COLUMNS = {
+    "orders": (
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate", "NULL", "NULL",
+        "last_shipped", "NULL",
+    ),
+    "order_reviews": ("event_id", "user_id", "value", "event_type", "props", "ts", "ts"),
+    "order_items": (
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
         "l_extendedprice", "l_tax",
-    )
-
-
-def _order_payments(read):
-    return read("lineitem"), _columns(
-        "order_payments", "l_orderkey", "l_linenumber", "l_returnflag", "l_quantity",
-        "l_extendedprice",
-    )
-
-
-def _customers(read):
-    source = read("customer").join(read("nation"), F.expr("c_nationkey = n_nationkey"), "left")
-    return source, _columns(
-        "customers", "c_custkey", "c_name", "c_nationkey", "c_mktsegment", "n_name"
-    )
-
-
-def _sellers(read):
-    source = read("supplier").join(read("nation"), F.expr("s_nationkey = n_nationkey"), "left")
-    return source, _columns("sellers", "s_suppkey", "s_nationkey", "s_name", "n_name")
-
-
-def _products(read):
-    return read("part"), _columns(
-        "products", "p_partkey", "p_type", F.length("p_name"), F.lit(None), "p_size",
-        "p_retailprice", F.lit(None), F.lit(None), F.lit(None),
-    )
-
-
-def _geolocation(read):
-    source = read("nation").join(read("region"), F.expr("n_regionkey = r_regionkey"), "left")
-    return source, _columns(
-        "geolocation", "n_nationkey", F.lit(None), F.lit(None), "n_name", "r_name"
-    )
-
-
-def _category_translation(read):
-    source = read("part").select("p_type").distinct()
-    return source, _columns("category_translation", "p_type", F.upper("p_type"))
-
-
-_MAPPINGS = {
-    "orders": _orders,
-    "order_reviews": _order_reviews,
-    "order_items": _order_items,
-    "order_payments": _order_payments,
-    "customers": _customers,
-    "sellers": _sellers,
-    "products": _products,
-    "geolocation": _geolocation,
-    "category_translation": _category_translation,
+    ),
+    "order_payments": (
+        "l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_extendedprice",
+    ),
+    "customers": ("c_custkey", "c_name", "c_nationkey", "c_mktsegment", "n_name"),
+    "sellers": ("s_suppkey", "s_nationkey", "s_name", "n_name"),
+    "products": (
+        "p_partkey", "p_type", "length(p_name)", "NULL", "p_size", "p_retailprice", "NULL",
+        "NULL", "NULL",
+    ),
+    "geolocation": ("n_nationkey", "NULL", "NULL", "n_name", "r_name"),
+    "category_translation": ("p_type", "upper(p_type)"),
 }
