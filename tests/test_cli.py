@@ -1,0 +1,63 @@
+"""The command line over CSV files, from ingest to the KPI tables, and the scratch folder."""
+
+import pytest
+from marketplace import customers, items, orders, payments, reviews
+from pyspark.sql import functions as F
+
+from tradewind.__main__ import main
+from tradewind.functions.dates import month_of
+from tradewind.schemas import RAW_COLUMNS, struct
+from tradewind.session import scratch_dir
+
+
+def write_csv(df, path):
+    text = [
+        F.substring(F.col(c).cast("string"), 1, 19).alias(c) if kind == "timestamp_ntz"
+        else F.col(c).cast("string")
+        for c, kind in df.dtypes
+    ]
+    df.select(*text).write.option("header", True).csv(str(path))
+
+
+def test_whole_pipeline(spark, tmp_path, capsys):
+    frames = {
+        "orders": orders(spark),
+        "order_reviews": reviews(spark, ("r1", "2017-01-09 00:00")),
+        "order_items": items(spark),
+        # The fixture's missing amount would rightly stop the static load.
+        "order_payments": payments(spark).fillna(0.0),
+        "customers": customers(spark),
+        "sellers": spark.createDataFrame([("s1", "1", "x", "SP")], struct(RAW_COLUMNS["sellers"])),
+        "products": spark.createDataFrame(
+            [("p1", None, 1, 2, 3, 1.0, 1.0, 1.0, 1.0)], struct(RAW_COLUMNS["products"])
+        ),
+        "geolocation": spark.createDataFrame([], struct(RAW_COLUMNS["geolocation"])),
+        "category_translation": spark.createDataFrame(
+            [("a", "b")], struct(RAW_COLUMNS["category_translation"])
+        ),
+    }
+    for table, df in frames.items():
+        write_csv(df, tmp_path / "csv" / f"{table}.csv")
+    root = str(tmp_path / "warehouse")
+    for command in (["ingest", str(tmp_path / "csv")], ["load-static"], ["backfill"]):
+        main(["--root", root, *command])
+    main(["--root", root, "run-month", "2017-02-01"])
+    capsys.readouterr()
+    main(["--root", root, "kpi"])
+    printed = capsys.readouterr().out.split("\n\n")
+    assert printed[0].split("\n")[1].split() == ["5", "0.0", "5.3"]
+    assert [line.split() for line in printed[1].split("\n")[1:]] == [
+        ["2017-01", "2", "35.30"], ["2017-02", "3", "7.25"],
+    ]
+
+
+def test_month_argument():
+    assert month_of("2017-03-01") == "2017-03"
+    with pytest.raises(ValueError, match="month must look like"):
+        month_of("March 2017")
+
+
+def test_scratch_folder_lies_in_the_shared_one(spark):
+    shared = spark.conf.get("spark.checkpoint.dir")
+    one, other = scratch_dir(spark), scratch_dir(spark)
+    assert one.startswith(shared) and one != other

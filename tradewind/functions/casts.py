@@ -11,9 +11,14 @@ NULL_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-_NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
-_INFINITY = r"(?i)^\s*[+-]?inf(inity)?\s*$"
-_TIMESTAMP = r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d$"
+# Numbers too short to leave the double range, then numbers of any length.
+_USUAL_NUMBER = r"^\s*[+-]?(\d{1,200}(\.\d*)?|\.\d+)([eE][+-]?\d{1,2})?\s*\z"
+_NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*\z"
+_INFINITY = r"(?i)^[+-]?inf(inity)?\z"
+_TIMESTAMP = r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\z"
+_LOOSE_TIMESTAMP = r"^\d{4}-\d{1,2}-\d{1,2}\s+\d{1,2}:\d{1,2}:\d{1,2}\z"
+# The whole seconds a 64-bit count of nanoseconds can hold.
+_FIRST_TIME, _LAST_TIME = "1677-09-21 00:12:44", "2262-04-11 23:47:16"
 _LONG_LIMIT = float(2**63)
 
 
@@ -22,8 +27,15 @@ def text(c: Column) -> Column:
 
 
 def real(c: Column) -> Column:
-    """Double. The pattern keeps out forms such as ``3d`` that only Spark reads as numbers."""
-    return F.when(c.rlike(_NUMBER) | c.rlike(_INFINITY), c.try_cast("double"))
+    """Double. The patterns keep out forms such as ``3d`` that only Spark reads as numbers.
+
+    Infinity has to be spelled out; a number beyond the double range is unreadable.
+    """
+    number = c.try_cast("double")
+    finite = F.abs(number) < F.lit(float("inf"))
+    return F.when(c.rlike(_USUAL_NUMBER) | c.rlike(_INFINITY), number).when(
+        c.rlike(_NUMBER) & finite, number
+    )
 
 
 def whole(c: Column) -> Column:
@@ -38,8 +50,18 @@ def whole(c: Column) -> Column:
 
 
 def timestamp(c: Column) -> Column:
-    """Zone-less timestamp from ``YYYY-MM-DD HH:MM:SS``; never by way of the session zone."""
-    return F.when(c.rlike(_TIMESTAMP), c.try_cast("timestamp_ntz"))
+    """Zone-less timestamp from ``YYYY-MM-DD HH:MM:SS``; never by way of the session zone.
+
+    Single digits and wider gaps are read too; dates alone, fractions and times that do not
+    fit a nanosecond count are unreadable.
+    """
+    loose = F.regexp_replace(c, r"\s+", " ").try_cast("timestamp_ntz")
+    first, last = (F.lit(t).cast("timestamp_ntz") for t in (_FIRST_TIME, _LAST_TIME))
+    return F.when(
+        c.rlike(_TIMESTAMP),
+        # In this form the order of the texts is the order of the times.
+        F.when(c.between(_FIRST_TIME, _LAST_TIME), c.try_cast("timestamp_ntz")),
+    ).when(c.rlike(_LOOSE_TIMESTAMP), F.when(loose.between(first, last), loose))
 
 
 _CASTS = {"string": text, "bigint": whole, "double": real, "timestamp_ntz": timestamp}

@@ -31,7 +31,7 @@ def reload_months(
 
     A month that has not landed ends up empty. All months that have landed go through one job.
     """
-    arrived = sorted(set(months) & set(landed_months(spark, warehouse, table)))
+    arrived = landed_months(spark, warehouse, table, among=months)
     if arrived:
         landed = read_months(spark, warehouse.landing(table), table, arrived)
         overwrite_months(landed, warehouse.raw(table), PARTITION_MONTH, spread=False)

@@ -56,7 +56,7 @@ def clear_months(
         return
     columns = T.StructType([field for field in schema if field.name != month_column])
     empty = spark.createDataFrame([], columns)
-    for month in months.intersection(stored_months(spark, path, schema, month_column)):
+    for month in stored_months(spark, path, schema, month_column, among=months):
         empty.write.mode("overwrite").parquet(f"{path}/{month_column}={month}")
 
 

@@ -1,5 +1,6 @@
 """Where tables lie, and reading them with their declared schema."""
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -57,19 +58,28 @@ def read_months(spark: SparkSession, path: str, table: str, months: list[str]) -
 
 
 def stored_months(
-    spark: SparkSession, path: str, schema: T.StructType, month_column: str
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType,
+    month_column: str,
+    among: Iterable[str] | None = None,
 ) -> list[str]:
     """Months that have rows in a stored table, oldest first; none where nothing is stored.
 
-    Reads the month directories, not the columns, and returns one value per month.
+    Reads no column, only the directories of the months asked for, and returns one value
+    per month.
     """
     df = read_existing(spark, path, schema)
     if df is None:
         return []
-    months = df.select(month_column).where(F.col(month_column).isNotNull()).distinct()
-    return sorted(row[0] for row in months.collect())
+    month = F.col(month_column)
+    wanted = month.isNotNull() if among is None else month.isin(*among)
+    return sorted(row[0] for row in df.where(wanted).select(month).distinct().collect())
 
 
-def landed_months(spark: SparkSession, warehouse: Warehouse, table: str) -> list[str]:
+def landed_months(
+    spark: SparkSession, warehouse: Warehouse, table: str, among: Iterable[str] | None = None
+) -> list[str]:
     """Months waiting in the landing area."""
-    return stored_months(spark, warehouse.landing(table), raw_schema(table), PARTITION_MONTH)
+    path, schema = warehouse.landing(table), raw_schema(table)
+    return stored_months(spark, path, schema, PARTITION_MONTH, among)
