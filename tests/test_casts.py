@@ -7,17 +7,17 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tradewind.functions import casts
-from tradewind.functions.casts import cast_columns
+from tradewind.functions.casts import cast_columns, cast_text
 from tradewind.plans import jobs
 from tradewind.sources.csv import read_table_csv
 from tradewind.sources.warehouse import Warehouse, landed_months, read_declared
 from tradewind.schemas import raw_schema
 
 
-def one(spark, cast, value):
-    df = spark.createDataFrame([(value,)], "v string")
-    return df.select(cast(casts.text(df.v))).first()[0]
+def read(spark, values, kind):
+    """What the texts become as a column of the given type."""
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    return [row[0] for row in cast_text(df, {"v": kind}).collect()]
 
 
 def test_text_to_numbers(spark):
@@ -39,21 +39,22 @@ def test_text_to_numbers(spark):
         "01037": (1037, 1037.0, "01037"),
         "0x10": (None, None, "0x10"),
     }
-    df = spark.createDataFrame([(v,) for v in expected], "v string")
-    v = casts.text(df.v)
-    rows = df.select("v", casts.whole(v), casts.real(v), v).collect()
-    assert {row[0]: tuple(row[1:]) for row in rows} == expected
+    columns = [read(spark, expected, kind) for kind in ("bigint", "double", "string")]
+    assert list(zip(*columns, strict=True)) == list(expected.values())
 
 
 @pytest.mark.parametrize("value", ["5.5", "inf", "-Infinity", "1e30", "9" * 20])
 def test_fraction_or_infinity_is_no_whole_number(spark, value):
     with pytest.raises(Exception, match="not a whole number"):
-        one(spark, casts.whole, value)
+        read(spark, [value], "bigint")
+
+
+def test_number_beyond_the_double_range_is_unreadable(spark):
+    assert read(spark, ["1e400", "-1e400"], "bigint") == [None, None]
 
 
 def test_infinity_is_a_real_number(spark):
-    assert one(spark, casts.real, "inf") == float("inf")
-    assert one(spark, casts.real, "-Infinity") == float("-inf")
+    assert read(spark, ["inf", "-Infinity"], "double") == [float("inf"), float("-inf")]
 
 
 def test_text_to_timestamp(spark):
@@ -68,9 +69,7 @@ def test_text_to_timestamp(spark):
         "3": None,
         "bad": None,
     }
-    df = spark.createDataFrame([(v,) for v in expected], "v string")
-    rows = df.select("v", casts.timestamp(casts.text(df.v))).collect()
-    assert dict(tuple(row) for row in rows) == expected
+    assert read(spark, expected, "timestamp_ntz") == list(expected.values())
 
 
 NUMBERS = [
@@ -82,8 +81,7 @@ NUMBERS = [
 
 
 def test_numbers_read_as_pandas_reads_them(spark):
-    df = spark.createDataFrame([(v,) for v in NUMBERS], "v string")
-    actual = [row[0] for row in df.select(casts.real(casts.text(df.v))).collect()]
+    actual = read(spark, NUMBERS, "double")
     # One value at a time, beside a text, as in a column that is not numeric throughout.
     pairs = [pd.Series(["text", v], dtype=object) for v in NUMBERS]
     expected = [pd.to_numeric(pair, errors="coerce")[1] for pair in pairs]
@@ -103,8 +101,7 @@ TIMES = [
 
 
 def test_times_read_as_pandas_reads_them(spark):
-    df = spark.createDataFrame([(v,) for v in TIMES], "v string")
-    actual = [row[0] for row in df.select(casts.timestamp(casts.text(df.v))).collect()]
+    actual = read(spark, TIMES, "timestamp_ntz")
     column = pd.Series(["2017-01-01 00:00:00", *TIMES], dtype=object)
     expected = pd.to_datetime(column, errors="coerce")[1:]
     assert actual == [None if pd.isna(e) else e.to_pydatetime() for e in expected]

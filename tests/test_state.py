@@ -14,7 +14,7 @@ from tradewind.operators.months import (
 from tradewind.operators.quality import CheckFailed
 from tradewind.operators.writes import append_table, write_months, write_table
 from tradewind.plans import jobs
-from tradewind.schemas import MONTH_KEY, PARTITION_MONTH, mart_schema
+from tradewind.schemas import MONTH_KEY, PARTITION_MONTH, RAW_COLUMNS, mart_schema, struct
 from tradewind.sources.warehouse import (
     Warehouse,
     landed_months,
@@ -171,6 +171,15 @@ def test_jobs_end_to_end(spark, warehouse):
     assert spark.sql("SELECT sum(total_order_revenue) FROM fct_orders").first()[0] == 42.55
 
 
+def test_month_before_anything_landed(spark, warehouse):
+    load_statics(spark, warehouse)
+    jobs.run_month(spark, warehouse, "2016-12")
+    assert mart_ids(spark, warehouse) == []
+    land(warehouse, "orders", orders(spark, "o1"))
+    jobs.run_month(spark, warehouse, JAN)
+    assert mart_ids(spark, warehouse) == ["o1"]
+
+
 def test_failed_check_keeps_the_marts_unwritten(spark, warehouse):
     load_statics(spark, warehouse)
     twice = orders(spark, "o1").unionAll(orders(spark, "o1"))
@@ -183,8 +192,6 @@ def test_failed_check_keeps_the_marts_unwritten(spark, warehouse):
 
 def test_static_checks_run_on_loaded_tables(spark, warehouse):
     load_statics(spark, warehouse)
-    from tradewind.schemas import RAW_COLUMNS, struct
-
     for table in ("products", "sellers"):
         write_table(spark.createDataFrame([], struct(RAW_COLUMNS[table])), warehouse.raw(table))
     report = jobs.check_static(spark, warehouse)

@@ -11,9 +11,7 @@ NULL_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-# Numbers too short to leave the double range, then numbers of any length.
-_USUAL_NUMBER = r"^\s*[+-]?(\d{1,200}(\.\d*)?|\.\d+)([eE][+-]?\d{1,2})?\s*\z"
-_NUMBER = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*\z"
+_NUMBER = r"(?i)^(\s*[+-]?(\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?\s*|[+-]?inf(inity)?)\z"
 _INFINITY = r"(?i)^[+-]?inf(inity)?\z"
 _TIMESTAMP = r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\z"
 _LOOSE_TIMESTAMP = r"^\d{4}-\d{1,2}-\d{1,2}\s+\d{1,2}:\d{1,2}:\d{1,2}\z"
@@ -22,66 +20,88 @@ _FIRST_TIME, _LAST_TIME = "1677-09-21 00:12:44", "2262-04-11 23:47:16"
 _LONG_LIMIT = float(2**63)
 
 
-def text(c: Column) -> Column:
-    return F.when(~c.isin(*NULL_TOKENS), c)
+def cast_columns(df: DataFrame, table: str) -> DataFrame:
+    """Give the columns of ``table`` their declared types.
+
+    Declared columns that are absent are skipped, other columns and tables pass unchanged.
+    """
+    declared, present = RAW_COLUMNS.get(table, {}), dict(df.dtypes)
+    kinds = {
+        name: kind
+        for name, kind in declared.items()
+        if name in present and (kind == "string" or kind != present[name])
+    }
+    return cast_text(df, kinds) if kinds else df
 
 
-def real(c: Column) -> Column:
-    """Double. The patterns keep out forms such as ``3d`` that only Spark reads as numbers.
+def cast_text(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Columns read as text and cast to the given types.
 
-    Infinity has to be spelled out; a number beyond the double range is unreadable.
+    Three projections in a row, so that each reads what the one before has computed instead
+    of computing it again: null tokens, the value as parsed, the value if it is acceptable.
     """
-    number = c.try_cast("double")
-    finite = F.abs(number) < F.lit(float("inf"))
-    return F.when(c.rlike(_USUAL_NUMBER) | c.rlike(_INFINITY), number).when(
-        c.rlike(_NUMBER) & finite, number
+    names = df.columns
+    texts = df.select(*[_text(n) if n in kinds else F.col(n) for n in names])
+    parsed = texts.select("*", *[_PARSE[kinds[n]](n).alias(_parsed(n)) for n in _typed(kinds)])
+    return parsed.select(
+        *[_ACCEPT[kinds[n]](n).alias(n) if n in _typed(kinds) else F.col(n) for n in names]
     )
 
 
-def whole(c: Column) -> Column:
-    """Long. ``4.0`` is 4 and text is null, but a fraction or an infinity fails the job."""
-    number = real(c)
-    from_real = (
-        F.when(number.isNull(), F.lit(None).cast("bigint"))
-        .when((F.rint(number) == number) & (F.abs(number) < _LONG_LIMIT), number.cast("bigint"))
-        .otherwise(F.raise_error(F.concat(F.lit("not a whole number: "), c)).cast("bigint"))
-    )
-    return F.coalesce(c.try_cast("bigint"), from_real)
+def _typed(kinds: dict[str, str]) -> list[str]:
+    return [name for name, kind in kinds.items() if kind != "string"]
 
 
-def timestamp(c: Column) -> Column:
-    """Zone-less timestamp from ``YYYY-MM-DD HH:MM:SS``; never by way of the session zone.
+def _parsed(name: str) -> str:
+    return f"_parsed_{name}"
 
-    Single digits and wider gaps are read too; dates alone, fractions and times that do not
-    fit a nanosecond count are unreadable.
-    """
-    loose = F.regexp_replace(c, r"\s+", " ").try_cast("timestamp_ntz")
-    first, last = (F.lit(t).cast("timestamp_ntz") for t in (_FIRST_TIME, _LAST_TIME))
-    return F.when(
-        c.rlike(_TIMESTAMP),
-        # In this form the order of the texts is the order of the times.
-        F.when(c.between(_FIRST_TIME, _LAST_TIME), c.try_cast("timestamp_ntz")),
-    ).when(c.rlike(_LOOSE_TIMESTAMP), F.when(loose.between(first, last), loose))
 
+def _text(name: str) -> Column:
+    c = F.col(name).cast("string")
+    return F.when(~c.isin(*NULL_TOKENS), c).alias(name)
 
-_CASTS = {"string": text, "bigint": whole, "double": real, "timestamp_ntz": timestamp}
 
+def _parse_real(name: str) -> Column:
+    # The pattern keeps out forms such as 3d that only Spark reads as numbers.
+    c = F.col(name)
+    return F.when(c.rlike(_NUMBER), c.try_cast("double"))
 
-def cast_columns(df: DataFrame, table: str) -> DataFrame:
-    """Give the columns of ``table`` their declared types in one projection.
 
-    Declared columns that are absent are skipped, other columns and tables pass unchanged.
-    """
-    declared = RAW_COLUMNS.get(table)
-    if declared is None:
-        return df
-    present = dict(df.dtypes)
-
-    def typed(name: str) -> Column:
-        c, kind = df[name], declared.get(name)
-        if kind is None or (kind == present[name] and kind != "string"):
-            return c
-        c = c.cast("string")
-        return (text(c) if kind == "string" else _CASTS[kind](text(c))).alias(name)
-
-    return df.select(*[typed(name) for name in df.columns])
+def _accept_real(name: str) -> Column:
+    # Infinity has to be spelled out; a number beyond the double range is unreadable.
+    c, number = F.col(name), F.col(_parsed(name))
+    return F.when((F.abs(number) < F.lit(float("inf"))) | c.rlike(_INFINITY), number)
+
+
+def _parse_whole(name: str) -> Column:
+    return F.when(F.col(name).try_cast("bigint").isNull(), _parse_real(name))
+
+
+def _accept_whole(name: str) -> Column:
+    # 4.0 is 4, and text is null, but a fraction or an infinity fails the job.
+    c, number = F.col(name), F.col(_parsed(name))
+    fails = F.raise_error(F.concat(F.lit("not a whole number: "), c)).cast("bigint")
+    return F.coalesce(
+        c.try_cast("bigint"),
+        F.when((F.rint(number) == number) & (F.abs(number) < _LONG_LIMIT), number.cast("bigint"))
+        .when(_accept_real(name).isNotNull(), fails),
+    )
+
+
+def _parse_time(name: str) -> Column:
+    # Never by way of the session zone. Single digits and wider gaps are read too.
+    c = F.col(name)
+    loose = F.regexp_replace(c, r"\s+", " ")
+    return F.when(c.rlike(_TIMESTAMP), c.try_cast("timestamp_ntz")).when(
+        c.rlike(_LOOSE_TIMESTAMP), loose.try_cast("timestamp_ntz")
+    )
+
+
+def _accept_time(name: str) -> Column:
+    time = F.col(_parsed(name))
+    first, last = (F.lit(t).cast("timestamp_ntz") for t in (_FIRST_TIME, _LAST_TIME))
+    return F.when(time.between(first, last), time)
+
+
+_PARSE = {"bigint": _parse_whole, "double": _parse_real, "timestamp_ntz": _parse_time}
+_ACCEPT = {"bigint": _accept_whole, "double": _accept_real, "timestamp_ntz": _accept_time}

@@ -40,7 +40,7 @@ def write_months(df: DataFrame, path: str, month_column: str) -> None:
 def overwrite_months(df: DataFrame, path: str, month_column: str, spread: bool = True) -> None:
     """Replace exactly the months present in ``df``; all others stay as they are.
 
-    ``spread=False`` saves the shuffle where the input is already split by month.
+    ``spread=False`` saves the shuffle where the input is split by month already or has one.
     """
     writer = _by_month(df, month_column) if spread else df.write
     writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(

@@ -187,7 +187,7 @@ def update_fct_orders(
         overwrite_months(totals(later), path, PURCHASE_MONTH)
     else:
         touched = raw_orders.where(F.col(PARTITION_MONTH).isin(*months))
-        overwrite_months(totals(touched), path, PURCHASE_MONTH)
+        overwrite_months(totals(touched), path, PURCHASE_MONTH, spread=len(set(months)) > 1)
         # The mart has the months of its delivered orders; a touched month without any stays
         # behind in a dynamic overwrite.
         wanted = stage("stg_orders", touched).where(F.col("order_status") == delivered)

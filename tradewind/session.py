@@ -7,18 +7,20 @@ from pyspark.sql import SparkSession
 
 # Runtime settings that keep hot keys apart. The forced skew join accepts one more shuffle
 # after the join when a skewed partition was really found, and costs nothing otherwise.
-ADAPTIVE = {
+# The JVM does not compile methods above 8000 bytes; Spark then had better split the code.
+SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Switch the adaptive settings on; sizes and partition counts stay the cluster's."""
-    for key, value in ADAPTIVE.items():
+    """Apply the settings the jobs rely on; sizes and partition counts stay the cluster's."""
+    for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradewind.schemas import PARTITION_MONTH, mart_schema, raw_schema
+from tradewind.schemas import MONTH_KEY, PARTITION_MONTH, mart_schema, raw_schema
 
 
 @dataclass(frozen=True)
@@ -44,7 +44,12 @@ def read_existing(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
 
 def read_raw(spark: SparkSession, warehouse: Warehouse, table: str) -> DataFrame:
-    return read_declared(spark, warehouse.raw(table), raw_schema(table))
+    """A raw table. Before its first month has landed, a monthly table is empty."""
+    path, schema = warehouse.raw(table), raw_schema(table)
+    if table not in MONTH_KEY:
+        return read_declared(spark, path, schema)
+    stored = read_existing(spark, path, schema)
+    return spark.createDataFrame([], schema) if stored is None else stored
 
 
 def read_mart(spark: SparkSession, warehouse: Warehouse, name: str) -> DataFrame:
