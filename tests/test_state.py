@@ -54,10 +54,15 @@ def deliver(spark, warehouse, months, mode, *order_ids):
     """Raw orders become exactly the given ones, then the mart is updated."""
     raw = with_month(orders(spark, *order_ids), "orders")
     write_months(raw, warehouse.raw("orders"), PARTITION_MONTH)
-    jobs.update_fct_orders(spark, warehouse, months, mode)
+    update_mart(spark, warehouse, months, mode)
     return mart_ids(spark, warehouse)
 
 
+def update_mart(spark, warehouse, months, mode=jobs.MONTHS, full_refresh=False):
+    raw = [read_raw(spark, warehouse, table) for table in ("orders", "order_payments")]
+    jobs.update_fct_orders(spark, warehouse, *raw, months, mode, full_refresh)
+
+
 def test_reload_is_idempotent_and_leaves_other_months_alone(spark, warehouse):
     raw = with_month(orders(spark, "o1", "o3", "o7"), "orders")
     append_table(raw, warehouse.raw("orders"), PARTITION_MONTH)
@@ -141,7 +146,7 @@ def test_first_run_keeps_undated_orders_and_full_refresh_rebuilds(spark, warehou
     load_statics(spark, warehouse)
     assert deliver(spark, warehouse, [JAN], jobs.MONTHS, "o1", "o7") == ["o1", "o7"]
     assert deliver(spark, warehouse, [JAN], jobs.MONTHS, "o1") == ["o1", "o7"]
-    jobs.update_fct_orders(spark, warehouse, [], full_refresh=True)
+    update_mart(spark, warehouse, [], full_refresh=True)
     assert mart_ids(spark, warehouse) == ["o1"]
 
 

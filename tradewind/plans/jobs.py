@@ -131,7 +131,14 @@ def build_marts(
 ) -> None:
     """The three marts: orders by month, the other two whole and clustered."""
     update_fct_orders(
-        spark, warehouse, months, mode, delivered=delivered, orders_unique=orders_unique
+        spark,
+        warehouse,
+        read_raw(spark, warehouse, "orders"),
+        read_raw(spark, warehouse, "order_payments"),
+        months,
+        mode,
+        delivered=delivered,
+        orders_unique=orders_unique,
     )
     models = staged(spark, warehouse, ("stg_orders", "stg_order_items", "stg_customers"))
     orders = models["stg_orders"]
@@ -149,6 +156,8 @@ def build_marts(
 def update_fct_orders(
     spark: SparkSession,
     warehouse: Warehouse,
+    raw_orders: DataFrame,
+    raw_payments: DataFrame,
     months: list[str],
     mode: str = MONTHS,
     full_refresh: bool = False,
@@ -157,6 +166,7 @@ def update_fct_orders(
 ) -> None:
     """Bring the stored order mart up to date; build it whole where none is stored.
 
+    ``raw_orders`` has its partition month, so that only the directories needed are read.
     ``months`` mode computes every given month anew and replaces it, so late, corrected and
     removed orders come out right. ``high_water_mark`` mode takes only orders later than the
     stored maximum and then replaces the months those fall in: it loses the earlier rows of a
@@ -165,8 +175,7 @@ def update_fct_orders(
     if mode not in (MONTHS, HIGH_WATER_MARK):
         raise ValueError(f"unknown mode {mode!r}")
     path, schema = warehouse.mart("fct_orders"), mart_schema("fct_orders")
-    raw_orders = read_raw(spark, warehouse, "orders")
-    payments = stage("stg_order_payments", read_raw(spark, warehouse, "order_payments"))
+    payments = stage("stg_order_payments", raw_payments)
 
     def totals(raw: DataFrame) -> DataFrame:
         orders = stage("stg_orders", raw)

@@ -180,7 +180,7 @@ def _partition_by_month(spark, sf_dir):
 def _append_load(spark, sf_dir):
     """Two appends that make up the table, the first to a table not there yet."""
     warehouse = Warehouse(scratch_dir(spark))
-    orders = with_month(raw_table(spark, sf_dir, "orders"), "orders")
+    orders = _dated_orders(spark, sf_dir)
     done = F.col("order_status") == DELIVERED_STANDIN
     for part in (orders.where(done), orders.where(~done)):
         append_table(part, warehouse.raw("orders"), PARTITION_MONTH)
@@ -208,37 +208,41 @@ def _reload_month(spark, sf_dir):
 
 def _orders_mart_stored(spark, sf_dir):
     """First run: the mart is written whole, by month."""
-    warehouse = _loaded(spark, sf_dir, "orders", "order_payments")
-    jobs.update_fct_orders(spark, warehouse, [], delivered=DELIVERED_STANDIN)
+    warehouse = Warehouse(scratch_dir(spark))
+    _update_mart(spark, warehouse, _dated_orders(spark, sf_dir), sf_dir, [])
     return read_mart(spark, warehouse, "fct_orders")
 
 
 def _orders_mart_incremental(spark, sf_dir):
     """Earlier months first, then the later ones as a second run."""
-    warehouse = _landed(spark, sf_dir, "orders", "order_payments")
-    jobs.load_static(spark, warehouse, ("order_payments",))
-    months = landed_months(spark, warehouse, "orders")
-    first = [m for m in months if m < LATER_FROM[:7]]
-    for part in (first, months[len(first) :]):
-        reload_months(spark, warehouse, "orders", part)
-        jobs.update_fct_orders(spark, warehouse, part, delivered=DELIVERED_STANDIN)
+    warehouse, orders = Warehouse(scratch_dir(spark)), _dated_orders(spark, sf_dir)
+    later = F.col(PARTITION_MONTH) >= LATER_FROM[:7]
+    months = [row[0] for row in orders.where(later).select(PARTITION_MONTH).distinct().collect()]
+    _update_mart(spark, warehouse, orders.where(~later), sf_dir, [])
+    _update_mart(spark, warehouse, orders, sf_dir, months)
     return read_mart(spark, warehouse, "fct_orders")
 
 
 def _orders_mart_high_water_mark(spark, sf_dir):
     """A month delivered in two parts keeps only its second part in this mode."""
-    warehouse = Warehouse(scratch_dir(spark))
-    orders = with_month(raw_table(spark, sf_dir, "orders"), "orders")
+    warehouse, orders = Warehouse(scratch_dir(spark)), _dated_orders(spark, sf_dir)
     early = F.col(MONTH_KEY["orders"]) < F.lit(MID_MONTH).cast("timestamp_ntz")
-    write_table(raw_table(spark, sf_dir, "order_payments"), warehouse.raw("order_payments"))
     for delivery in (orders.where(early), orders):
-        write_months(delivery, warehouse.raw("orders"), PARTITION_MONTH)
-        jobs.update_fct_orders(
-            spark, warehouse, [], jobs.HIGH_WATER_MARK, delivered=DELIVERED_STANDIN
-        )
+        _update_mart(spark, warehouse, delivery, sf_dir, [], jobs.HIGH_WATER_MARK)
     return read_mart(spark, warehouse, "fct_orders")
 
 
+def _dated_orders(spark, sf_dir):
+    return with_month(raw_table(spark, sf_dir, "orders"), "orders")
+
+
+def _update_mart(spark, warehouse, orders, sf_dir, months, mode=jobs.MONTHS):
+    payments = raw_table(spark, sf_dir, "order_payments")
+    jobs.update_fct_orders(
+        spark, warehouse, orders, payments, months, mode, delivered=DELIVERED_STANDIN
+    )
+
+
 def _clustered_write(spark, sf_dir):
     warehouse = Warehouse(scratch_dir(spark))
     path = warehouse.mart("fct_seller_revenue")
