@@ -14,7 +14,8 @@ TABLES = (
 def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     con = duckdb.connect()
     for table in TABLES:
-        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{sf_dir}/{table}.parquet')")
+        path = f"{sf_dir}/{table}.parquet"
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{path}')")
     return con
 
 
