@@ -5,7 +5,8 @@ more with a chance of what remains. The flight phase moves the chances of three
 time along the null space of two constraints, words and documents, so that both totals stay
 exactly as expected until a chance is 0 or 1. It runs in blocks of documents; what a block
 leaves open, two documents at most, flies on in fewer, joint blocks. The landing decides the
-last two of a source by the outcome nearest to the two totals.
+last two of a source by the outcome nearest to the two totals, and mends what a long document
+still misses by changing one or two of a few settled documents that the blocks lend.
 
 Chances and random numbers come from ids and texts, so reruns and retried tasks agree.
 
@@ -13,8 +14,8 @@ Defined cases: null and empty texts have no words and are not taken. A null sour
 ordered last. Repeated rows are documents of their own. The driver holds one row per source.
 """
 
+import itertools
 import random
-from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,7 +27,9 @@ MOST_COPIES = 3
 WEIGHTS = (1, 2, 3)
 BLOCK_ROWS = 20_000
 _NEARLY = 1e-9
-_ROW = "doc_id {id}, salt bigint, source int, size bigint, chance double"
+SPARES = 64  # settled documents that a block lends to the landing, which may change them
+_ROW = "doc_id {id}, salt bigint, source int, size bigint, chance double, spare boolean"
+_COLUMNS = ["doc_id", "salt", "source", "size", "chance", "spare"]
 
 
 def targets(sizes: list[int], weights: list[float]) -> list[float]:
@@ -106,7 +109,7 @@ def _draw(drawn: DataFrame, open_rows: dict[int, int], block_rows: int) -> DataF
     """Every row with ``more``, 0 or 1: rounds of flight in blocks, the last one lands."""
     id_kind = drawn.schema["doc_id"].dataType.simpleString()
     schema = _ROW.format(id=id_kind)
-    left = drawn.select("doc_id", "salt", "source", "size", "chance")
+    left = drawn.withColumn("spare", F.lit(False)).select(_COLUMNS)
     parts, turn = [], 0
     while open_rows:
         blocks = {s: -(-n // block_rows) for s, n in open_rows.items()}
@@ -118,12 +121,12 @@ def _draw(drawn: DataFrame, open_rows: dict[int, int], block_rows: int) -> DataF
             .groupBy("source", "block").applyInPandas(_fly_block, schema),
             f"round{turn}",
         )
-        is_open = (F.col("chance") > 0) & (F.col("chance") < 1)
+        is_open = F.col("spare") | (F.col("chance") > 0) & (F.col("chance") < 1)
         parts.append(flown.where(~is_open))
         left = flown.where(is_open)
         open_rows = {r[0]: r[1] for r in left.groupBy("source").count().collect()}
         turn += 1
-    settled = drawn.limit(0).select("doc_id", "salt", "source", "size", "chance")
+    settled = drawn.where("false").withColumn("spare", F.lit(False)).select(_COLUMNS)
     for part in parts:
         settled = settled.unionByName(part)
     return settled.select(
@@ -132,24 +135,27 @@ def _draw(drawn: DataFrame, open_rows: dict[int, int], block_rows: int) -> DataF
 
 
 def _fly_block(rows: pd.DataFrame) -> pd.DataFrame:
-    # The smallest documents come last, so that little is left to the landing.
-    rows = rows.sort_values(["salt", "doc_id"]).sort_values(
-        "size", ascending=False, kind="stable", ignore_index=True
-    )
+    rows = rows.sort_values(["salt", "doc_id"], kind="stable", ignore_index=True)
     source, block, lands = (rows[c].iloc[0] for c in ("source", "block", "lands"))
     draw = random.Random(f"{source} {block} {len(rows)} {rows['salt'].iloc[0]}")
     sizes, chances = rows["size"].tolist(), rows["chance"].tolist()
     left = fly(sizes, chances, draw)
+    lent = [i for i in range(len(sizes)) if i not in left][:SPARES]
     if lands:
-        land(sizes, chances, left, draw)
+        land(sizes, chances, left, lent, draw)
     rows["chance"] = chances
-    return rows[["doc_id", "salt", "source", "size", "chance"]]
+    rows["spare"] = False
+    if not lands:
+        rows.loc[lent, "spare"] = True
+    return rows[_COLUMNS]
 
 
 def fly(sizes: list[int], chances: list[float], draw: random.Random) -> list[int]:
     """Change ``chances`` until two at most are neither 0 nor 1; these are returned."""
     held: list[int] = []
     for i in range(len(sizes)):
+        if not 0 < chances[i] < 1:
+            continue
         held.append(i)
         if len(held) < 3:
             continue
@@ -175,14 +181,23 @@ def _settled(chance: float) -> float:
     return 0.0 if chance < _NEARLY else 1.0 if chance > 1 - _NEARLY else chance
 
 
-def land(sizes: list[int], chances: list[float], left: Iterable[int], draw: random.Random) -> None:
-    """Decide what the flight left: the outcome nearest to the words, then to the documents."""
-    left = list(left)
+def land(
+    sizes: list[int], chances: list[float], left: list[int], lent: list[int], draw: random.Random
+) -> None:
+    """Decide what the flight left: the outcome nearest to the words, then to the documents.
+
+    A long document can miss by many words; then one or two lent documents change sides.
+    """
     outcomes = []
     for bits in range(1 << len(left)):
         taken = [bits >> k & 1 for k in range(len(left))]
         words = sum(sizes[i] * (t - chances[i]) for i, t in zip(left, taken, strict=True))
         number = sum(t - chances[i] for i, t in zip(left, taken, strict=True))
-        outcomes.append((abs(words), abs(number), draw.random(), taken))
-    for i, t in zip(left, min(outcomes)[3], strict=True):
+        outcomes.append((abs(words), abs(number), draw.random(), taken, words))
+    _, _, _, taken, words = min(outcomes)
+    for i, t in zip(left, taken, strict=True):
         chances[i] = float(t)
+    gain = {i: sizes[i] if chances[i] == 0 else -sizes[i] for i in lent}
+    changes = [(), *((i,) for i in lent), *itertools.combinations(lent, 2)]
+    for i in min(changes, key=lambda c: (abs(words + sum(gain[i] for i in c)), len(c))):
+        chances[i] = 1 - chances[i]
