@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradewind.llm import bpe, fingerprints, mixing, quality, sharding, substrings, token_counts
+from tradewind.llm import bpe, fingerprints, mixing, near_copies, quality, sharding, substrings, token_counts
 from tradewind.session import configure
 
 TOKENIZER = "word_bpe_49k.json"
@@ -47,6 +47,10 @@ def op6_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select(*columns)
 
 
+def op7_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_copies.near_copies(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_report(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -63,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_kd_shards,
         op5_bpe_pair_index,
         op6_cube_mix,
+        op7_chosen_path_join,
         op8_prefix_free_parsing,
         op10_quartile_digest,
     )
