@@ -19,6 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from tradewind.llm.common import column_bytes, text_pieces
 
@@ -203,54 +204,30 @@ def encoder(path: str) -> PairIndexEncoder:
     return _encoders[path]
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
-    """The columns of ``docs`` and ``ids``, an array of token ids (longs)."""
-    schema = docs.withColumn("ids", _empty_ids()).schema
+def encode_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFrame:
+    """The columns of ``docs``, the number of tokens, digests of the ids and of the text that
+    is decoded from them, and the ids themselves if asked for."""
+    added = {"n_tokens": T.LongType(), "ids_sha256": T.StringType(), "decoded_sha256": T.StringType()}
+    if with_ids:
+        added["ids"] = T.ArrayType(T.IntegerType())
+    docs = docs.select([c for c in docs.columns if c not in added])
+    schema = T.StructType([*docs.schema, *(T.StructField(c, k) for c, k in added.items())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in text_pieces(batch, text, BATCH_BYTES):
-                ids = encoder(tokenizer_path).encode_texts(column_bytes(part, text))
-                flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
-                ends = np.cumsum([0] + [len(x) // 4 for x in ids]).astype(np.int32)
-                yield _with(part, {"ids": pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))})
-
-    return docs.mapInArrow(run, schema)
-
-
-def encode_digests(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
-    """The columns of ``docs`` and digests of the ids and of the text decoded from them."""
-    from pyspark.sql import types as T
-
-    added = ("n_tokens", "ids_sha256", "decoded_sha256")
-    kinds = (T.LongType(), T.StringType(), T.StringType())
-    kept = [c for c in docs.columns if c not in added]
-    docs = docs.select(kept)
-    schema = T.StructType([*docs.schema, *map(T.StructField, added, kinds)])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_pieces(batch, text, BATCH_BYTES):
+            for part in text_pieces(batch, "text", BATCH_BYTES):
                 own = encoder(tokenizer_path)
-                ids = own.encode_texts(column_bytes(part, text))
-                columns = {
-                    "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
-                    "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
-                    "decoded_sha256": [hashlib.sha256(x).hexdigest() for x in own.decode(ids)],
-                }
-                yield _with(part, columns)
+                ids = own.encode_texts(column_bytes(part, "text"))
+                sizes = [len(x) // 4 for x in ids]
+                columns = [
+                    pa.array(sizes, pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in own.decode(ids)], pa.string()),
+                ]
+                if with_ids:
+                    ends = pa.array(np.cumsum([0, *sizes]), pa.int32())
+                    flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
+                    columns.append(pa.ListArray.from_arrays(ends, flat))
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], schema.names)
 
     return docs.mapInArrow(run, schema)
-
-
-def _with(batch: pa.RecordBatch, columns: dict) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [*batch.columns, *(c if isinstance(c, pa.Array) else pa.array(c, pa.string()) for c in columns.values())],
-        [*batch.schema.names, *columns],
-    )
-
-
-def _empty_ids():
-    from pyspark.sql import functions as F
-
-    return F.array().cast("array<bigint>")

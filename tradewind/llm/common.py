@@ -1,11 +1,13 @@
 """What several operators share: stored intermediate tables and walking over Arrow batches."""
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tradewind.session import scratch_dir
 
@@ -70,3 +72,26 @@ def shuffle_partitions(df: DataFrame) -> int:
 def word_count(text: Column) -> Column:
     """Words of a text as a long; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
+
+
+def text_hash(text: bytes) -> int:
+    """32 bits that tell texts of the same id apart."""
+    return xxhash.xxh32_intdigest(text) - (1 << 31)
+
+
+def with_text_hash(docs: DataFrame, text: str) -> DataFrame:
+    """The columns of ``docs`` and ``body``, the hash of the text."""
+    schema = T.StructType([*docs.schema, T.StructField("body", T.IntegerType())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = pa.array(map(text_hash, column_bytes(batch, text)), pa.int32())
+            yield pa.RecordBatch.from_arrays([*batch.columns, hashes], [*batch.schema.names, "body"])
+
+    return docs.mapInArrow(run, schema)
+
+
+def row_key(doc_id: str) -> list[Column]:
+    """An id as two columns without nulls, to join and group by."""
+    kind = F.col(doc_id).cast("string")
+    return [F.col(doc_id).isNotNull().alias("id_known"), F.coalesce(kind, F.lit("")).alias("id_value")]

@@ -18,10 +18,10 @@ import itertools
 import random
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import small_table, store, word_count
+from tradewind.llm.common import row_key, small_table, store, word_count
 
 MOST_COPIES = 3
 WEIGHTS = (1, 2, 3)
@@ -201,3 +201,24 @@ def land(
     changes = [(), *((i,) for i in lent), *itertools.combinations(lent, 2)]
     for i in min(changes, key=lambda c: (abs(words + sum(gain[i] for i in c)), len(c))):
         chances[i] = 1 - chances[i]
+
+
+def mixed_documents(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, source and others), each as often as it is taken."""
+    copies = F.sort_array(F.collect_list("copies"))
+    taken = mix(docs).groupBy(*row_key("doc_id"), "salt").agg(copies.alias("copies"))
+    names = {c: f"k{i}" for i, c in enumerate(docs.columns)}
+    id_, text = names["doc_id"], names["text"]
+    own = docs.toDF(*names.values()).select("*", *row_key(id_), F.xxhash64(text).alias("salt"))
+    key = ["id_known", "id_value", "salt"]
+    # Repeated rows share their decisions out among them.
+    place = F.row_number().over(
+        Window.partitionBy(*key).orderBy(*[k for k in names.values() if k != text])
+    )
+    chosen = own.join(taken.where(F.array_max("copies") > 0), key).withColumn("place", place)
+    times = F.col("copies")[F.col("place") - 1].cast("int")
+    again = F.explode(F.sequence(F.lit(1), times))
+    return (
+        chosen.where(times > 0).select(*names.values(), again.alias("again"))
+        .select([F.col(k).alias(c) for c, k in names.items()])
+    )

@@ -26,10 +26,18 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import column_bytes, store, text_pieces
+from tradewind.llm.common import (
+    WORD,
+    column_bytes,
+    row_key,
+    store,
+    text_hash,
+    text_pieces,
+    with_text_hash,
+)
 from tradewind.llm.graphs import components
 from tradewind.llm.substrings import pack, unpack
 
@@ -156,10 +164,11 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sketches = [embed(s).tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("doc_id"), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()),
+                    part.column("doc_id"), pa.array(map(text_hash, column_bytes(part, "text")), pa.int32()),
+                    pa.array(hi, pa.int64()), pa.array(lo, pa.int64()),
                     pa.array(map(len, sets), pa.int32()), pa.array(sketches, pa.binary()),
                 ],
-                ["doc_id", "hi", "lo", "n", "sketch"],
+                ["doc_id", "body", "hi", "lo", "n", "sketch"],
             )
 
 
@@ -180,15 +189,17 @@ def near_copies(
     most_at_once: int = MOST_AT_ONCE,
 ) -> DataFrame:
     """Per row: doc_id, class_id (the least id of its group of linked documents), n_links (the
-    number of documents at or above the threshold), n_shingles."""
+    number of documents at or above the threshold), n_shingles, a hash ``body`` of the text, and
+    whether the row is its group's representative (repeated rows are so together)."""
     own = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
     id_kind = own.schema["doc_id"].dataType.simpleString()
     sketched = store(
-        own.mapInArrow(_sketch, f"doc_id {id_kind}, hi bigint, lo bigint, n int, sketch binary"),
+        own.mapInArrow(_sketch, f"doc_id {id_kind}, body int, hi bigint, lo bigint, n int, sketch binary"),
         "sketches",
     )
     classes = sketched.where("n > 0").groupBy(*_KEY).agg(
-        F.count("*").alias("copies"), F.min("doc_id").alias("rep"),
+        F.count("*").alias("copies"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "body")).alias("rep"),
         F.first("n").alias("n"), F.first("sketch").alias("sketch"),
     )
     classes = store(classes, "classes")
@@ -199,7 +210,7 @@ def near_copies(
 
     sifted = _by_group(groups.join(payload, _KEY), _sift(threshold), "node bigint, a int, b int, block int, hi bigint, lo bigint")
     sifted = store(sifted, "candidates")
-    sets = _sets(own, sifted.select(*_KEY).distinct().join(payload.select(*_KEY, "rep"), _KEY), id_kind)
+    sets = _sets(own, sifted.select(*_KEY).distinct().join(payload.select(*_KEY, "rep.doc_id"), _KEY), id_kind)
     full = sifted.join(payload, _KEY).join(sets, _KEY)
     linked = _by_group(full, _verify(threshold), "hi bigint, lo bigint, links bigint, root_hi bigint, root_lo bigint")
     linked = store(linked, "links")
@@ -212,18 +223,41 @@ def near_copies(
         .join(links, _KEY, "left").join(roots, "v", "left")
         .select(*_KEY, "copies", "rep", "links", F.coalesce("root", "v").alias("root"))
     )
-    least = grouped.groupBy("root").agg(F.min("rep").alias("class_id"))
+    least = grouped.groupBy("root").agg(F.min("rep").alias("least"))
     found = store(
         grouped.join(least, "root").select(
-            *_KEY, "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
+            *_KEY, "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")
         ),
         "found",
     )
     return sketched.drop("sketch").join(found, _KEY, "left").select(
         "doc_id",
-        F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(F.col("n") > 0, F.col("least.doc_id")).otherwise(F.col("doc_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.col("n").alias("n_shingles"),
+        "body",
+        (
+            (F.col("n") == 0)
+            | F.struct("least.doc_id", "least.body").eqNullSafe(F.struct("doc_id", "body"))
+        ).alias("is_representative"),
+    )
+
+
+def without_near_copies(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and others) that represent their group, each once."""
+    found = near_copies(docs).where("is_representative AND n_shingles > 0")
+    wanted = found.select(*row_key("doc_id"), "body").distinct()
+    names = {c: f"k{i}" for i, c in enumerate(docs.columns)}
+    id_, text = names["doc_id"], names["text"]
+    own = with_text_hash(docs.toDF(*names.values()), text).select("*", *row_key(id_))
+    key = ["id_known", "id_value", "body"]
+    chosen = own.join(wanted, key)
+    # Repeated rows are at the same place after the join.
+    first = Window.partitionBy(*key).orderBy(*[k for k in names.values() if k != text])
+    chosen = chosen.withColumn("place", F.row_number().over(first)).where("place = 1")
+    wordless = own.where(F.coalesce(~F.col(text).rlike(WORD), F.lit(True)))
+    return chosen.select(*names.values()).unionByName(wordless.select(*names.values())).select(
+        [F.col(k).alias(c) for c, k in names.items()]
     )
 
 
@@ -351,8 +385,8 @@ def _sift(threshold: float):
 def _sets(own: DataFrame, wanted: DataFrame, id_kind: str) -> DataFrame:
     """The shingle sets of the wanted classes, from the text of one document of each."""
     packed = own.mapInArrow(_pack, f"doc_id {id_kind}, packed binary")
-    wanted = wanted.select(F.col("hi").alias("of_hi"), F.col("lo").alias("of_lo"), "rep")
-    chosen = packed.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
+    wanted = wanted.select(F.col("hi").alias("of_hi"), F.col("lo").alias("of_lo"), F.col("doc_id").alias("of_id"))
+    chosen = packed.join(wanted, F.col("doc_id").eqNullSafe(F.col("of_id")))
     sets = chosen.select("of_hi", "of_lo", "packed").mapInArrow(
         _set_of, "hi bigint, lo bigint, shingles binary"
     )

@@ -21,7 +21,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -75,9 +75,9 @@ def repeated_words(words: list[bytes]) -> int:
     return covered
 
 
-def add_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The columns of ``docs`` without the text, and the base counts as longs."""
-    others = [c for c in docs.columns if c not in (text, *COUNTS)]
+def add_counts(docs: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """The columns of ``docs``, without the text if it is not asked for, and the base counts."""
+    others = [c for c in docs.columns if c not in COUNTS and (keep_text or c != text)]
     schema = T.StructType(
         [*docs.select(others).schema, *(T.StructField(c, T.LongType()) for c in COUNTS)]
     )
@@ -90,7 +90,7 @@ def add_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                 arrays += [pa.array(x, pa.int64()) for x in zip(*counts, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, [*others, *COUNTS])
 
-    return docs.select(*others, text).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*others, text])).mapInArrow(run, schema)
 
 
 def base_failed() -> Column:
@@ -129,23 +129,48 @@ def judge(
         docs[source].cast("string").alias("source"),
         docs[text].alias("text"),
     )
-    counted = add_counts(own).withColumn("base_failed", base_failed())
-    rows = store(counted.select("*", *statistics()), "counts")
-    grouped = _with_group(rows, min_rows)
-    # Documents that fail the base rules must not shape what is normal.
-    vectors = store(
-        grouped.where("NOT base_failed AND grp IS NOT NULL").select("grp", *_XS), "vectors"
-    )
-    best = fit(vectors)
-    judged = grouped.join(best.withColumnRenamed("grp", "of"), F.col("grp") == F.col("of"), "left")
-    distance = F.when(~F.col("base_failed"), _distance())
-    limit = _chi2_quantile(DIMS, 1 - REJECT_AT)
-    return judged.select(
+    rows = store(add_counts(own), "counts")
+    return apply(rows, *estimate(rows, min_rows)).select(
         *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
-        *COUNTS,
-        "base_failed",
-        (~F.col("base_failed") & F.coalesce(distance <= limit, F.lit(True))).alias("kept"),
-        distance.alias("distance"),
+        *COUNTS, "base_failed", "kept", "distance",
+    )
+
+
+def kept_documents(docs: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+    """The rows of ``docs`` (text, lang, source and others) that are kept.
+
+    Counts are taken twice, for the estimates and for the verdicts: that moves no text.
+    """
+    names = {c: f"k{i}" for i, c in enumerate(docs.columns)}
+    own = docs.toDF(*names.values())
+    groups = [F.col(names[c]).cast("string").alias(c) for c in ("lang", "source")]
+    body = F.col(names["text"]).alias("text")
+    rows = store(add_counts(own.select(*groups, body)), "counts")
+    counted = add_counts(own.select("*", *groups, body.alias("text")))
+    judged = apply(counted, *estimate(rows, min_rows)).where("kept")
+    return judged.select([F.col(k).alias(c) for c, k in names.items()])
+
+
+def estimate(rows: DataFrame, min_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Which group a language and source is judged in, and each group's center and scatter.
+
+    Documents that fail the base rules do not shape what is normal.
+    """
+    sound = rows.where(~base_failed())
+    groups = _groups(sound, min_rows)
+    vectors = _with_group(sound, groups).where("grp IS NOT NULL")
+    return groups, fit(store(vectors.select("grp", *statistics()), "vectors"))
+
+
+def apply(rows: DataFrame, groups: DataFrame, estimates: DataFrame) -> DataFrame:
+    """Add base_failed, distance and kept to counted rows."""
+    named = _with_group(rows.withColumn("base_failed", base_failed()), groups)
+    judged = named.select("*", *statistics()).join(
+        estimates.withColumnRenamed("grp", "of"), F.col("grp") == F.col("of"), "left"
+    )
+    limit = F.lit(_chi2_quantile(DIMS, 1 - REJECT_AT))
+    return judged.withColumn("distance", F.when(~F.col("base_failed"), _distance())).withColumn(
+        "kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True))
     )
 
 
@@ -153,31 +178,28 @@ _XS = [f"x{i}" for i in range(DIMS)]
 _PAIRS = [(i, j) for i in range(DIMS) for j in range(i, DIMS)]
 
 
-def _with_group(rows: DataFrame, min_rows: int) -> DataFrame:
-    """Add ``grp``: language and source, or what a small group is judged with, or null."""
-    from pyspark.sql import Window
-
+def _groups(sound: DataFrame, min_rows: int) -> DataFrame:
+    """``grp`` by language and source: itself, or what a small one is judged with, or null."""
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
-    cells = rows.where("NOT base_failed").groupBy("lang", "source").agg(F.count("*").alias("n"))
-    cells = store(cells, "cells")
+    cells = sound.groupBy(F.col("lang").alias("of_lang"), F.col("source").alias("of_source"))
+    cells = store(cells.agg(F.count("*").alias("n")), "cells")
     small = cells.where(F.col("n") < min_rows)
-    by_lang = small.groupBy("lang").agg(F.sum("n").alias("n_lang"))
-    rest = by_lang.where(F.col("n_lang") < min_rows).agg(F.sum("n_lang").alias("n_rest"))
-    placed = (
-        cells.withColumnRenamed("lang", "cell_lang").withColumnRenamed("source", "cell_source")
-        .join(by_lang, F.col("cell_lang").eqNullSafe(F.col("lang")), "left").drop("lang")
-        .withColumn("n_rest", F.lit(rest.first()[0]).cast("bigint"))
-    )
+    by_lang = small.groupBy(F.col("of_lang").alias("small_lang")).agg(F.sum("n").alias("n_lang"))
+    rest = by_lang.where(F.col("n_lang") < min_rows).agg(F.sum("n_lang")).first()[0] or 0
     group = (
-        F.when(F.col("n") >= min_rows, F.concat(name("cell_lang"), F.lit("\n"), name("cell_source")))
-        .when(F.col("n_lang") >= min_rows, F.concat(name("cell_lang"), F.lit("\n")))
-        .when(F.col("n_rest") >= min_rows, F.lit(""))
+        F.when(F.col("n") >= min_rows, F.concat(name("of_lang"), F.lit("\n"), name("of_source")))
+        .when(F.col("n_lang") >= min_rows, F.concat(name("of_lang"), F.lit("\n")))
+        .when(F.lit(rest >= min_rows), F.lit(""))
     )
-    placed = store(placed.select("cell_lang", "cell_source", group.alias("grp")), "groups")
-    same = F.col("lang").eqNullSafe(F.col("cell_lang")) & F.col("source").eqNullSafe(
-        F.col("cell_source")
+    placed = cells.join(by_lang, F.col("of_lang").eqNullSafe(F.col("small_lang")), "left")
+    return store(placed.select("of_lang", "of_source", group.alias("grp")), "groups")
+
+
+def _with_group(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    same = F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(
+        F.col("of_source")
     )
-    return rows.join(placed, same, "left").drop("cell_lang", "cell_source")
+    return rows.join(groups, same, "left").drop("of_lang", "of_source")
 
 
 def fit(vectors: DataFrame) -> DataFrame:
@@ -215,8 +237,6 @@ def _distance() -> Column:
 
 def _nearest_moments(joined: DataFrame) -> DataFrame:
     """Sums over the rows of smallest distance, by group and start."""
-    from pyspark.sql import Window
-
     per_bin = F.floor(_BINS_PER_DOUBLING * F.log2(F.greatest(_distance(), F.lit(0.0)) + 2.0**-10))
     bins = joined.withColumn("bin", per_bin).groupBy("grp", "start", "bin").agg(*_sums())
     # A group has a few hundred bins, whatever its rows.
@@ -266,8 +286,6 @@ def _estimates(moments: DataFrame, share: float) -> DataFrame:
 
 def _starts(vectors: DataFrame) -> DataFrame:
     """Two deterministic starts per group: quartile scales alone, and with spatial signs."""
-    from pyspark.sql import Window
-
     dims = F.explode(F.array(*[F.struct(F.lit(i).alias("dim"), F.col(x).alias("x")) for i, x in enumerate(_XS)]))
     # 64 bins a unit: a few hundred values at most of each statistic.
     counts = (

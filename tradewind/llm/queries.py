@@ -2,25 +2,18 @@
 
 from collections.abc import Callable
 
+import corpus_pipeline
+from corpus_pipeline import TOKENIZER
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tradewind.llm import bpe, fingerprints, mixing, near_copies, quality, sharding, substrings, token_counts
 from tradewind.session import configure
 
-TOKENIZER = "word_bpe_49k.json"
-
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir}/{table}.parquet").select(*columns)
 
 
-def _tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(TOKENIZER)
-
-
 def op1_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
     return quality.judge(docs)
@@ -28,7 +21,7 @@ def op1_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
-    return token_counts.count_tokens(docs, _tokenizer())
+    return token_counts.count_tokens(docs, TOKENIZER)
 
 
 def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +31,7 @@ def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
-    return bpe.encode_digests(docs, _tokenizer()).drop("text")
+    return bpe.encode_documents(docs, TOKENIZER).drop("text")
 
 
 def op6_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +64,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_prefix_free_parsing,
         op10_quartile_digest,
     )
-}
+} | {"pipeline": corpus_pipeline.run}

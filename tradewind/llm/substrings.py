@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import column_bytes, store, text_pieces
+from tradewind.llm.common import column_bytes, store, text_hash, text_pieces
 
 LENGTH = 200  # bytes of a string that counts
 REACH = 160  # places among which a string seeks its trigger
@@ -120,10 +120,6 @@ def parse(text: bytes) -> tuple[np.ndarray, ...]:
     return *joined[:3], joined[3].view(np.int64), joined[4].view(np.int64)
 
 
-def _body(text: bytes) -> int:
-    return xxhash.xxh32_intdigest(text) - (1 << 31)
-
-
 def _parse_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in text_pieces(batch, "text", _PIECE_BYTES):
@@ -134,7 +130,7 @@ def _parse_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             start, places, trigger, core, phrase = (
                 np.concatenate(x) for x in zip(*parsed, strict=True)
             )
-            bodies = np.array([_body(t) for t in texts], np.int64)[rows]
+            bodies = np.array([text_hash(t) for t in texts], np.int64)[rows]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id").take(pa.array(rows)),
@@ -146,10 +142,16 @@ def _parse_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             )
 
 
-def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, text as packed bytes, and the spans (start, end) that
-    repeated strings cover, in any order and overlapping."""
-    own = docs.select(docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"))
+def repeated_spans(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()
+) -> DataFrame:
+    """Per row of ``docs``: doc_id, text as packed bytes, the spans (start, end) that repeated
+    strings cover, in any order and overlapping, and the columns of ``keep`` in ``others``."""
+    others = F.struct(F.lit(0).alias("none"), *[docs[c].alias(f"k{i}") for i, c in enumerate(keep)])
+    rows = docs.select(
+        docs[doc_id].alias("doc_id"), docs[text].cast("string").alias("text"), others.alias("others")
+    )
+    own = rows.select("doc_id", "text")
     id_kind = own.schema["doc_id"].dataType.simpleString()
     parsed = store(own.mapInArrow(_parse_batches, _PHRASES.format(id=id_kind)), "parse")
     # Pre-aggregated before the shuffle, so a core that every document holds is no hot spot.
@@ -174,10 +176,13 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         .groupBy(F.col("doc_id").alias("of"), F.col("body").alias("of_body"))
         .agg(F.collect_set(mark).alias("marks"))
     )
-    packed = own.mapInArrow(_pack, f"doc_id {id_kind}, body int, packed binary")
+    other_kind = rows.schema["others"].dataType.simpleString()
+    packed = rows.mapInArrow(
+        _pack, f"doc_id {id_kind}, others {other_kind}, body int, packed binary"
+    )
     same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("body") == F.col("of_body"))
     marked = packed.join(marks, same, "left").select(
-        "doc_id", "body", "packed",
+        "doc_id", "others", "body", "packed",
         F.expr(f"transform(filter(marks, m -> m.kind != {_OPEN}), "
                f"m -> struct(m.start AS start, m.start + m.places + {LENGTH - 1} AS end))").alias("spans"),
         F.expr(f"filter(marks, m -> m.kind != {_FULL})").alias("open"),
@@ -189,10 +194,10 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     ).agg(F.collect_set(F.struct("start", "end")).alias("more"))
     empty = F.array().cast("array<struct<start:int,end:int>>")
     done = marked.where(~F.coalesce(waiting, F.lit(False))).select(
-        "doc_id", "packed", F.coalesce("spans", empty).alias("spans")
+        "doc_id", "others", "packed", F.coalesce("spans", empty).alias("spans")
     )
     late = marked.where(waiting).join(compared, same, "left").select(
-        "doc_id", "packed",
+        "doc_id", "others", "packed",
         F.concat(F.coalesce("spans", empty), F.coalesce("more", empty)).alias("spans"),
     )
     return done.unionByName(late)
@@ -208,10 +213,11 @@ def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
-                    pa.array([_body(t) for t in texts], pa.int32()),
+                    part.column("others"),
+                    pa.array([text_hash(t) for t in texts], pa.int32()),
                     pa.array(packed, pa.binary()),
                 ],
-                ["doc_id", "body", "packed"],
+                ["doc_id", "others", "body", "packed"],
             )
 
 
@@ -228,7 +234,7 @@ def unpack(packed: bytes | None) -> bytes:
 
 def _compare(marked: DataFrame, id_kind: str) -> DataFrame:
     """Spans of the repeated strings of open phrases: doc_id, body, start, end."""
-    phrases = marked.where(F.size("open") > 0).mapInArrow(
+    phrases = marked.where(F.size("open") > 0).drop("others", "spans").mapInArrow(
         _cut_phrases,
         f"core bigint, variants bigint, kind int, doc_id {id_kind}, body int, start int, bytes binary",
     )
@@ -380,6 +386,36 @@ def removal_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 names,
             )
 
-    return spans.mapInArrow(
+    return spans.drop("others").mapInArrow(
         run, f"doc_id {id_kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
     )
+
+
+def remove_repeats(docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, with what remains of each text and its length in n_chars.
+
+    A null text stays null. Bytes of a character that was cut are left out.
+    """
+    keep = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    spans = repeated_spans(docs, keep=keep)
+    id_kind, other_kind = (spans.schema[c].dataType.simpleString() for c in ("doc_id", "others"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = []
+            for packed, found in zip(batch.column("packed"), batch.column("spans"), strict=True):
+                if packed.is_valid:
+                    texts.append(_kept(packed.as_py(), found.as_py())[1].decode(errors="ignore"))
+                else:
+                    texts.append(None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("others"), pa.array(texts, pa.string())],
+                ["doc_id", "others", "text"],
+            )
+
+    removed = spans.mapInArrow(run, f"doc_id {id_kind}, others {other_kind}, text string")
+    columns = {c: F.col(f"others.k{i}") for i, c in enumerate(keep)}
+    columns |= {"doc_id": F.col("doc_id"), "text": F.col("text")}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return removed.select([columns[c].alias(c) for c in docs.columns])
