@@ -6,7 +6,18 @@ import corpus_pipeline
 from corpus_pipeline import TOKENIZER
 from pyspark.sql import DataFrame, SparkSession
 
-from tradewind.llm import bpe, fingerprints, mixing, near_copies, quality, sharding, substrings, token_counts
+from tradewind.llm import (
+    bpe,
+    chats,
+    fingerprints,
+    mixing,
+    near_copies,
+    quality,
+    sharding,
+    substrings,
+    token_counts,
+    url_filters,
+)
 from tradewind.session import configure
 
 
@@ -29,6 +40,11 @@ def op3_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(docs, 40)
 
 
+def op4_url_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages", "page_id", "url", "html")
+    return url_filters.judge(pages)
+
+
 def op5_bpe_pair_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
     return bpe.encode_documents(docs, TOKENIZER).drop("text")
@@ -48,6 +64,14 @@ def op8_prefix_free_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.removal_report(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recovered turns of transcripts written from the conversations, all of which train."""
+    turns = _read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    transcripts = chats.raw_transcripts(turns)
+    model = chats.train(transcripts, "conv_id", "turn", "role", "raw")
+    return chats.parse(transcripts, model)
+
+
 def op10_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -58,10 +82,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_quality_outliers,
         op2_token_counts,
         op3_kd_shards,
+        op4_url_segmentation,
         op5_bpe_pair_index,
         op6_cube_mix,
         op7_chosen_path_join,
         op8_prefix_free_parsing,
+        op9_transcripts,
         op10_quartile_digest,
     )
 } | {"pipeline": corpus_pipeline.run}
