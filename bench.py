@@ -39,6 +39,10 @@ STORED = (
     "partition_by_month",
     "reload_month",
     "clustered_write",
+    "ingest_reviews",
+    "fct_orders_incremental",
+    "monthly_job_orders",
+    "backfill_delivery",
 )
 
 

@@ -63,9 +63,24 @@ def test_text_to_timestamp(spark):
         # Half past midnight did not exist that day in the session's zone.
         "2017-10-15 00:30:00": datetime(2017, 10, 15, 0, 30),
         "2017-02-30 00:00:00": None,
-        "2017-01-02": None,
-        "2017-01-02T03:04:05": None,
-        "2017-01-02 03:04:05.5": None,
+        "2017-01-02": datetime(2017, 1, 2),
+        "2017-01-02T03:04:05": datetime(2017, 1, 2, 3, 4, 5),
+        "2017-01-02 03:04:05.5": datetime(2017, 1, 2, 3, 4, 5, 500000),
+        "2017-01-02 03:04:05.250001": datetime(2017, 1, 2, 3, 4, 5, 250001),
+        "2017-01-02T03:04:05.25": datetime(2017, 1, 2, 3, 4, 5, 250000),
+        # The type holds microseconds.
+        "2017-01-02 03:04:05.123456789": datetime(2017, 1, 2, 3, 4, 5, 123456),
+        # Beyond the years that nanoseconds could count.
+        "2262-04-11 23:47:17": datetime(2262, 4, 11, 23, 47, 17),
+        "9999-12-31 00:00:00": datetime(9999, 12, 31),
+        "0001-01-01 00:00:00": datetime(1, 1, 1),
+        "2017": None,
+        "2017-01": None,
+        "2017-01-02 03:04:05.": None,
+        "2017-01-02 03:04:05+01:00": None,
+        "2017-01-02 03:04:05 UTC": None,
+        "2017-01-02 3:04 UTC": None,
+        "2017-01-02T": None,
         "3": None,
         "bad": None,
     }
@@ -95,8 +110,8 @@ TIMES = [
     "2017-01-02 3:04:05", "2017-1-2 03:04:05", "2017-01-02 24:00:00", "2017-01-02  03:04:05",
     "2017-01-02\t03:04:05", "2017-01-02 03:04:05\n", " 2017-01-02 03:04:05", "2017-13-01 00:00:00",
     "2017-01-02 03:04", "2017/01/02 03:04:05", "2017-01-02 03:04:05Z", "17-01-02 03:04:05",
-    "2016-02-29 00:00:00", "2017-02-29 00:00:00", "2262-04-11 23:47:16", "2262-04-11 23:47:17",
-    "2262-4-11 23:47:17", "1677-09-21 00:12:43", "1677-09-21 00:12:44", "9999-12-31 00:00:00",
+    "2016-02-29 00:00:00", "2017-02-29 00:00:00", "2262-04-11 23:47:16",
+    "1677-09-21 00:12:44",
 ]
 
 
@@ -148,6 +163,26 @@ def test_ingest_reviews_with_line_breaks(spark, tmp_path):
     assert jobs.undated_rows(spark, warehouse, "order_reviews") == 1
 
 
+CUSTOMERS = "customer_id,customer_city,customer_state\n"
+
+
+@pytest.mark.parametrize(
+    "row", ["c1,a,SP,RJ\n", "c1,a\n", 'c1,"two\nlines",SP\n'], ids=["long", "short", "broken"]
+)
+@pytest.mark.parametrize("columns", [["customer_id"], ["customer_id", "customer_city", "customer_state"]])
+def test_a_row_of_the_wrong_width_fails(spark, tmp_path, row, columns):
+    (tmp_path / "customers.csv").write_text(CUSTOMERS + "c0,b,SP\n" + row)
+    df = read_table_csv(spark, str(tmp_path / "customers.csv"), "customers").select(columns)
+    with pytest.raises(Exception, match="MALFORMED_RECORD|FAILFAST"):
+        df.collect()
+
+
+def test_line_breaks_are_read_where_a_table_is_named(spark, tmp_path):
+    (tmp_path / "customers.csv").write_text(CUSTOMERS + 'c1,"two\nlines, ""x""",SP\n')
+    df = read_table_csv(spark, str(tmp_path / "customers.csv"), "customers", ("customers",))
+    assert [tuple(r) for r in df.collect()] == [("c1", 'two\nlines, "x"', "SP")]
+
+
 def test_csv_columns_go_by_header_not_position(spark, tmp_path):
     path = tmp_path / "customers.csv"
     path.write_text("customer_state,customer_zip_code_prefix,customer_id\nSP,01037,c1\n")

@@ -11,11 +11,7 @@ from tradewind.session import scratch_dir
 
 
 def write_csv(df, path):
-    text = [
-        F.substring(F.col(c).cast("string"), 1, 19).alias(c) if kind == "timestamp_ntz"
-        else F.col(c).cast("string")
-        for c, kind in df.dtypes
-    ]
+    text = [F.col(c).cast("string") for c in df.columns]
     df.select(*text).write.option("header", True).csv(str(path))
 
 

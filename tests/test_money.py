@@ -1,0 +1,43 @@
+"""Sums of amounts of any size."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from tradewind.functions.money import money_sum
+
+
+def total(df):
+    return df.agg(money_sum("v").alias("s")).first()[0]
+
+
+def test_tiny_amounts_are_not_rounded_away(spark):
+    assert total(spark.range(10_000_000).select(F.lit(4e-7).alias("v"))) == 4.0
+
+
+def test_digits_are_kept(spark):
+    assert total(spark.range(1000).select(F.lit(0.1234567).alias("v"))) == 123.4567
+
+
+def test_large_amounts_do_not_overflow(spark):
+    assert total(spark.range(20_000).select(F.lit(9.9e14).alias("v"))) == 1.98e19
+
+
+def test_amounts_of_all_sizes_in_any_order(spark):
+    amounts = [0.1, 0.2, 9.9e14, 4e-7, -0.3, 0.30000000000000004, None]
+    frames = [spark.createDataFrame([(a,) for a in x], "v double") for x in (amounts, amounts[::-1])]
+    assert [total(f) for f in frames] == [990000000000000.3, 990000000000000.3]
+
+
+def test_nothing_sums_to_null(spark):
+    assert total(spark.createDataFrame([(None,)], "v double")) is None
+
+
+@pytest.mark.parametrize("amount", [1e-19, 1e20, 1e300, float("inf"), float("nan")])
+def test_an_amount_that_does_not_fit_fails(spark, amount):
+    with pytest.raises(Exception, match="does not fit|OUT_OF_RANGE|CAST_OVERFLOW|cannot be represented"):
+        total(spark.createDataFrame([(1.0,), (amount,)], "v double"))
+
+
+def test_a_sum_that_does_not_fit_fails(spark):
+    with pytest.raises(Exception, match="(?i)out_of_range|overflow"):
+        total(spark.range(2).select(F.lit(9e19).alias("v")))

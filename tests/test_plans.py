@@ -3,25 +3,28 @@
 import glob
 from contextlib import contextmanager
 
+import pyarrow.parquet as pq
 import pytest
 from marketplace import orders
 from pyspark.sql import functions as F
 
-import __spark_entry__ as contract
 from tradewind.operators.months import with_month
-from tradewind.operators.writes import write_clustered, write_months
-from tradewind.plans import kpi, marts
-from tradewind.schemas import PARTITION_MONTH
-from tradewind.sources.warehouse import Warehouse, read_months
+from tradewind.operators.writes import overwrite_months, write_clustered, write_months
+from tradewind.plans import jobs, kpi, marts
+from tradewind.queries import QUERIES
+from tradewind.schemas import PARTITION_MONTH, raw_schema
+from tradewind.sources.warehouse import Warehouse, read_declared, read_months, stored_months
 
 # Queries that only compute, so that their whole plan is at hand.
 PURE = sorted(
-    set(contract.queries())
+    set(QUERIES)
     - {
-        "append_load", "backfill", "clustered_write", "csv_roundtrip", "delete_month_stored",
-        "fct_orders_full", "fct_orders_high_water_mark", "fct_orders_incremental",
-        "gated_build", "ingest", "load_month", "load_static", "load_with_schema",
-        "monthly_job", "partition_by_month", "reload_month",
+        "append_load", "backfill", "backfill_delivery", "clustered_write", "csv_roundtrip",
+        "csv_roundtrip_items", "delete_month_stored", "fct_orders_full",
+        "fct_orders_high_water_mark", "fct_orders_incremental", "gated_build", "ingest",
+        "ingest_reviews", "load_month", "load_static", "load_static_customers",
+        "load_with_schema", "monthly_job", "monthly_job_orders", "partition_by_month",
+        "reload_month",
     }
 )
 
@@ -63,19 +66,19 @@ def small_partitions(spark):
 
 @pytest.mark.parametrize("name", PURE)
 def test_no_python_and_no_cross_join(spark, sf_dir, name):
-    text = plan(contract.queries()[name](spark, sf_dir))
+    text = plan(QUERIES[name](spark, sf_dir))
     for node in ("Python", "Pandas", "CartesianProduct", "BroadcastNestedLoopJoin"):
         assert node not in text
 
 
 def test_status_filter_reaches_the_scan(spark, sf_dir):
-    text = contract.queries()["kpi_top_sellers"](spark, sf_dir)
+    text = QUERIES["kpi_top_sellers"](spark, sf_dir)
     assert "EqualTo(o_orderstatus,F)" in plan(text)
     assert "TakeOrderedAndProject" in plan(text)
 
 
 def test_only_needed_columns_are_read(spark, sf_dir):
-    text = plan(contract.queries()["kpi_top_sellers"](spark, sf_dir))
+    text = plan(QUERIES["kpi_top_sellers"](spark, sf_dir))
     assert "struct<l_orderkey:bigint,l_suppkey:bigint,l_extendedprice:double>" in text
     assert "struct<o_orderkey:bigint,o_orderstatus:string>" in text
 
@@ -145,9 +148,75 @@ def test_hot_month_and_hot_state_are_written_by_several_tasks(spark, hot, tmp_pa
     state = F.when(F.col("order_id") == "hot", "SP").otherwise(F.col("amount").cast("int").cast("string"))
     df = hot.select(state.alias("state"), "seller_id")
     with small_partitions(spark):
-        write_clustered(df, str(tmp_path / "clustered"), "state")
+        spread = df.withColumn("n", F.xxhash64("seller_id"))
+        write_clustered(spread, str(tmp_path / "clustered"), "state", spread="n")
         write_months(df.withColumnRenamed("state", "m"), str(tmp_path / "months"), "m")
     holding = spark.read.parquet(str(tmp_path / "clustered")).where("state = 'SP'")
     assert holding.select(F.input_file_name()).distinct().count() > 1
     assert len(glob.glob(str(tmp_path / "months" / "m=SP" / "*.parquet"))) > 1
     assert holding.count() == 100_000
+
+
+def test_clustered_reads_skip_row_groups_and_a_hot_state_is_spread(spark, hot, tmp_path):
+    state = F.when(F.col("order_id") == "hot", "SP").otherwise(F.substring("seller_id", 1, 2))
+    path = tmp_path / "sellers"
+    rows = hot.select("seller_id", state.alias("state"), F.xxhash64("order_id", "seller_id").alias("n"))
+    with settings(
+        spark,
+        spark__sql__shuffle__partitions="32",
+        spark__sql__adaptive__coalescePartitions__enabled="false",
+    ):
+        write_clustered(rows.drop("state"), str(path), "seller_id", spread="n")
+        write_clustered(rows.drop("seller_id"), str(tmp_path / "states"), "state", spread="n")
+    assert spark.read.parquet(str(path)).columns == ["seller_id"]
+    wanted = spark.read.parquet(str(path)).first()[0]
+    groups = _ranges(path, "seller_id")
+    assert len(groups) >= 20 and sum(low <= wanted <= high for low, high in groups) <= 2
+    holding = sum(low <= "SP" <= high for low, high in _ranges(tmp_path / "states", "state"))
+    assert 8 <= holding <= 14
+
+
+def _ranges(path, column):
+    """The least and greatest value of a column in every row group, from the footers."""
+    found = []
+    for file in path.glob("*.parquet"):
+        footer = pq.ParquetFile(file)
+        place = footer.schema_arrow.get_field_index(column)
+        for k in range(footer.metadata.num_row_groups):
+            statistics = footer.metadata.row_group(k).column(place).statistics
+            found.append((statistics.min, statistics.max))
+    return found
+
+
+def test_payments_of_other_orders_are_left_out_before_grouping(spark, tmp_path):
+    from marketplace import payments
+
+    warehouse, seen = Warehouse(str(tmp_path)), []
+    write_months(with_month(orders(spark), "orders"), warehouse.raw("orders"), PARTITION_MONTH)
+    raw = read_declared(spark, warehouse.raw("orders"), raw_schema("orders"))
+
+    def watched(df, *args, **kwargs):
+        seen.append(plan(df))
+        overwrite_months(df, *args, **kwargs)
+
+    jobs.update_fct_orders(spark, warehouse, raw, payments(spark), [])
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(jobs, "overwrite_months", watched)
+        jobs.update_fct_orders(spark, warehouse, raw, payments(spark), ["2017-01"])
+    lines = seen[0].splitlines()
+    grouping = max(i for i, x in enumerate(lines) if "Aggregate" in x and "partial" in x)
+    assert any("LeftSemi" in x for x in lines[grouping:])
+
+
+def test_months_come_from_the_listing_without_a_job(spark, tmp_path):
+    path = str(tmp_path / "orders")
+    write_months(with_month(orders(spark), "orders"), path, PARTITION_MONTH)
+    (tmp_path / "orders" / f"{PARTITION_MONTH}=2016-01").mkdir()
+    spark.sparkContext.setJobGroup("listing", "")
+    try:
+        assert stored_months(spark, path, PARTITION_MONTH) == ["2017-01", "2017-02"]
+        assert stored_months(spark, path, PARTITION_MONTH, ["2017-02"]) == ["2017-02"]
+        assert stored_months(spark, str(tmp_path / "none"), PARTITION_MONTH) == []
+        assert not list(spark.sparkContext.statusTracker().getJobIdsForGroup("listing"))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()

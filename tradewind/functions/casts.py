@@ -11,12 +11,10 @@ NULL_TOKENS = (
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-_NUMBER = r"(?i)^(\s*[+-]?(\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?\s*|[+-]?inf(inity)?)\z"
+_NUMBER = r"(?i)^\s*[+-]?(\d+(\.\d*)?|\.\d+)(e[+-]?\d+)?\s*\z"
 _INFINITY = r"(?i)^[+-]?inf(inity)?\z"
-_TIMESTAMP = r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\z"
-_LOOSE_TIMESTAMP = r"^\d{4}-\d{1,2}-\d{1,2}\s+\d{1,2}:\d{1,2}:\d{1,2}\z"
-# The whole seconds a 64-bit count of nanoseconds can hold.
-_FIRST_TIME, _LAST_TIME = "1677-09-21 00:12:44", "2262-04-11 23:47:16"
+# A date, alone or with a time of day to the second or finer. The type holds microseconds.
+_TIME = r"^\d{4}-\d{1,2}-\d{1,2}((T|\s+)\d{1,2}:\d{1,2}:\d{1,2}(\.\d{1,9})?)?\z"
 _LONG_LIMIT = float(2**63)
 
 
@@ -62,15 +60,17 @@ def _text(name: str) -> Column:
 
 
 def _parse_real(name: str) -> Column:
-    # The pattern keeps out forms such as 3d that only Spark reads as numbers.
-    c = F.col(name)
-    return F.when(c.rlike(_NUMBER), c.try_cast("double"))
+    return F.col(name).try_cast("double")
 
 
 def _accept_real(name: str) -> Column:
-    # Infinity has to be spelled out; a number beyond the double range is unreadable.
+    # Spark alone reads 3d and hexadecimal numbers; infinity has to be spelled out, and a
+    # number beyond the double range is unreadable. Most texts end in a digit, and then the
+    # pattern need not be tried.
     c, number = F.col(name), F.col(_parsed(name))
-    return F.when((F.abs(number) < F.lit(float("inf"))) | c.rlike(_INFINITY), number)
+    usual = F.substring(c, -1, 1).between(".", "9") & ~c.contains("x") & ~c.contains("X")
+    finite = F.abs(number) < F.lit(float("inf"))
+    return F.when((finite & (usual | c.rlike(_NUMBER))) | c.rlike(_INFINITY), number)
 
 
 def _parse_whole(name: str) -> Column:
@@ -81,26 +81,27 @@ def _accept_whole(name: str) -> Column:
     # 4.0 is 4, and text is null, but a fraction or an infinity fails the job.
     c, number = F.col(name), F.col(_parsed(name))
     fails = F.raise_error(F.concat(F.lit("not a whole number: "), c)).cast("bigint")
+    real = _accept_real(name)
+    whole = (F.rint(number) == number) & (F.abs(number) < _LONG_LIMIT) & real.isNotNull()
     return F.coalesce(
-        c.try_cast("bigint"),
-        F.when((F.rint(number) == number) & (F.abs(number) < _LONG_LIMIT), number.cast("bigint"))
-        .when(_accept_real(name).isNotNull(), fails),
+        c.try_cast("bigint"), F.when(whole, number.cast("bigint")).when(real.isNotNull(), fails)
     )
 
 
 def _parse_time(name: str) -> Column:
-    # Never by way of the session zone. Single digits and wider gaps are read too.
+    # Never by way of the session zone. Wider gaps before the time of day are read too.
     c = F.col(name)
-    loose = F.regexp_replace(c, r"\s+", " ")
-    return F.when(c.rlike(_TIMESTAMP), c.try_cast("timestamp_ntz")).when(
-        c.rlike(_LOOSE_TIMESTAMP), loose.try_cast("timestamp_ntz")
-    )
+    gap = F.when(c.rlike(_TIME), F.regexp_replace(c, r"\s+", " ").try_cast("timestamp_ntz"))
+    return F.coalesce(c.try_cast("timestamp_ntz"), gap)
 
 
 def _accept_time(name: str) -> Column:
-    time = F.col(_parsed(name))
-    first, last = (F.lit(t).cast("timestamp_ntz") for t in (_FIRST_TIME, _LAST_TIME))
-    return F.when(time.between(first, last), time)
+    # Spark alone reads years, months, times without seconds and zones. The usual form is
+    # told by its length and separators, so that the pattern need not be tried.
+    c, at = F.col(name), lambda place: F.substring(F.col(name), place, 1)
+    digits = at(1).between("0", "9") & at(19).between("0", "9")
+    usual = (F.length(c) == 19) & (at(14) == ":") & (at(17) == ":") & digits
+    return F.when(usual | c.rlike(_TIME), F.col(_parsed(name)))
 
 
 _PARSE = {"bigint": _parse_whole, "double": _parse_real, "timestamp_ntz": _parse_time}

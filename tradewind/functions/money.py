@@ -3,22 +3,20 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Twenty digits before the point and eighteen after it.
+_EXACT = "DECIMAL(38, 18)"
+
 
 def money_sum(amount: str) -> Column:
-    """Sum of a double column, exact to the millionth, the same in whatever order rows arrive.
+    """Exact sum of a double column, rounded once, to the nearest double.
 
-    Adds whole units and millionths as two longs. That costs about as much as a double sum
-    (a decimal cast costs several times more) and does not change when a lost executor's
-    tasks are run again in another order. NaN, infinities and single amounts of 10^15 and
-    more are added as doubles.
+    It does not depend on the order of rows or on tasks run again. An amount is taken as the
+    shortest decimal text that stands for it. One that does not fit, with more than 18 digits
+    after the point or 10^20 and more, fails the job, as do infinity, NaN and a sum out of range.
     """
-    units = f"CASE WHEN abs({amount}) < 1e15D THEN CAST({amount} AS bigint) END"
-    whole = f"sum({units})"
-    part = f"sum(CAST(rint(({amount} - {units}) * 1e6D) AS bigint))"
-    beyond = f"sum(CASE WHEN abs({amount}) >= 1e15D THEN {amount} END)"
-    # Below nine thousand million units the total in millionths is exact as a double.
-    exact = f"""
-        CASE WHEN abs({whole}) < 9000000000 THEN ({whole} * 1000000 + {part}) / 1e6D
-             ELSE {whole} + {part} / 1e6D END"""
+    exact = f"CAST({amount} AS {_EXACT})"
+    error = f"concat('an amount does not fit: ', CAST({amount} AS STRING))"
     return F.expr(f"""
-        CASE WHEN {beyond} IS NULL THEN {exact} ELSE coalesce({exact}, 0D) + {beyond} END""")
+        CAST(sum(CASE WHEN CAST({exact} AS DOUBLE) = {amount} THEN {exact}
+                      WHEN {amount} IS NOT NULL THEN CAST(raise_error({error}) AS {_EXACT})
+                 END) AS DOUBLE)""")

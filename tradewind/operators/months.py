@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.functions.dates import month_label, month_start, not_in_month
-from tradewind.operators.writes import clear_months, overwrite_months
-from tradewind.schemas import MONTH_KEY, PARTITION_MONTH, raw_schema
-from tradewind.sources.warehouse import Warehouse, landed_months, read_months
+from tradewind.operators.writes import overwrite_months
+from tradewind.schemas import MONTH_KEY, PARTITION_MONTH
+from tradewind.sources.warehouse import Warehouse, drop_months, landed_months, read_months
 
 # Fixed value: what an empty mart counts as its latest purchase.
 NOTHING_STORED = "1900-01-01"
@@ -36,12 +36,12 @@ def reload_months(
         landed = read_months(spark, warehouse.landing(table), table, arrived)
         overwrite_months(landed, warehouse.raw(table), PARTITION_MONTH, spread=False)
     gone = set(months) - set(arrived)
-    clear_months(spark, warehouse.raw(table), raw_schema(table), PARTITION_MONTH, gone)
+    drop_months(spark, warehouse.raw(table), PARTITION_MONTH, gone)
 
 
 def delete_month(spark: SparkSession, warehouse: Warehouse, table: str, month: str) -> None:
     """Empty a month of a stored raw table; a table not stored yet stays so."""
-    clear_months(spark, warehouse.raw(table), raw_schema(table), PARTITION_MONTH, {month})
+    drop_months(spark, warehouse.raw(table), PARTITION_MONTH, {month})
 
 
 def high_water_mark(stored: DataFrame, time_column: str) -> DataFrame:

@@ -1,9 +1,6 @@
 """Ways of storing a table. None of them gathers a month, key or file into one task."""
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import types as T
-
-from tradewind.sources.warehouse import stored_months
+from pyspark.sql import DataFrame
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -18,16 +15,16 @@ def append_table(df: DataFrame, path: str, month_column: str | None = None) -> N
     writer.parquet(path)
 
 
-def write_clustered(df: DataFrame, path: str, *columns: str) -> None:
-    """Replace the table, rows of equal ``columns`` together, so reads skip row groups.
+def write_clustered(df: DataFrame, path: str, *columns: str, spread: str | None = None) -> None:
+    """Replace the table, rows of equal ``columns`` side by side, so reads skip row groups.
 
-    Rebalancing gathers a value into few files like a plain repartition does, but it cuts an
-    oversized value (one state with a third of all rows) into several tasks and merges tiny
-    ones. A range repartition could cut neither one value nor a group of identical rows.
+    Files hold ranges of ``columns``, so the least and greatest value of most row groups leave
+    a wanted value out. ``spread`` names a column of evenly spread numbers that is not stored:
+    ranges go by it as well, so a value with a third of all rows is cut into several tasks.
     """
-    df.hint("rebalance", *columns).sortWithinPartitions(*columns).write.mode(
-        "overwrite"
-    ).parquet(path)
+    keys = [*columns, spread] if spread else list(columns)
+    ranges = df.repartitionByRange(*keys).sortWithinPartitions(*columns)
+    (ranges.drop(spread) if spread else ranges).write.mode("overwrite").parquet(path)
 
 
 def write_months(df: DataFrame, path: str, month_column: str) -> None:
@@ -48,17 +45,5 @@ def overwrite_months(df: DataFrame, path: str, month_column: str, spread: bool =
     ).parquet(path)
 
 
-def clear_months(
-    spark: SparkSession, path: str, schema: T.StructType, month_column: str, months: set[str]
-) -> None:
-    """Empty those of the months that are stored. Dynamic overwrite skips absent months."""
-    if not months:
-        return
-    columns = T.StructType([field for field in schema if field.name != month_column])
-    empty = spark.createDataFrame([], columns)
-    for month in stored_months(spark, path, schema, month_column, among=months):
-        empty.write.mode("overwrite").parquet(f"{path}/{month_column}={month}")
-
-
 def _by_month(df: DataFrame, month_column: str):
     return df.hint("rebalance", month_column).write

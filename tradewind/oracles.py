@@ -2,8 +2,18 @@
 
 from tradewind.operators.quality import ACCEPTED, CHECKS, NOT_NULL, UNIQUE, Check
 from tradewind.queries import LATER_FROM, MID_MONTH, MONTH
+from tradewind.schemas import MART_COLUMNS, RAW_COLUMNS, STATIC_TABLES
 from tradewind.standins import DELIVERED_STANDIN
 
+
+
+def _exact_sum(amount: str) -> str:
+    """Sum of doubles as the decimals they stand for, by way of text, which rounds nothing."""
+    exact = f"CAST(CAST({amount} AS VARCHAR) AS DECIMAL(38, 18))"
+    return f"CAST(CAST(sum({exact}) AS VARCHAR) AS DOUBLE)"
+
+
+# Fixed names: tables and columns are those of the schemas and staging models.
 # The raw tables, the staging models and the marts, each as a named subquery.
 _MODELS = f"""
 WITH raw_orders AS (
@@ -75,11 +85,21 @@ WITH raw_orders AS (
   SELECT customer_id, customer_unique_id, customer_zip_code_prefix AS zip_code_prefix,
          customer_city AS city, customer_state AS state
   FROM raw_customers WHERE customer_id IS NOT NULL
-), stg_sellers AS (
+), raw_sellers AS (
   SELECT CAST(s_suppkey AS VARCHAR) AS seller_id,
-         CAST(s_nationkey AS VARCHAR) AS zip_code_prefix,
-         s_name AS city, n_name AS state
-  FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey IS NOT NULL
+         CAST(s_nationkey AS VARCHAR) AS seller_zip_code_prefix,
+         s_name AS seller_city, n_name AS seller_state
+  FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey
+), raw_products AS (
+  SELECT * FROM part
+), raw_geolocation AS (
+  SELECT * FROM nation
+), raw_category_translation AS (
+  SELECT DISTINCT p_type FROM part
+), stg_sellers AS (
+  SELECT seller_id, seller_zip_code_prefix AS zip_code_prefix, seller_city AS city,
+         seller_state AS state
+  FROM raw_sellers WHERE seller_id IS NOT NULL
 ), stg_products AS (
   SELECT CAST(p_partkey AS VARCHAR) AS product_id,
          coalesce(p_type, 'unknown') AS category_name,
@@ -113,7 +133,7 @@ WITH raw_orders AS (
   FROM stg_order_items i JOIN delivered_orders o ON o.order_id = i.order_id
 ), order_payments_sum AS (
   SELECT order_id,
-         CAST(sum(CAST(payment_value AS DECIMAL(18, 2))) AS DOUBLE) AS total_order_revenue
+         {_exact_sum("payment_value")} AS total_order_revenue
   FROM stg_order_payments GROUP BY order_id
 ), fct_orders AS (
   SELECT o.purchased_at, o.order_id, coalesce(p.total_order_revenue, 0) AS total_order_revenue
@@ -125,8 +145,7 @@ WITH raw_orders AS (
 ), kpi_monthly AS (
   SELECT strftime(purchased_at, '%Y-%m') AS month,
          count(DISTINCT order_id) AS total_orders,
-         round(CAST(sum(CAST(total_order_revenue AS DECIMAL(18, 2))) AS DOUBLE), 2)
-           AS total_revenue
+         round({_exact_sum("total_order_revenue")}, 2) AS total_revenue
   FROM fct_orders GROUP BY 1
 ), kpi_delivery_by_state AS (
   SELECT state, round(avg(days_to_delivery), 1) AS avg_days
@@ -134,13 +153,22 @@ WITH raw_orders AS (
   WHERE days_to_delivery IS NOT NULL AND days_to_delivery >= 0 GROUP BY 1
 ), kpi_top_sellers AS (
   SELECT seller_id,
-         round(CAST(sum(CAST(item_gross_revenue AS DECIMAL(18, 2))) AS DOUBLE), 2)
-           AS total_seller_revenue
+         round({_exact_sum("item_gross_revenue")}, 2) AS total_seller_revenue
   FROM fct_seller_revenue GROUP BY 1
   ORDER BY total_seller_revenue DESC NULLS LAST, seller_id NULLS FIRST LIMIT 10
 )
 """
 
+
+def _all_as_expected(*tables: str) -> str:
+    """A comparison that finds every row of these tables and no difference."""
+    return "\nUNION ALL ".join(
+        f"SELECT '{table.removeprefix('raw_')}' AS table_name, count(*) AS n_rows,"
+        f" CAST(0 AS BIGINT) AS n_different FROM {table}"
+        for table in tables
+    )
+
+
 _SELECTS = {
     **{
         name: f"SELECT * FROM {name}"
@@ -183,18 +211,21 @@ SELECT * FROM fct_orders WHERE purchased_at > (
   SELECT coalesce(max(purchased_at), TIMESTAMP '1900-01-01') FROM fct_orders
   WHERE purchased_at < TIMESTAMP '{LATER_FROM}')""",
     "gated_build": "SELECT * FROM fct_seller_revenue",
-    "cast_columns": "SELECT * FROM raw_order_items",
-    "csv_roundtrip": "SELECT * FROM raw_order_items",
-    "ingest": """
-SELECT review_id, order_id, review_score, review_comment_title, review_comment_message,
-       date_trunc('second', review_creation_date) AS review_creation_date,
-       date_trunc('second', review_answer_timestamp) AS review_answer_timestamp,
-       strftime(review_creation_date, '%Y-%m') AS partition_month
+    "cast_columns": _all_as_expected(*(f"raw_{t}" for t in RAW_COLUMNS)),
+    "cast_order_items": "SELECT * FROM raw_order_items",
+    "csv_roundtrip": """
+SELECT * REPLACE (review_comment_message || ', "' || review_comment_title || '"' || chr(10) || ',end'
+                  AS review_comment_message)
 FROM raw_order_reviews""",
+    "csv_roundtrip_items": "SELECT * FROM raw_order_items",
+    "ingest": _all_as_expected(*(f"raw_{t}" for t in RAW_COLUMNS)),
+    "ingest_reviews": """
+SELECT *, strftime(review_creation_date, '%Y-%m') AS partition_month FROM raw_order_reviews""",
     "partition_by_month": "SELECT * FROM raw_orders_stored",
     "load_with_schema": "SELECT * FROM raw_order_payments",
     "load_month": f"SELECT * FROM raw_orders_stored WHERE partition_month = '{MONTH}'",
-    "load_static": "SELECT * FROM raw_customers",
+    "load_static": _all_as_expected(*(f"raw_{t}" for t in STATIC_TABLES)),
+    "load_static_customers": "SELECT * FROM raw_customers",
     "append_load": "SELECT * FROM raw_orders_stored",
     "delete_month": f"""
 SELECT * FROM raw_orders
@@ -205,8 +236,10 @@ SELECT * FROM raw_orders_stored
 WHERE partition_month <> '{MONTH}' OR partition_month IS NULL""",
     "reload_month": "SELECT * FROM raw_orders_stored",
     "clustered_write": "SELECT * FROM fct_seller_revenue",
-    "monthly_job": "SELECT * FROM fct_orders_stored",
-    "backfill": "SELECT * FROM fct_delivery_by_state",
+    "monthly_job": _all_as_expected(*MART_COLUMNS),
+    "monthly_job_orders": "SELECT * FROM fct_orders_stored",
+    "backfill": _all_as_expected(*MART_COLUMNS),
+    "backfill_delivery": "SELECT * FROM fct_delivery_by_state",
 }
 
 

@@ -8,13 +8,13 @@ from tradewind.functions.dates import month_label, month_start
 from tradewind.operators.months import reload_months, stored_high_water_mark, with_month
 from tradewind.operators.quality import CHECKS, Check, check_report, enforce
 from tradewind.operators.writes import (
-    clear_months,
     overwrite_months,
     write_clustered,
     write_months,
     write_table,
 )
 from tradewind.plans.marts import (
+    SPREAD,
     fct_delivery_by_state,
     fct_orders,
     fct_seller_revenue,
@@ -25,6 +25,7 @@ from tradewind.schemas import (
     DELIVERED,
     MART_COLUMNS,
     MONTH_KEY,
+    MULTILINE_TABLES,
     PARTITION_MONTH,
     PURCHASE_MONTH,
     RAW_COLUMNS,
@@ -36,6 +37,8 @@ from tradewind.session import configure
 from tradewind.sources.csv import read_table_csv
 from tradewind.sources.warehouse import (
     Warehouse,
+    drop_months,
+    month_files,
     read_declared,
     read_existing,
     read_mart,
@@ -57,14 +60,20 @@ STATIC_CHECKED = (
 )
 
 
-def ingest(spark: SparkSession, csv_paths: dict[str, str], warehouse: Warehouse) -> None:
+def ingest(
+    spark: SparkSession,
+    csv_paths: dict[str, str],
+    warehouse: Warehouse,
+    multiline_tables: tuple[str, ...] = MULTILINE_TABLES,
+) -> None:
     """CSV files to typed landing files, orders and reviews split by month.
 
-    ``csv_paths`` gives a file, folder or pattern per table.
+    ``csv_paths`` gives a file, folder or pattern per table, ``multiline_tables`` the tables
+    whose texts may hold line breaks. A row that does not fit its header fails the job.
     """
     configure(spark)
     for table, path in csv_paths.items():
-        typed = cast_columns(read_table_csv(spark, path, table), table)
+        typed = cast_columns(read_table_csv(spark, path, table, multiline_tables), table)
         if table in MONTH_KEY:
             write_months(with_month(typed, table), warehouse.landing(table), PARTITION_MONTH)
         else:
@@ -144,12 +153,16 @@ def build_marts(
     orders = models["stg_orders"]
     enriched = int_orders_enriched(orders, models["stg_customers"], delivered)
     write_clustered(
-        fct_delivery_by_state(enriched), warehouse.mart("fct_delivery_by_state"), "state"
+        fct_delivery_by_state(enriched, spread=True),
+        warehouse.mart("fct_delivery_by_state"),
+        "state",
+        spread=SPREAD,
     )
     write_clustered(
-        fct_seller_revenue(models["stg_order_items"], orders, delivered),
+        fct_seller_revenue(models["stg_order_items"], orders, delivered, spread=True),
         warehouse.mart("fct_seller_revenue"),
         "seller_id",
+        spread=SPREAD,
     )
 
 
@@ -177,14 +190,17 @@ def update_fct_orders(
     path, schema = warehouse.mart("fct_orders"), mart_schema("fct_orders")
     payments = stage("stg_order_payments", raw_payments)
 
-    def totals(raw: DataFrame) -> DataFrame:
+    def totals(raw: DataFrame, some: bool = True) -> DataFrame:
         orders = stage("stg_orders", raw)
-        mart = fct_orders(orders, payments, delivered, orders_unique)
+        wanted = orders.where(F.col("order_status") == delivered).select("order_id")
+        # Of all payments ever made, only those of the orders at hand are grouped.
+        own = payments.join(wanted, "order_id", "left_semi") if some else payments
+        mart = fct_orders(orders, own, delivered, orders_unique)
         return mart.withColumn(PURCHASE_MONTH, month_label(month_start(F.col("purchased_at"))))
 
     stored = None if full_refresh else read_existing(spark, path, schema)
     if stored is None:
-        write_months(totals(raw_orders), path, PURCHASE_MONTH)
+        write_months(totals(raw_orders, some=False), path, PURCHASE_MONTH)
     elif mode == HIGH_WATER_MARK:
         # Read before the write, as one value: the plan must not scan what it replaces.
         mark = stored_high_water_mark(stored, "purchased_at", PURCHASE_MONTH)
@@ -196,13 +212,13 @@ def update_fct_orders(
         overwrite_months(totals(later), path, PURCHASE_MONTH)
     else:
         touched = raw_orders.where(F.col(PARTITION_MONTH).isin(*months))
+        before = month_files(spark, path, PURCHASE_MONTH)
         overwrite_months(totals(touched), path, PURCHASE_MONTH, spread=len(set(months)) > 1)
-        # The mart has the months of its delivered orders; a touched month without any stays
-        # behind in a dynamic overwrite.
-        wanted = stage("stg_orders", touched).where(F.col("order_status") == delivered)
-        filled = wanted.select(month_label(month_start(F.col("purchased_at")))).distinct()
-        gone = set(months) - {row[0] for row in filled.collect()}
-        clear_months(spark, path, schema, PURCHASE_MONTH, gone)
+        # A dynamic overwrite leaves a month alone for which there is no row any more. File
+        # names are new in every write, so such a month still has its old ones.
+        after = month_files(spark, path, PURCHASE_MONTH)
+        gone = {m for m in months if m in after and after[m] == before.get(m)}
+        drop_months(spark, path, PURCHASE_MONTH, gone)
 
 
 def staged(

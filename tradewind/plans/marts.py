@@ -8,6 +8,9 @@ from tradewind.functions.money import money_sum
 from tradewind.operators.joins import left_join_totals
 from tradewind.schemas import DELIVERED
 
+# A column that only spreads rows over tasks in a clustered write.
+SPREAD = "_spread"
+
 
 def int_orders_enriched(
     orders: DataFrame, customers: DataFrame, delivered: str = DELIVERED, whole_days: bool = False
@@ -22,17 +25,24 @@ def int_orders_enriched(
     )
 
 
-def fct_delivery_by_state(enriched: DataFrame) -> DataFrame:
-    return enriched.select("state", "days_to_delivery")
+def fct_delivery_by_state(enriched: DataFrame, spread: bool = False) -> DataFrame:
+    """``spread`` adds a hash of the order, which keeps a hot state apart when it is written."""
+    mart = ["state", "days_to_delivery"]
+    return enriched.select(*mart, *[F.xxhash64("order_id").alias(SPREAD)] * spread)
 
 
 def fct_seller_revenue(
-    items: DataFrame, orders: DataFrame, delivered: str = DELIVERED
+    items: DataFrame, orders: DataFrame, delivered: str = DELIVERED, spread: bool = False
 ) -> DataFrame:
-    """Price of every item of a delivered order; an order stored twice counts twice."""
+    """Price of every item of a delivered order; an order stored twice counts twice.
+
+    ``spread`` adds a hash of order and item, which keeps a hot seller apart when it is written.
+    """
     wanted = orders.where(F.col("order_status") == delivered).select("order_id")
     return items.join(wanted, "order_id").select(
-        "seller_id", F.col("item_price").alias("item_gross_revenue")
+        "seller_id",
+        F.col("item_price").alias("item_gross_revenue"),
+        *[F.xxhash64("order_id", "order_item_id").alias(SPREAD)] * spread,
     )
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.functions.casts import cast_columns
+from tradewind.functions.dates import month_label, month_start
 from tradewind.operators.months import (
     delete_month,
     high_water_mark,
@@ -36,7 +37,9 @@ from tradewind.plans.staging import STAGING, stage
 from tradewind.schemas import (
     MONTH_KEY,
     PARTITION_MONTH,
+    PURCHASE_MONTH,
     RAW_COLUMNS,
+    STATIC_TABLES,
     mart_schema,
     raw_schema,
 )
@@ -133,26 +136,76 @@ def _checks(*kinds: str) -> _Query:
     return query
 
 
-def _cast_columns(spark, sf_dir):
+def _compared(expected: dict[str, DataFrame], actual: dict[str, DataFrame]) -> DataFrame:
+    """By table: the rows that are there, and how many are too many or missing, duplicates
+    counted. Every column of every row is compared."""
+    report = None
+    for name, wanted in expected.items():
+        found = actual[name].select(wanted.columns)
+        sides = wanted.withColumn("_side", F.lit(1)).unionAll(found.withColumn("_side", F.lit(-1)))
+        rows = sides.groupBy(wanted.columns).agg(
+            F.count_if(F.col("_side") < 0).alias("found"), F.abs(F.sum("_side")).alias("off")
+        )
+        line = rows.agg(
+            F.coalesce(F.sum("found"), F.lit(0)).alias("n_rows"),
+            F.coalesce(F.sum("off"), F.lit(0)).alias("n_different"),
+        ).select(F.lit(name).alias("table_name"), "n_rows", "n_different")
+        report = line if report is None else report.unionAll(line)
+    return report
+
+
+def _cast_order_items(spark, sf_dir):
     return cast_columns(_as_text(raw_table(spark, sf_dir, "order_items")), "order_items")
 
 
-def _csv_roundtrip(spark, sf_dir):
+def _cast_columns(spark, sf_dir):
+    """All nine tables to text and back."""
+    raw = {table: raw_table(spark, sf_dir, table) for table in RAW_COLUMNS}
+    return _compared(raw, {t: cast_columns(_as_text(df), t) for t, df in raw.items()})
+
+
+def _csv_roundtrip_items(spark, sf_dir):
     path = scratch_dir(spark)
     _write_csv(_as_text(raw_table(spark, sf_dir, "order_items")), path)
     return cast_columns(read_table_csv(spark, path, "order_items"), "order_items")
 
 
-def _ingest(spark, sf_dir):
-    """All nine tables from CSV; the reviews, the ones with free text, are returned."""
+def _csv_roundtrip(spark, sf_dir):
+    """Reviews whose messages hold commas, quotes and line breaks."""
+    path = scratch_dir(spark)
+    message = F.concat("review_comment_message", F.lit(', "'), "review_comment_title", F.lit('"\n,end'))
+    texts = _as_text(raw_table(spark, sf_dir, "order_reviews"))
+    _write_csv(texts.withColumn("review_comment_message", message), path)
+    return cast_columns(read_table_csv(spark, path, "order_reviews"), "order_reviews")
+
+
+def _ingested(spark, sf_dir) -> Warehouse:
+    """A warehouse where all nine tables have landed from CSV."""
     warehouse, paths = Warehouse(scratch_dir(spark)), {}
     for table in RAW_COLUMNS:
         paths[table] = f"{warehouse.root}/csv/{table}"
         _write_csv(_as_text(raw_table(spark, sf_dir, table)), paths[table])
     jobs.ingest(spark, paths, warehouse)
+    return warehouse
+
+
+def _ingest(spark, sf_dir):
+    warehouse = _ingested(spark, sf_dir)
+    landed = {t: read_declared(spark, warehouse.landing(t), raw_schema(t)) for t in RAW_COLUMNS}
+    return _compared({t: _dated(spark, sf_dir, t) for t in RAW_COLUMNS}, landed)
+
+
+def _ingest_reviews(spark, sf_dir):
+    """The reviews, the ones with free text, as they have landed."""
+    warehouse = _ingested(spark, sf_dir)
     return read_declared(spark, warehouse.landing("order_reviews"), raw_schema("order_reviews"))
 
 
+def _dated(spark, sf_dir, table):
+    df = raw_table(spark, sf_dir, table)
+    return with_month(df, table) if table in MONTH_KEY else df
+
+
 def _load_with_schema(spark, sf_dir):
     warehouse = _landed(spark, sf_dir, "order_payments")
     return read_declared(
@@ -161,9 +214,18 @@ def _load_with_schema(spark, sf_dir):
 
 
 def _load_static(spark, sf_dir):
-    warehouse = _landed(spark, sf_dir, "customers", "sellers")
-    jobs.load_static(spark, warehouse, ("customers", "sellers"))
-    jobs.load_static(spark, warehouse, ("customers", "sellers"))
+    """All static tables, loaded twice."""
+    warehouse = _landed(spark, sf_dir, *STATIC_TABLES)
+    for _ in range(2):
+        jobs.load_static(spark, warehouse)
+    expected = {t: raw_table(spark, sf_dir, t) for t in STATIC_TABLES}
+    return _compared(expected, {t: read_raw(spark, warehouse, t) for t in STATIC_TABLES})
+
+
+def _load_static_customers(spark, sf_dir):
+    warehouse = _landed(spark, sf_dir, "customers")
+    for _ in range(2):
+        jobs.load_static(spark, warehouse, ("customers",))
     return read_raw(spark, warehouse, "customers")
 
 
@@ -233,7 +295,7 @@ def _orders_mart_high_water_mark(spark, sf_dir):
 
 
 def _dated_orders(spark, sf_dir):
-    return with_month(raw_table(spark, sf_dir, "orders"), "orders")
+    return _dated(spark, sf_dir, "orders")
 
 
 def _update_mart(spark, warehouse, orders, sf_dir, months, mode=jobs.MONTHS):
@@ -246,32 +308,65 @@ def _update_mart(spark, warehouse, orders, sf_dir, months, mode=jobs.MONTHS):
 def _clustered_write(spark, sf_dir):
     warehouse = Warehouse(scratch_dir(spark))
     path = warehouse.mart("fct_seller_revenue")
-    write_clustered(_seller_revenue(spark, sf_dir), path, "seller_id")
+    write_clustered(_spread_revenue(spark, sf_dir), path, "seller_id", spread=marts.SPREAD)
     return read_mart(spark, warehouse, "fct_seller_revenue")
 
 
+def _spread_revenue(spark, sf_dir):
+    items, orders = (_staged(spark, sf_dir, m) for m in ("stg_order_items", "stg_orders"))
+    return marts.fct_seller_revenue(items, orders, DELIVERED_STANDIN, spread=True)
+
+
 def _gated_build(spark, sf_dir):
     """The mart is written only when the checks on what it depends on have passed."""
     warehouse = Warehouse(scratch_dir(spark))
     models = ("stg_orders", "stg_order_items")
     enforce(check_report({m: _staged(spark, sf_dir, m) for m in models}, CHECKS_STANDIN))
     path = warehouse.mart("fct_seller_revenue")
-    write_clustered(_seller_revenue(spark, sf_dir), path, "seller_id")
+    write_clustered(_spread_revenue(spark, sf_dir), path, "seller_id", spread=marts.SPREAD)
     return read_declared(spark, path, mart_schema("fct_seller_revenue"))
 
 
-def _monthly_job(spark, sf_dir):
-    """All months but the last in one backfill, then the last as a monthly run."""
+def _after_monthly_run(spark, sf_dir) -> Warehouse:
+    """All months but the last that has orders in one backfill, then that one by itself."""
     warehouse, months = _ready_for_months(spark, sf_dir)
-    jobs.backfill(spark, warehouse, months[:-1], **_STANDIN)
-    jobs.run_month(spark, warehouse, months[-1], **_STANDIN)
-    return read_mart(spark, warehouse, "fct_orders")
+    last = landed_months(spark, warehouse, "orders")[-1]
+    jobs.backfill(spark, warehouse, [m for m in months if m != last], **_STANDIN)
+    jobs.run_month(spark, warehouse, last, **_STANDIN)
+    return warehouse
 
 
-def _backfill(spark, sf_dir):
+def _after_backfill(spark, sf_dir) -> Warehouse:
     warehouse, months = _ready_for_months(spark, sf_dir)
     jobs.backfill(spark, warehouse, months, **_STANDIN)
-    return read_mart(spark, warehouse, "fct_delivery_by_state")
+    return warehouse
+
+
+def _compared_marts(spark, sf_dir, warehouse: Warehouse) -> DataFrame:
+    """The stored marts against the same marts computed in one go."""
+    month = month_label(month_start(F.col("purchased_at")))
+    expected = {
+        "fct_orders": _orders_mart(spark, sf_dir).withColumn(PURCHASE_MONTH, month),
+        "fct_delivery_by_state": _delivery(spark, sf_dir),
+        "fct_seller_revenue": _seller_revenue(spark, sf_dir),
+    }
+    return _compared(expected, {m: read_mart(spark, warehouse, m) for m in expected})
+
+
+def _monthly_job(spark, sf_dir):
+    return _compared_marts(spark, sf_dir, _after_monthly_run(spark, sf_dir))
+
+
+def _monthly_job_orders(spark, sf_dir):
+    return read_mart(spark, _after_monthly_run(spark, sf_dir), "fct_orders")
+
+
+def _backfill(spark, sf_dir):
+    return _compared_marts(spark, sf_dir, _after_backfill(spark, sf_dir))
+
+
+def _backfill_delivery(spark, sf_dir):
+    return read_mart(spark, _after_backfill(spark, sf_dir), "fct_delivery_by_state")
 
 
 _STANDIN = {"checks": CHECKS_STANDIN, "delivered": DELIVERED_STANDIN}
@@ -311,16 +406,8 @@ def _store(spark, sf_dir, table: str, path: str) -> None:
 
 
 def _as_text(df: DataFrame) -> DataFrame:
-    """Every column as a CSV file has it; times to the second."""
-    return df.select(
-        *[
-            # 19 characters of "YYYY-MM-DD HH:MM:SS.ffffff"; other types are never cut.
-            F.substring(F.col(c).cast("string"), 1, 19).alias(c)
-            if kind == "timestamp_ntz"
-            else F.col(c).cast("string")
-            for c, kind in df.dtypes
-        ]
-    )
+    """Every column as a CSV file has it, times in full."""
+    return df.select(*[F.col(c).cast("string") for c in df.columns])
 
 
 def _write_csv(df: DataFrame, path: str) -> None:
@@ -355,18 +442,24 @@ QUERIES: dict[str, _Query] = {
         "dq_report": _checks(NOT_NULL, UNIQUE, ACCEPTED),
         "gated_build": _gated_build,
         "cast_columns": _cast_columns,
+        "cast_order_items": _cast_order_items,
         "csv_roundtrip": _csv_roundtrip,
+        "csv_roundtrip_items": _csv_roundtrip_items,
         "ingest": _ingest,
+        "ingest_reviews": _ingest_reviews,
         "partition_by_month": _partition_by_month,
         "load_with_schema": _load_with_schema,
         "load_month": _load_month,
         "load_static": _load_static,
+        "load_static_customers": _load_static_customers,
         "append_load": _append_load,
         "delete_month": _delete_month,
         "delete_month_stored": _delete_month_stored,
         "reload_month": _reload_month,
         "clustered_write": _clustered_write,
         "monthly_job": _monthly_job,
+        "monthly_job_orders": _monthly_job_orders,
         "backfill": _backfill,
+        "backfill_delivery": _backfill_delivery,
     }.items()
 }

@@ -1,20 +1,19 @@
 """Session settings the jobs rely on, and the shared folder for intermediate tables."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 # Runtime settings that keep hot keys apart. The forced skew join accepts one more shuffle
 # after the join when a skewed partition was really found, and costs nothing otherwise.
-# The JVM does not compile methods above 8000 bytes; Spark then had better split the code.
+# Arithmetic that overflows fails instead of giving null.
 SETTINGS = {
+    "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -28,11 +27,9 @@ def configure(spark: SparkSession) -> SparkSession:
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder name below the cluster's shared ``spark.checkpoint.dir``.
 
-    A machine-local temporary folder serves only a local session that names none.
+    Where none is named it lies in the warehouse, which executors share as well.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        shared = tempfile.mkdtemp(prefix="tradewind-")
+        shared = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/scratch"
     return f"{shared.rstrip('/')}/tradewind-{uuid.uuid4().hex}"

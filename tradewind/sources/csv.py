@@ -8,8 +8,10 @@ from tradewind.schemas import MULTILINE_TABLES
 def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
     """Columns are named by the header, so a missing or moved column is noticed.
 
-    Files are split among tasks, except with ``multiline``: a line break inside quotes can
-    only be told from a row end by reading from the start, so there a file is one task.
+    A row of more or fewer fields than the header fails the job, also when a query needs only
+    some of the columns: in a file that is split among tasks a short row cannot be told from a
+    line break inside quotes. With ``multiline`` such breaks are read as text; where a quoted
+    field ends can then only be told from the start, so a file is one task.
     """
     return (
         spark.read.option("header", True)
@@ -18,9 +20,14 @@ def read_csv(spark: SparkSession, path: str, multiline: bool = False) -> DataFra
         .option("quote", '"')
         .option("escape", '"')
         .option("multiLine", multiline)
+        .option("mode", "FAILFAST")
+        .option("columnPruning", False)
         .csv(path)
     )
 
 
-def read_table_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
-    return read_csv(spark, path, multiline=table in MULTILINE_TABLES)
+def read_table_csv(
+    spark: SparkSession, path: str, table: str, multiline_tables: tuple[str, ...] = MULTILINE_TABLES
+) -> DataFrame:
+    """A raw table's file. ``multiline_tables`` names those whose texts may hold line breaks."""
+    return read_csv(spark, path, multiline=table in multiline_tables)

@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 from tradewind.schemas import MONTH_KEY, PARTITION_MONTH, mart_schema, raw_schema
 
 
+# Fixed value: the directory of rows without a month.
+_NO_MONTH = "__HIVE_DEFAULT_PARTITION__"
+
+
 @dataclass(frozen=True)
 class Warehouse:
     """Path layout below one root on storage that all executors share."""
@@ -62,29 +66,47 @@ def read_months(spark: SparkSession, path: str, table: str, months: list[str]) -
     return df.where(F.col(PARTITION_MONTH).isin(*months))
 
 
-def stored_months(
-    spark: SparkSession,
-    path: str,
-    schema: T.StructType,
-    month_column: str,
-    among: Iterable[str] | None = None,
-) -> list[str]:
-    """Months that have rows in a stored table, oldest first; none where nothing is stored.
+def month_files(spark: SparkSession, path: str, month_column: str) -> dict[str, frozenset[str]]:
+    """Names of the data files by month, oldest month first, from the directory listing.
 
-    Reads no column, only the directories of the months asked for, and returns one value
-    per month.
+    Starts no Spark job and opens no file. A month without a data file is not there, nor is
+    anything where nothing is stored; rows without a month are left out.
     """
-    df = read_existing(spark, path, schema)
-    if df is None:
-        return []
-    month = F.col(month_column)
-    wanted = month.isNotNull() if among is None else month.isin(*among)
-    return sorted(row[0] for row in df.where(wanted).select(month).distinct().collect())
+    folder, files = _hadoop_path(spark, path), {}
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return {}
+    for status in system.listStatus(folder):
+        column, _, month = status.getPath().getName().partition("=")
+        if status.isDirectory() and column == month_column and month != _NO_MONTH:
+            names = [f.getPath().getName() for f in system.listStatus(status.getPath())]
+            data = frozenset(n for n in names if not n.startswith(("_", ".")))
+            if data:
+                files[month] = data
+    return dict(sorted(files.items()))
+
+
+def drop_months(spark: SparkSession, path: str, month_column: str, months: Iterable[str]) -> None:
+    """Remove month directories; those not stored are no matter."""
+    for month in months:
+        folder = _hadoop_path(spark, f"{path}/{month_column}={month}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def stored_months(
+    spark: SparkSession, path: str, month_column: str, among: Iterable[str] | None = None
+) -> list[str]:
+    """Months that are stored, oldest first; none where nothing is stored."""
+    found = month_files(spark, path, month_column)
+    return [m for m in found if among is None or m in set(among)]
 
 
 def landed_months(
     spark: SparkSession, warehouse: Warehouse, table: str, among: Iterable[str] | None = None
 ) -> list[str]:
     """Months waiting in the landing area."""
-    path, schema = warehouse.landing(table), raw_schema(table)
-    return stored_months(spark, path, schema, PARTITION_MONTH, among)
+    return stored_months(spark, warehouse.landing(table), PARTITION_MONTH, among)
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
