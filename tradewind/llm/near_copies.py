@@ -47,7 +47,7 @@ RECALL = 0.9999  # of pairs exactly at the threshold, over runs of DEPTH levels
 PLACES = 128
 DEPTH = 3
 MORE_LEVELS = 4  # by which large nodes are split on
-MOST_AT_ONCE = 400  # classes compared in one task at a time, or half as many in each block
+MOST_AT_ONCE = 1000  # classes compared in one task at a time, or half as many in each block
 _SIFT_DEVIATIONS = 5  # of the minhash estimate: what is farther below the threshold is left
 _PIECE_BYTES = 4 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -208,11 +208,11 @@ def near_copies(
     payload = store(classes.join(lists, _KEY), "payload")
     groups = _blocks(leaves, most_at_once)
 
-    sifted = _by_group(groups.join(payload, _KEY), _sift(threshold), "node bigint, a int, b int, block int, hi bigint, lo bigint")
-    sifted = store(sifted, "candidates")
-    sets = _sets(own, sifted.select(*_KEY).distinct().join(payload.select(*_KEY, "rep.doc_id"), _KEY), id_kind)
-    full = sifted.join(payload, _KEY).join(sets, _KEY)
-    linked = _by_group(full, _verify(threshold), "hi bigint, lo bigint, links bigint, root_hi bigint, root_lo bigint")
+    # What is left after the sifting carries its payload along.
+    members = groups.join(payload.withColumn("rep_id", F.col("rep.doc_id")).drop("rep", "n"), _KEY)
+    sifted = store(_by_group(members, _sift(threshold), members.schema), "candidates")
+    sets = _sets(own, sifted.select(*_KEY, "rep_id").distinct(), id_kind)
+    linked = _by_group(sifted.join(sets, _KEY), _verify(threshold), "hi bigint, lo bigint, links bigint, root_hi bigint, root_lo bigint")
     linked = store(linked, "links")
 
     name = lambda hi, lo: F.concat(F.lpad(F.hex(hi), 16, "0"), F.lpad(F.hex(lo), 16, "0"))
@@ -296,7 +296,7 @@ def _blocks(leaves: DataFrame, most: int) -> DataFrame:
     )
 
 
-def _by_group(rows: DataFrame, run, schema: str) -> DataFrame:
+def _by_group(rows: DataFrame, run, schema) -> DataFrame:
     key = ["node", "a", "b"]
     return rows.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, schema)
 
@@ -370,14 +370,12 @@ def _common(lists: list) -> np.ndarray:
 
 
 def _sift(threshold: float):
-    names = ["node", "a", "b", "block", *_KEY]
-
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _groups(batches):
             pairs = _pairs(group, threshold)
             some = pairs.any(axis=0) | pairs.any(axis=1)
             if some.any():
-                yield from group.select(names).filter(pa.array(some)).combine_chunks().to_batches()
+                yield from group.filter(pa.array(some)).combine_chunks().to_batches()
 
     return run
 
@@ -385,7 +383,7 @@ def _sift(threshold: float):
 def _sets(own: DataFrame, wanted: DataFrame, id_kind: str) -> DataFrame:
     """The shingle sets of the wanted classes, from the text of one document of each."""
     packed = own.mapInArrow(_pack, f"doc_id {id_kind}, packed binary")
-    wanted = wanted.select(F.col("hi").alias("of_hi"), F.col("lo").alias("of_lo"), F.col("doc_id").alias("of_id"))
+    wanted = wanted.select(F.col("hi").alias("of_hi"), F.col("lo").alias("of_lo"), F.col("rep_id").alias("of_id"))
     chosen = packed.join(wanted, F.col("doc_id").eqNullSafe(F.col("of_id")))
     sets = chosen.select("of_hi", "of_lo", "packed").mapInArrow(
         _set_of, "hi bigint, lo bigint, shingles binary"
