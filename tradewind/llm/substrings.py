@@ -11,8 +11,8 @@ others. All strings of a phrase that occurs twice are repeated. What is left is
 repeated passages: different phrases of one core. Their suffixes are sorted, cut at ``LENGTH``
 bytes, and a string that equals a neighbour in this order is repeated. The corpus order itself
 is never built whole, since only neighbours with ``LENGTH`` common bytes count and these have a
-core in common. Cores with very many different phrases are decided by counting the strings'
-hashes in a shuffle instead of sorting them in one task.
+core in common. Cores with very many different phrases are first taken apart by longer common
+parts, so that no task sorts more than ``MOST_SORTED`` phrases at a time.
 
 Defined cases: null text counts as empty; texts shorter than ``LENGTH`` keep all bytes. Rows are
 judged by their bytes, so a repeated row loses all its strings, like any copy. Removal may cut
@@ -35,7 +35,7 @@ LENGTH = 200  # bytes of a string that counts
 REACH = 160  # places among which a string seeks its trigger
 CORE = LENGTH - REACH + 1
 GRAM = 16  # bytes under the rolling hash; REACH + GRAM - 1 <= LENGTH
-MOST_SORTED = 2000  # different phrases of one core that one task sorts
+MOST_SORTED = 2000  # different phrases that one task sorts together
 _CHUNK = 1 << 19  # bytes parsed at a time
 _PIECE_BYTES = 8 << 20
 _PLACE_BITS = 20
@@ -233,32 +233,53 @@ def unpack(packed: bytes | None) -> bytes:
 
 
 def _compare(marked: DataFrame, id_kind: str) -> DataFrame:
-    """Spans of the repeated strings of open phrases: doc_id, body, start, end."""
+    """Spans of the repeated strings of open phrases: doc_id, body, start, end.
+
+    Phrases of a key are sorted together where there are few enough. Where there are more, the
+    strings of each are parted by how far before the trigger they start, and the bytes that all
+    strings of a part have become the key: what is not repeated leaves, and the rest meets in
+    smaller groups, until a part is a single string and its key says all.
+    """
+    row = f"doc_id {id_kind}, body int, start int, kind int, before int, bytes binary"
+    schema = f"high bigint, low bigint, least int, most int, {row}"
     phrases = marked.where(F.size("open") > 0).drop("others", "spans").mapInArrow(
-        _cut_phrases,
-        f"core bigint, variants bigint, kind int, doc_id {id_kind}, body int, start int, bytes binary",
-    )
-    phrases = store(phrases, "phrases")
-    few = phrases.where(F.col("variants") <= MOST_SORTED)
-    sorted_ = few.repartition("core").sortWithinPartitions("core").mapInArrow(
-        _sort_cores, f"doc_id {id_kind}, body int, start int, end int"
+        _cut_phrases, f"variants bigint, {schema}"
     )
-    strings = phrases.where(F.col("variants") > MOST_SORTED).mapInArrow(
-        _strings, f"doc_id {id_kind}, body int, start int, kind int, high bigint, low bigint"
-    )
-    weight = F.sum(F.when(F.col("kind") == _BOTH, 2).otherwise(1))
-    again = strings.groupBy("high", "low").agg(weight.alias("n")).where("n > 1").drop("n")
-    counted = strings.where(F.col("kind") == _OPEN).join(again, ["high", "low"], "left_semi").select(
-        "doc_id", "body", "start", (F.col("start") + LENGTH).alias("end")
-    )
-    return sorted_.unionByName(counted)
+    groups = store(phrases, "phrases").withColumnRenamed("variants", "n")
+    key, span = ["high", "low"], f"doc_id {id_kind}, body int, start int, end int"
+    found, level = None, 0
+    while True:
+        few = groups.where((F.col("n") <= MOST_SORTED) & (F.col("least") < F.col("most")))
+        ready = few.repartition(*key).sortWithinPartitions(*key).mapInArrow(_sort_groups, span)
+        single = groups.where((F.col("least") == F.col("most")) & (F.col("kind") == _OPEN))
+        first = (F.col("start") + F.col("before") - F.col("least")).alias("start")
+        ready = ready.unionByName(
+            single.select("doc_id", "body", first, (first + LENGTH).alias("end"))
+        )
+        found = ready if found is None else found.unionByName(ready)
+        large = groups.where((F.col("n") > MOST_SORTED) & (F.col("least") < F.col("most")))
+        if large.limit(1).count() == 0:
+            return found
+        level += 1
+        parts = store(large.drop("n").mapInArrow(_part, schema), f"parts{level}")
+        again = parts.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+        groups = store(parts.join(again, key), f"groups{level}")
+
+
+_PART_NAMES = ["high", "low", "least", "most", "doc_id", "body", "start", "kind", "before", "bytes"]
+
+
+def _part_kinds(like: pa.RecordBatch) -> list:
+    own = like.schema.field("doc_id").type
+    key = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    return [*key, own, pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
 
 
 def _cut_phrases(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["core", "variants", "kind", "doc_id", "body", "start", "bytes"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), None, pa.int32(), pa.int32(), pa.binary()]
+    """Open phrases with their core as key; their strings start up to REACH - 1 bytes before
+    the trigger, which is ``before`` bytes behind the phrase's start."""
     for batch in batches:
-        kinds[3] = batch.schema.field("doc_id").type
+        kinds = [pa.int64(), *_part_kinds(batch)]
         for at in range(0, batch.num_rows, 256):
             rows = []
             for row in batch.slice(at, 256).to_pylist():
@@ -266,19 +287,52 @@ def _cut_phrases(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for m in row["open"]:
                     cut = text[m["start"] : m["start"] + m["places"] + LENGTH - 1]
                     rows.append(
-                        (m["core"], m["variants"], m["kind"], row["doc_id"], row["body"], m["start"], cut)
+                        (
+                            m["variants"], m["core"], 0, 0, REACH - 1, row["doc_id"], row["body"],
+                            m["start"], m["kind"], m["trigger"] - m["start"], cut,
+                        )
                     )
             columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            yield pa.RecordBatch.from_arrays(columns, ["variants", *_PART_NAMES])
 
 
-def _sort_cores(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come by core, at most ``MOST_SORTED`` of each."""
+def _part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each phrase twice, for the strings that start farther before the trigger and nearer."""
+    for batch in batches:
+        kinds = _part_kinds(batch)
+        for at in range(0, batch.num_rows, 1000):
+            rows = []
+            for row in batch.slice(at, 1000).to_pylist():
+                middle = (row["least"] + row["most"]) // 2
+                before, cut = row["before"], row["bytes"]
+                for least, most in ((row["least"], middle), (middle + 1, row["most"])):
+                    # The strings of the phrase start ``nearest`` to ``before`` ahead.
+                    nearest = before - (len(cut) - LENGTH)
+                    if max(least, nearest) > min(most, before):
+                        continue
+                    # What all strings that start least to most bytes ahead have in common.
+                    common = cut[before - least : before - most + LENGTH]
+                    digest = xxhash.xxh3_128_intdigest(common + bytes([least]))
+                    high, low = (digest >> 64) - (1 << 63), (digest & (1 << 64) - 1) - (1 << 63)
+                    rows.append(
+                        (
+                            high, low, least, most, row["doc_id"], row["body"], row["start"],
+                            row["kind"], before, cut,
+                        )
+                    )
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _PART_NAMES
+            )
+
+
+def _sort_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come by key, at most ``MOST_SORTED`` of each."""
     held: list[dict] = []
     for batch in batches:
         out: list[tuple] = []
         for row in batch.to_pylist():
-            if held and held[0]["core"] != row["core"]:
+            if held and any(held[0][c] != row[c] for c in ("high", "low")):
                 out += _repeated_in(held)
                 held = []
             held.append(row)
@@ -297,11 +351,14 @@ def _span_batch(spans: list[tuple], like: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _repeated_in(phrases: list[dict]) -> list[tuple]:
-    """The suffixes of a core's phrases in order: equal neighbours are repeated strings."""
+    """The suffixes of a key's phrases in order: equal neighbours are repeated strings."""
     suffixes = sorted(
         (p["bytes"][i : i + LENGTH], k, i)
         for k, p in enumerate(phrases)
-        for i in range(len(p["bytes"]) - LENGTH + 1)
+        for i in range(
+            max(0, p["before"] - p["most"]),
+            min(len(p["bytes"]) - LENGTH, p["before"] - p["least"]) + 1,
+        )
     )
     again = [set() for _ in phrases]
     for (a, k, i), (b, m, j) in zip(suffixes, suffixes[1:], strict=False):
@@ -327,31 +384,6 @@ def _runs(places: list[int]) -> Iterator[tuple[int, int]]:
             start = None
 
 
-def _strings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "body", "start", "kind", "high", "low"]
-    for batch in batches:
-        for at in range(0, batch.num_rows, 512):
-            part = batch.slice(at, 512)
-            rows, starts, high, low = [], [], [], []
-            first = part.column("start").to_pylist()
-            for k, cut in enumerate(part.column("bytes").to_pylist()):
-                for i in range(len(cut) - LENGTH + 1):
-                    digest = xxhash.xxh3_128_intdigest(cut[i : i + LENGTH])
-                    rows.append(k)
-                    starts.append(first[k] + i)
-                    high.append((digest >> 64) - (1 << 63))
-                    low.append((digest & (1 << 64) - 1) - (1 << 63))
-            at_rows = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id").take(at_rows), part.column("body").take(at_rows),
-                    pa.array(starts, pa.int32()), part.column("kind").take(at_rows),
-                    pa.array(high, pa.int64()), pa.array(low, pa.int64()),
-                ],
-                names,
-            )
-
-
 def _kept(packed: bytes | None, spans: list[dict]) -> tuple[bytes, bytes, int]:
     """The text, what remains of it, and the number of removed runs."""
     text = unpack(packed)
