@@ -27,7 +27,7 @@ MOST_COPIES = 3
 WEIGHTS = (1, 2, 3)
 BLOCK_ROWS = 20_000
 _NEARLY = 1e-9
-SPARES = 64  # settled documents that a block lends to the landing, which may change them
+SPARES = 64  # at most: settled documents that a block lends to the landing, which may change them
 _ROW = "doc_id {id}, salt bigint, source int, size bigint, chance double, spare boolean"
 _COLUMNS = ["doc_id", "salt", "source", "size", "chance", "spare"]
 
@@ -140,7 +140,8 @@ def _fly_block(rows: pd.DataFrame) -> pd.DataFrame:
     draw = random.Random(f"{source} {block} {len(rows)} {rows['salt'].iloc[0]}")
     sizes, chances = rows["size"].tolist(), rows["chance"].tolist()
     left = fly(sizes, chances, draw)
-    lent = [i for i in range(len(sizes)) if i not in left][:SPARES]
+    # A quarter at most, so that every round has fewer rows than the one before.
+    lent = [i for i in range(len(sizes)) if i not in left][: min(SPARES, len(sizes) // 4)]
     if lands:
         land(sizes, chances, left, lent, draw)
     rows["chance"] = chances
