@@ -1,0 +1,75 @@
+"""Digests, their score, and each document's comparison with the next."""
+
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from documents import edges, frame, prose
+
+from tradewind.llm import fingerprints as fp
+
+
+def brute_force(rows):
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    found = []
+    for i, (doc_id, text, *_) in enumerate(order):
+        text, after = text or "", order[(i + 1) % len(order)][1] or ""
+        cut = len(text) // 4
+        edited = text[: len(text) - cut] + after[:cut]
+        own, other, next_ = (fp.fingerprint(t.encode()) for t in (text, edited, after))
+        found.append(
+            (
+                doc_id, len(text), hashlib.sha256(edited.encode()).hexdigest(), own, other,
+                fp.likeness(own, other), fp.likeness(own, next_),
+            )
+        )
+    return sorted(map(str, found))
+
+
+def test_counts_are_those_of_single_triplets():
+    text = prose(1, 40).encode()
+    counts = np.zeros(fp.BUCKETS, int)
+    for places, tables in zip(fp._PATTERNS, fp._TABLES, strict=True):
+        for i in range(len(text) - places[-1]):
+            value = 0
+            for place, table in zip(places, tables, strict=True):
+                value ^= int(table[text[i + place]])
+            counts[value >> 1] += 1
+    assert counts.tolist() == fp.bucket_counts(text).tolist()
+
+
+def test_score():
+    a, b = fp.fingerprint(prose(1, 300).encode()), fp.fingerprint(prose(2, 300, "uvwxyz").encode())
+    assert fp.difference(a, a) == 0 and fp.likeness(a, a) == 1
+    assert fp.difference(a, b) == fp.difference(b, a) <= fp.MOST_DIFFERENT
+    assert 0 <= fp.likeness(a, b) < 0.5
+    near = fp.fingerprint((prose(1, 300) + " and a little more").encode())
+    assert fp.likeness(a, near) > 0.9
+
+
+@pytest.mark.parametrize("text", ["", "a", "ab", "abc", "é", "aaaaaaaaaaaa"])
+def test_short_texts(text):
+    digest = fp.fingerprint(text.encode())
+    assert len(digest) == 66 and digest == fp.fingerprint(text.encode())
+
+
+@pytest.mark.parametrize("parts", [1, 6])
+def test_documents(spark, parts):
+    rows = edges()
+    found = fp.compare_with_next(frame(spark, rows, extra=True, parts=parts)).collect()
+    assert sorted(map(str, map(tuple, found))) == brute_force(rows)
+
+
+def test_sparse_and_shuffled_ids(spark):
+    draw = random.Random(2)
+    ids = [draw.randrange(-(2**62), 2**62) for _ in range(300)]
+    rows = [(i, prose(i, 20), "", "", 0) for i in ids]
+    found = fp.compare_with_next(frame(spark, rows, parts=5)).collect()
+    assert sorted(map(str, map(tuple, found))) == brute_force(rows)
+
+
+@pytest.mark.parametrize("rows", [[], [(5, "alone with a few words", "", "", 0)], [(None, None, "", "", 0)]])
+def test_none_and_one(spark, rows):
+    found = fp.compare_with_next(frame(spark, rows)).collect()
+    assert sorted(map(str, map(tuple, found))) == brute_force(rows)

@@ -1,0 +1,103 @@
+"""Base counts against plain forms; outliers of planted and real documents."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+from documents import SCHEMA, edges, frame, prose
+
+from tradewind.llm import quality
+
+
+def plain_counts(text):
+    text = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+    repeated = {
+        i + k for i, w in enumerate(windows) if windows.count(w) > 1 for k in range(8)
+    }
+    return (
+        len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)),
+        sum(x in lines[:i] for i, x in enumerate(lines)), len(repeated),
+    )
+
+
+TEXTS = [
+    None, "", " \n", "a", "a b c d e f g h " * 3, "x # * $ %&|<>", "one\ntwo\none\n\n\none \ntwo",
+    "\u00a0\u2003é中 \x0b\x0c\x1c ü", "a b " * 40, "q w e r t y u i o p " * 2 + "z",
+    "p " * 9, "a\rb\nc", " one\none",
+]
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_counts(text):
+    assert quality.text_counts((text or "").encode()) == plain_counts(text)
+
+
+def test_counts_of_random_texts():
+    draw = random.Random(1)
+    for _ in range(200):
+        text = "".join(draw.choices("ab \n#é", k=draw.randint(0, 120)))
+        assert quality.text_counts(text.encode()) == plain_counts(text)
+
+
+def test_chi_square():
+    assert quality._chi2_quantile(2, 0.95) == pytest.approx(5.991465, abs=1e-5)
+    assert quality._chi2_quantile(4, 0.975) == pytest.approx(11.143287, abs=1e-5)
+    assert quality._chi2_below(5, 11.0705) == pytest.approx(0.95, abs=1e-5)
+
+
+def junk(seed):
+    return " ".join(w + "%%%" for w in prose(seed, 60).split())
+
+
+def test_junk_is_rejected_even_where_it_is_a_quarter_of_a_group(spark):
+    rows = [(i, prose(i, 60), "en", "a", 0) for i in range(150)]
+    rows += [(1000 + i, junk(i), "en", "a", 0) for i in range(45)]
+    rows += [(2000 + i, prose(-i - 1, 60), "de", f"s{i}", 0) for i in range(80)]
+    rows += [(3000, junk("de"), "de", "s90", 0), (3001, "too short", "en", "a", 0)]
+    found = {r.doc_id: r for r in quality.judge(frame(spark, rows)).collect()}
+    assert {i for i, r in found.items() if not r.kept} == {*range(1000, 1045), 3000, 3001}
+    assert found[3001].base_failed and found[3001].distance is None
+
+
+def test_a_plain_estimate_would_be_pulled_away(spark):
+    """The center lies with the clean majority, where the mean would not."""
+    rows = [(i, prose(i, 60), "en", "a", 0) for i in range(150)]
+    rows += [(1000 + i, junk(i), "en", "a", 0) for i in range(45)]
+    counted = quality.add_counts(frame(spark, rows)).select("lang", "source", *quality.COUNTS)
+    _, estimates = quality.estimate(counted, 50)
+    assert estimates.first().m1 < 0.2
+    shares = [np.log1p(100 * r.n_symbols / r.word_chars) for r in counted.collect()]
+    assert np.mean(shares) > 0.8
+
+
+def test_edges_extra_columns_and_reruns(spark):
+    rows = edges()
+    first = quality.judge(frame(spark, rows, extra=True)).collect()
+    again = quality.judge(frame(spark, rows[::-1], parts=5)).collect()
+    assert sorted(map(str, first)) == sorted(map(str, again))
+    assert len(first) == len(rows)
+    kept = quality.kept_documents(frame(spark, rows, extra=True))
+    assert kept.columns == frame(spark, rows, extra=True).columns
+    assert kept.count() == sum(r.kept for r in first)
+
+
+def test_small_corpora_have_base_rules_only(spark):
+    rows = [(i, prose(i, 60), "en", "a", 0) for i in range(9)] + [(9, junk(1), "en", "a", 0)]
+    assert all(r.kept for r in quality.judge(frame(spark, rows)).collect())
+
+
+def test_empty_table(spark):
+    assert quality.judge(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert quality.kept_documents(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_labelled_good_documents_are_kept(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    found = quality.judge(docs).join(labels, "doc_id")
+    assert found.where("quality = 1 AND NOT base_failed AND NOT kept").count() == 0
+    assert found.where("quality = 0 AND NOT kept").count() > 0

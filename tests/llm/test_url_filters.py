@@ -1,0 +1,127 @@
+"""Rules, splits and verdicts of URLs."""
+
+import itertools
+import math
+import re
+from pathlib import Path
+
+import pytest
+from documents import EXTRA
+
+from tradewind.llm import url_filters as uf
+
+SCHEMA = "page_id bigint, url string, html string"
+URLS = {
+    "https://WWW.Example.com/en/x?q": ("www.example.com", "/en/x", "www.example.com/en/", "allow"),
+    "http://a.www.example.com/en/": ("a.www.example.com", "/en/", "www.example.com/en/", "allow"),
+    "http://blog.example.com/en/1#t": ("blog.example.com", "/en/1", "example.com/en/", "block"),
+    "http://example.com/en": ("example.com", "/en", "com/", "allow"),
+    "http://notexample.com/en/": ("notexample.com", "/en/", "com/", "allow"),
+    "http://com/": ("com", "/", "com/", "allow"),
+    "http://x.net/es/": ("x.net", "/es/", "net/es/", "block"),
+    "http://x.net/fr/?a": ("x.net", "/fr/", "net/fr/", "block"),
+    "http://x.net/de/": ("x.net", "/de/", None, None),
+    "http://x.com": ("x.com", "", None, None),
+    "http://x.com?/y": ("x.com", "", None, None),
+    "http://x.org/a://b/c": ("x.org", "/a://b/c", None, None),
+    "ÄB://ÄX.org/Pfad": ("Äx.org", "/Pfad", None, None),
+    "no scheme": ("", "", None, None),
+    "://": ("", "", None, None),
+    "": ("", "", None, None),
+    None: ("", "", None, None),
+}
+
+
+def pages(spark, urls, html="<p>some plain words</p>", extra=False):
+    df = spark.createDataFrame([(i, u, html) for i, u in enumerate(urls)], SCHEMA)
+    return df.selectExpr("*", *(f"'x' AS {c}" for c in (*EXTRA, "host", "path", "rule", "verdict", "ruled"))) if extra else df
+
+
+def test_parts_and_rules(spark):
+    found = sorted(uf.judge(pages(spark, URLS, extra=True)).collect())
+    for r, expected in zip(found, URLS.values(), strict=True):
+        assert (r.host, r.path, r.rule) == expected[:3]
+        assert r.verdict == expected[3] if expected[3] else r.verdict in ("allow", "block")
+        assert (r.score is None) == (expected[2] is not None)
+
+
+def plain_split(name, costs, unknown):
+    """The cheapest of all splits; the costs of the words themselves."""
+    best = None
+    for cuts in itertools.product([False, True], repeat=len(name) - 1):
+        words, start = [], 0
+        for i, cut in enumerate(cuts, 1):
+            if cut:
+                words.append(name[start:i])
+                start = i
+        words.append(name[start:])
+        cost = sum(costs.get(w, unknown + math.log(10) * (len(w) + 1)) for w in words)
+        best = min(best or (math.inf,), (cost,))
+    return best[0]
+
+
+@pytest.mark.parametrize("name", ["thetherhe", "thexq", "a", "hehe", "qqq", "therethe"])
+def test_viterbi_finds_the_cheapest_split(name):
+    costs = {"the": 1.0, "there": 2.5, "her": 2.0, "he": 1.5, "t": 4.0, "re": 2.2, "a": 3.0}
+    segmenter = uf.Segmenter(costs)
+    words = segmenter.split(name)
+    assert "".join(words) == name
+    unknown = max(costs.values())
+    cost = sum(costs.get(w, unknown + math.log(10) * (len(w) + 1)) for w in words)
+    assert cost == pytest.approx(plain_split(name, costs, unknown))
+
+
+def test_tokens_of_host_and_path():
+    segmenter = uf.Segmenter({"blog": 1.0, "the": 1.0, "rest": 1.0, "org": 1.0, "html": 1.0})
+    assert segmenter.tokens("blog.therest.org", "/rest/12.HTML") == [
+        "h:blog", "h:the", "h:rest", "h:org", "p:rest", "p:00", "p:html",
+    ]
+    assert segmenter.tokens("", "") == []
+
+
+def test_unigrams_count_words_outside_tags(spark):
+    costs = uf.unigrams(pages(spark, ["a", "b"], "<p class=x>The cat, the <b>DOG</b> 7"))
+    assert set(costs) == {"the", "cat", "dog"}
+    assert costs["the"] == pytest.approx(math.log(2))
+    assert uf.unigrams(pages(spark, ["a"], None)) == {}
+
+
+def test_held_out_accuracy(spark, sf_dir):
+    """Pages of rules that the model has not seen get their rule's verdict."""
+    # The smallest tables hold too few pages to hold any out.
+    df = spark.read.parquet(f"{Path(sf_dir).parent}/sf0.01/pages.parquet")
+    host, path = uf.host_and_path(df.url)
+    rule, verdict = uf.rule_of(host, path)
+    known = df.select("page_id", host.alias("host"), path.alias("path"), verdict.alias("ruled"))
+    known = known.where("ruled IS NOT NULL")
+    words = uf.unigrams(df)
+    model = uf.train(known.where("page_id % 2 = 0"), words)
+    segmenter = uf.Segmenter(words)
+    right = [
+        (sum(model.get(t, 0.0) for t in ["", *segmenter.tokens(r.host, r.path)]) > 0) == (r.ruled == "block")
+        for r in known.where("page_id % 2 = 1").collect()
+    ]
+    assert len(right) > 50 and sum(right) / len(right) > 0.85, sum(right) / len(right)
+
+
+def test_toxic_words_of_blocked_hosts_are_carried_over(spark):
+    urls = [f"http://badstuff{i}.net/es/" for i in range(30)] + [f"http://goodnews{i}.com/" for i in range(30)]
+    found = uf.judge(pages(spark, [*urls, "http://badstuff.org/x", "http://goodnews.org/x"], "bad stuff good news"))
+    verdicts = {r.host: r.verdict for r in found.collect()}
+    assert verdicts["badstuff.org"] == "block" and verdicts["goodnews.org"] == "allow"
+
+
+@pytest.mark.parametrize("urls", [[], ["http://x.org/"], [None]])
+def test_without_labelled_pages_all_is_allowed(spark, urls):
+    assert all(r.verdict == "allow" for r in uf.judge(pages(spark, urls)).collect())
+
+
+def test_rules_are_the_plain_ones(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    for r in uf.judge(df).collect():
+        fits = [
+            (len(of + start), of + start, says)
+            for says, of, start in uf.RULES
+            if re.search(r"(^|\.)" + re.escape(of) + "$", r.host) and r.path.startswith(start)
+        ]
+        assert (r.rule, r.verdict) == max(fits)[1:] if fits else r.rule is None

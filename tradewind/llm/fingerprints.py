@@ -97,8 +97,14 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         F.min("doc_id").alias("least"),
         F.count_if(F.col("doc_id").isNull()).alias("nulls"),
     ).first()
-    # Each cut is an id that occurs, so that every range but the first starts with its cut.
-    cuts = np.array(sorted({c for c in found.cuts or () if c > found.least}), np.int64)
+    # The marks are approximate, and of large ids not even ids. The least id from each mark on
+    # is one that occurs: every range starts with its cut.
+    marks = np.array(sorted(set(found.cuts or ())), np.int64)
+    starts = own.select("doc_id").where("doc_id IS NOT NULL").mapInArrow(
+        _least_from(marks), "range int, doc_id bigint"
+    )
+    starts = starts.groupBy("range").agg(F.min("doc_id").alias("least")).collect()
+    cuts = np.array(sorted(r.least for r in starts)[1:], np.int64)
     first = None if found.nulls else found.least
     dealt = own.mapInArrow(_deal(cuts, first), "range int, ahead boolean, doc_id bigint, text string")
     ordered = dealt.repartition(shuffle_partitions(docs), "range").sortWithinPartitions(
@@ -120,6 +126,20 @@ _RESULT = T.StructType(
 )
 
 
+def _least_from(marks: np.ndarray):
+    """The least id of each range that a batch has, a row per range."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = np.sort(batch.column("doc_id").to_numpy())
+            ranges, first = np.unique(np.searchsorted(marks, ids, side="right"), return_index=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ranges, pa.int32()), pa.array(ids[first], pa.int64())], ["range", "doc_id"]
+            )
+
+    return run
+
+
 def _deal(cuts: np.ndarray, first: int | None):
     """Put rows into ranges of ids; the first id of each also goes ahead to the one before."""
     last = len(cuts)

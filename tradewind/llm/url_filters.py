@@ -3,8 +3,7 @@
 Host names run words together. A unigram model, counted over the words of all pages, gives the
 most likely split of each name by Viterbi; the words, those of the path and the shape of its
 numbers are the tokens of a multinomial naive Bayes model, trained on all pages that a rule
-decides and applied to all others. The top-level label is no token: it says who registers a
-name, not what is there.
+decides and applied to all others.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, no tokens, and gets
 the verdict of the larger class. Null pages count no words. Where no rule decides any page,
@@ -105,9 +104,9 @@ class Segmenter:
         return tuple(reversed(words))
 
     def tokens(self, host: str, path: str) -> list[str]:
-        """Words of the host but its top-level label, words and number shapes of the path."""
+        """Words and number shapes of the host and of the path."""
         found = []
-        for kind, text in (("h", host.rpartition(".")[0]), ("p", path.lower())):
+        for kind, text in (("h", host), ("p", path.lower())):
             for run in _NAME.findall(text):
                 if run.isdigit():
                     found.append(f"{kind}:{'0' * len(run)}")
