@@ -35,7 +35,7 @@ LENGTH = 200  # bytes of a string that counts
 REACH = 160  # places among which a string seeks its trigger
 CORE = LENGTH - REACH + 1
 GRAM = 16  # bytes under the rolling hash; REACH + GRAM - 1 <= LENGTH
-MOST_SORTED = 2000  # different phrases that one task sorts together
+MOST_SORTED = 30_000  # different phrases that one task sorts together, some 30 MB
 _CHUNK = 1 << 19  # bytes parsed at a time
 _PIECE_BYTES = 8 << 20
 _PLACE_BITS = 20
@@ -351,26 +351,34 @@ def _span_batch(spans: list[tuple], like: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _repeated_in(phrases: list[dict]) -> list[tuple]:
-    """The suffixes of a key's phrases in order: equal neighbours are repeated strings."""
-    suffixes = sorted(
-        (p["bytes"][i : i + LENGTH], k, i)
-        for k, p in enumerate(phrases)
-        for i in range(
-            max(0, p["before"] - p["most"]),
-            min(len(p["bytes"]) - LENGTH, p["before"] - p["least"]) + 1,
+    """Strings that start equally far ahead of the trigger, in order: equal neighbours are
+    repeated. One distance at a time, so the phrases themselves are all that is held."""
+    nearest = [p["before"] - (len(p["bytes"]) - LENGTH) for p in phrases]
+    least = max(phrases[0]["least"], min(nearest))
+    most = min(phrases[0]["most"], max(p["before"] for p in phrases))
+    again: list[list[int]] = [[] for _ in phrases]
+    for ahead in range(most, least - 1, -1):
+        suffixes = sorted(
+            (p["bytes"][p["before"] - ahead : p["before"] - ahead + LENGTH], k)
+            for k, p in enumerate(phrases)
+            if nearest[k] <= ahead <= p["before"]
         )
-    )
-    again = [set() for _ in phrases]
-    for (a, k, i), (b, m, j) in zip(suffixes, suffixes[1:], strict=False):
-        if a == b:
-            again[k].add(i)
-            again[m].add(j)
-    spans = []
-    for p, places in zip(phrases, again, strict=True):
-        if p["kind"] == _OPEN:
-            for i, j in _runs(sorted(places)):
-                spans.append((p["doc_id"], p["body"], p["start"] + i, p["start"] + j + LENGTH))
-    return spans
+        last, marked = (b"", -1), False
+        for suffix in suffixes:
+            if suffix[0] == last[0]:
+                if not marked:
+                    again[last[1]].append(phrases[last[1]]["before"] - ahead)
+                again[suffix[1]].append(phrases[suffix[1]]["before"] - ahead)
+                marked = True
+            else:
+                marked = False
+            last = suffix
+    return [
+        (p["doc_id"], p["body"], p["start"] + i, p["start"] + j + LENGTH)
+        for p, places in zip(phrases, again, strict=True)
+        if p["kind"] == _OPEN
+        for i, j in _runs(places)
+    ]
 
 
 def _runs(places: list[int]) -> Iterator[tuple[int, int]]:
