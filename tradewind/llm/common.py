@@ -74,6 +74,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
+def join_grouped(left: DataFrame, grouped: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """Join to a table that was grouped by ``key``, which may be hot in ``left``.
+
+    Joining on a hash of the key as well gives the grouped side a shuffle of its own. Without
+    it Spark joins where the groups were made, and adaptive execution cannot cut a hot key.
+    """
+    hashed = F.xxhash64(*key).alias("_key_hash")
+    joined = left.select("*", hashed).join(grouped.select("*", hashed), [*key, "_key_hash"], how)
+    return joined.drop("_key_hash")
+
+
 def text_hash(text: bytes) -> int:
     """32 bits that tell texts of the same id apart."""
     return xxhash.xxh32_intdigest(text) - (1 << 31)

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from tradewind.llm.common import (
     WORD,
     column_bytes,
+    join_grouped,
     row_key,
     store,
     text_hash,
@@ -270,7 +271,7 @@ def _leaves(classes: DataFrame, runs: int, threshold: float, most: int) -> DataF
     leaves = None
     for level in range(MORE_LEVELS + 1):
         sizes = members.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        sized = store(members.join(sizes, "node"), f"sized{level}")
+        sized = store(join_grouped(members, sizes, ["node"]), f"sized{level}")
         last = level == MORE_LEVELS
         ready = sized if last else sized.where(F.col("size") <= most)
         leaves = ready if leaves is None else leaves.unionByName(ready)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradewind.llm.common import column_bytes, store, text_hash, text_pieces
+from tradewind.llm.common import column_bytes, join_grouped, store, text_hash, text_pieces
 
 LENGTH = 200  # bytes of a string that counts
 REACH = 160  # places among which a string seeks its trigger
@@ -156,13 +156,14 @@ def repeated_spans(
     parsed = store(own.mapInArrow(_parse_batches, _PHRASES.format(id=id_kind)), "parse")
     # Pre-aggregated before the shuffle, so a core that every document holds is no hot spot.
     again = parsed.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
-    live = store(parsed.join(again, "core", "left_semi"), "live")
+    live = store(join_grouped(parsed, again, ["core"], "left_semi"), "live")
     dictionary = live.groupBy("core", "phrase").agg(
         F.count("*").alias("n"), F.min(F.struct("doc_id", "body", "start")).alias("first")
     )
     dictionary = store(dictionary, "dictionary")
     variants = dictionary.groupBy("core").agg(F.count("*").alias("variants"))
-    sorted_out = dictionary.join(variants.where("variants > 1"), "core", "left").select(
+    several = join_grouped(dictionary, variants.where("variants > 1"), ["core"], "left")
+    sorted_out = several.select(
         "core", "phrase", "first", "variants",
         F.when(F.col("n") == 1, _OPEN).when(F.col("variants").isNull(), _FULL).otherwise(_BOTH).alias("kind"),
     )
@@ -263,7 +264,7 @@ def _compare(marked: DataFrame, id_kind: str) -> DataFrame:
         level += 1
         parts = store(large.drop("n").mapInArrow(_part, schema), f"parts{level}")
         again = parts.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
-        groups = store(parts.join(again, key), f"groups{level}")
+        groups = store(join_grouped(parts, again, key), f"groups{level}")
 
 
 _PART_NAMES = ["high", "low", "least", "most", "doc_id", "body", "start", "kind", "before", "bytes"]
