@@ -25,9 +25,9 @@ from tradewind.llm.common import column_bytes, text_pieces
 
 # Words and pieces of words kept from batch to batch, per Python worker; what is met after
 # that is encoded in each batch again.
-CACHED_WORDS = 200_000
-CACHED_PIECES = 250_000
-BATCH_BYTES = 8 << 20
+CACHED_WORDS = 100_000
+CACHED_PIECES = 100_000
+BATCH_BYTES = 2 << 20
 _SHIFT = 20  # symbol ids are below 2 ** 20
 # Words of printable Latin letters and signs, which normalization leaves as they are but for
 # case, can be cut without the library.
