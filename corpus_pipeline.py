@@ -8,8 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tradewind.llm import bpe, mixing, near_copies, quality, substrings
-from tradewind.llm.common import store
-from tradewind.session import configure
+from tradewind.llm.common import configure, store
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 

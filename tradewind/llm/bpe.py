@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from tradewind.llm.common import column_bytes, text_pieces
 
-# Words and pieces of words kept from batch to batch, per Python worker; what is met after
+# Words and pieces of words kept from batch to batch, per task; what is met after
 # that is encoded in each batch again.
 CACHED_WORDS = 100_000
 CACHED_PIECES = 100_000
@@ -194,16 +194,6 @@ def _without_overlaps(at: np.ndarray, nxt: np.ndarray) -> np.ndarray:
     return np.array(kept, np.int64)
 
 
-_encoders: dict[str, PairIndexEncoder] = {}
-
-
-def encoder(path: str) -> PairIndexEncoder:
-    """One per Python worker and tokenizer file."""
-    if path not in _encoders:
-        _encoders[path] = PairIndexEncoder(path)
-    return _encoders[path]
-
-
 def encode_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = False) -> DataFrame:
     """The columns of ``docs``, the number of tokens, digests of the ids and of the text that
     is decoded from them, and the ids themselves if asked for."""
@@ -214,9 +204,10 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = Fals
     schema = T.StructType([*docs.schema, *(T.StructField(c, k) for c, k in added.items())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None  # freed with the task, for the worker lives on and serves other stages
         for batch in batches:
             for part in text_pieces(batch, "text", BATCH_BYTES):
-                own = encoder(tokenizer_path)
+                own = own or PairIndexEncoder(tokenizer_path)
                 ids = own.encode_texts(column_bytes(part, "text"))
                 sizes = [len(x) // 4 for x in ids]
                 columns = [

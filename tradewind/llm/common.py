@@ -9,12 +9,24 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tradewind import session
 from tradewind.session import scratch_dir
 
 # The ASCII white space that separates words, [\x20\x09-\x0D].
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+# Rows of an Arrow batch. Whole texts are in them, and a batch is held several times over, by
+# the executor and by the Python worker; results do not depend on it.
+BATCH_ROWS = 2000
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    """The settings of the library, and batches that suit texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return session.configure(spark)
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back.
 

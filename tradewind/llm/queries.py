@@ -18,7 +18,7 @@ from tradewind.llm import (
     token_counts,
     url_filters,
 )
-from tradewind.session import configure
+from tradewind.llm.common import configure
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
