@@ -1,5 +1,6 @@
 """The chosen-path join against all pairs."""
 
+import math
 import random
 
 import numpy as np
@@ -114,6 +115,25 @@ def test_survival_and_runs():
     assert (1 - nc.survival(nc.DEPTH, 0.8)) ** nc.runs_needed(0.9999) <= 1e-4
 
 
+def test_recall_over_all_embeddings():
+    """All runs share one embedding: the target holds for the mean over it."""
+    places = nc.PLACES
+    missed = sum(
+        math.comb(places, k) * 0.8**k * 0.2 ** (places - k)
+        * (1 - nc.survival(nc.DEPTH, k / places)) ** nc.runs_needed()
+        for k in range(places + 1)
+    )
+    assert missed <= 1e-4
+
+
+def test_large_families_keep_all_links(spark):
+    """Nodes above ``most_at_once`` lose no pair that is near the threshold."""
+    base = prose("base", 200)
+    rows = [(i, changed(base, 2, f"near {i}"), "en", "s", 0) for i in range(80)]
+    found = nc.near_copies(frame(spark, rows), most_at_once=10)
+    assert result(found) == sorted(map(str, brute_force(rows)))
+
+
 def test_empty_table(spark):
     empty = frame(spark, edges()).limit(0)
     assert nc.near_copies(empty).count() == 0 and nc.without_near_copies(empty).count() == 0

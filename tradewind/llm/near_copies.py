@@ -4,15 +4,15 @@ Documents of the same shingles form a class, handled once. A class's set is embe
 ``PLACES`` minhash values. Each run starts with all classes in one node. A node draws one or two
 places, 1 / threshold on average, and a class goes on to the child of its value at each drawn
 place. Similar sets keep an even expectation to share a child, others part. After ``DEPTH``
-levels nodes of one class are dropped and larger ones than ``MOST_AT_ONCE`` are split on; the
-rest is compared all against all. Runs are repeated until a pair at the threshold is met with
-the target recall.
+levels nodes of one class are dropped and the rest, of any size, is compared all against all.
+Runs are repeated until a pair at the threshold is met with the target recall; all runs share
+one embedding, so this is the mean over the number of places at which the pair is equal.
 
 A pair met in several nodes counts in the least of them only, which both sides know from their
 own lists. A node's pairs are never written: a task gives each class's number of links and one
 edge of a spanning forest. Candidates are first sifted by their minhash values; the sets of what
-remains are fetched once per node and compared exactly. A node that stays large is compared
-block against block, so that no task holds more than two blocks.
+remains are fetched once per node and compared exactly. A larger node than ``MOST_AT_ONCE`` is
+compared block against block, so that no task holds more than two blocks.
 
 Defined cases: words are runs of other than ASCII white space, case counts. A text of one to
 four words has one shingle, all its words. Null texts and texts without words are similar to
@@ -44,10 +44,9 @@ from tradewind.llm.substrings import pack, unpack
 
 WORDS = 5
 THRESHOLD = 0.8
-RECALL = 0.9999  # of pairs exactly at the threshold, over runs of DEPTH levels
+RECALL = 0.9999  # of pairs exactly at the threshold
 PLACES = 128
 DEPTH = 3
-MORE_LEVELS = 4  # by which large nodes are split on
 MOST_AT_ONCE = 1000  # classes compared in one task at a time, or half as many in each block
 _SIFT_DEVIATIONS = 5  # of the minhash estimate: what is farther below the threshold is left
 _PIECE_BYTES = 4 << 20
@@ -89,7 +88,8 @@ def embed(shingle_set: np.ndarray) -> np.ndarray:
 
 
 def survival(depth: int, similarity: float, threshold: float = THRESHOLD) -> float:
-    """Chance that a run leads a pair into a common node ``depth`` levels down."""
+    """Chance that a run leads a pair, equal at this share of the places, into a common node
+    ``depth`` levels down."""
     second = 1 / threshold - 1  # a node draws a second place this often
     met = 1.0
     for _ in range(depth):
@@ -98,10 +98,23 @@ def survival(depth: int, similarity: float, threshold: float = THRESHOLD) -> flo
     return met
 
 
+def missed(runs: int, similarity: float, threshold: float = THRESHOLD) -> float:
+    """Chance that no run meets a pair. Runs are independent only for a given embedding."""
+    return math.fsum(
+        math.comb(PLACES, equal) * similarity**equal * (1 - similarity) ** (PLACES - equal)
+        * (1 - survival(DEPTH, equal / PLACES, threshold)) ** runs
+        for equal in range(PLACES + 1)
+    )
+
+
 def runs_needed(recall: float = RECALL, threshold: float = THRESHOLD) -> int:
     """Runs after which a pair at the threshold was met with this chance."""
-    missed = 1 - survival(DEPTH, threshold, threshold)
-    return math.ceil(math.log(1 - recall) / math.log(missed))
+    if not 0 <= recall < 1:
+        raise ValueError(f"no number of runs has a recall of {recall}")
+    runs = 1
+    while missed(runs, threshold, threshold) > 1 - recall:
+        runs += 1
+    return runs
 
 
 def _children(rows: np.ndarray, nodes: np.ndarray, values: np.ndarray, threshold: float):
@@ -147,16 +160,6 @@ def _descend(runs: int, threshold: float):
     return run
 
 
-def _split(threshold: float):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes = batch.column("node").to_numpy().view(np.uint64)
-            rows, nodes = _children(np.arange(len(nodes)), nodes, _values(batch), threshold)
-            yield _members(batch, rows, nodes)
-
-    return run
-
-
 def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in text_pieces(batch, "text", _PIECE_BYTES):
@@ -204,7 +207,7 @@ def near_copies(
         F.first("n").alias("n"), F.first("sketch").alias("sketch"),
     )
     classes = store(classes, "classes")
-    leaves = _leaves(classes, runs_needed(recall, threshold), threshold, most_at_once)
+    leaves = _leaves(classes, runs_needed(recall, threshold), threshold)
     lists = leaves.groupBy(*_KEY).agg(F.collect_set("node").alias("nodes"))
     payload = store(classes.join(lists, _KEY), "payload")
     groups = _blocks(leaves, most_at_once)
@@ -262,25 +265,14 @@ def without_near_copies(docs: DataFrame) -> DataFrame:
     )
 
 
-def _leaves(classes: DataFrame, runs: int, threshold: float, most: int) -> DataFrame:
+def _leaves(classes: DataFrame, runs: int, threshold: float) -> DataFrame:
     """node, hi, lo and the node's size, for nodes of two classes or more."""
     schema = "node bigint, hi bigint, lo bigint"
     members = store(
-        classes.select(*_KEY, "sketch").mapInArrow(_descend(runs, threshold), schema), "level0"
+        classes.select(*_KEY, "sketch").mapInArrow(_descend(runs, threshold), schema), "members"
     )
-    leaves = None
-    for level in range(MORE_LEVELS + 1):
-        sizes = members.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        sized = store(join_grouped(members, sizes, ["node"]), f"sized{level}")
-        last = level == MORE_LEVELS
-        ready = sized if last else sized.where(F.col("size") <= most)
-        leaves = ready if leaves is None else leaves.unionByName(ready)
-        large = sized.where(F.col("size") > most)
-        if last or large.limit(1).count() == 0:
-            return leaves
-        sketches = large.join(classes.select(*_KEY, "sketch"), _KEY).select("node", *_KEY, "sketch")
-        members = store(sketches.mapInArrow(_split(threshold), schema), f"level{level + 1}")
-    return leaves
+    sizes = members.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+    return store(join_grouped(members, sizes, ["node"]), "leaves")
 
 
 def _blocks(leaves: DataFrame, most: int) -> DataFrame:
