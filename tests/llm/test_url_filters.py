@@ -3,6 +3,7 @@
 import itertools
 import math
 import re
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -86,6 +87,53 @@ def test_unigrams_count_words_outside_tags(spark):
     assert uf.unigrams(pages(spark, ["a"], None)) == {}
 
 
+def many_words(n):
+    """Different words of six letters, the rarest to come last by letter."""
+    return ["".join(w) for w in itertools.islice(itertools.product("abcdefgh", repeat=6), n)]
+
+
+def test_unigrams_hold_all_words(spark):
+    words = [*many_words(60_000), "zcat", "w" * 40]
+    costs = uf.unigrams(pages(spark, ["a"], " ".join(words)))
+    assert set(costs) == set(words)
+    assert costs["zcat"] == pytest.approx(math.log(60_002))
+
+
+def splits(spark, urls, html):
+    df = pages(spark, urls, html)
+    host, path = uf.host_and_path(df.url)
+    named = df.select(host.alias("host"), path.alias("path"), uf.F.lit("block").alias("ruled"))
+    words = uf.unigrams(df)
+    table = spark.createDataFrame(list(words.items()), "word string, cost double")
+    tokens = uf._tokens(named, table, max(words.values()) + math.log(10))
+    return Counter(r.token for r in tokens.collect()), uf.Segmenter(words)
+
+
+def test_rare_words_split_names_too(spark):
+    """More words than any limit, and words longer than what they are looked up by."""
+    long, longer = "w" + "xy" * 12, "w" + "xy" * 12 + "z"
+    html = " ".join(["org", long, longer, "zcat", "zdog", *many_words(60_000)])
+    urls = {
+        "http://zcatzdog.org/": ["h:zcat", "h:zdog", "h:org"],
+        f"http://zdog{longer}.org/{long}zcat": ["h:zdog", f"h:{longer}", "h:org", f"p:{long}", "p:zcat"],
+    }
+    found, segmenter = splits(spark, list(urls), html)
+    assert found == Counter(itertools.chain(*urls.values()))
+    for url, expected in urls.items():
+        host, path = re.fullmatch("http://([^/]*)(.*)", url).groups()
+        assert segmenter.tokens(host, path) == expected
+
+
+def test_splits_by_joins_are_those_of_one_machine(spark, sf_dir):
+    df = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    html = "the then her there organ example"
+    urls = [r.url for r in df.limit(40).collect()]
+    found, segmenter = splits(spark, urls, html)
+    plain = pages(spark, urls)
+    rows = plain.select(*uf.host_and_path(plain.url)).distinct().collect()
+    assert found == Counter(t for r in rows for t in segmenter.tokens(*r))
+
+
 def test_held_out_accuracy(spark, sf_dir):
     """Pages of rules that the model has not seen get their rule's verdict."""
     # The smallest tables hold too few pages to hold any out.

@@ -1,10 +1,13 @@
 """URL filters: rules first, then naive Bayes over words segmented from hosts and paths.
 
-Host names run words together. A unigram model, counted over the words of all pages, gives the
+Host names run words together. A unigram model, counted over all words of all pages, gives the
 most likely split of each name by Viterbi; the words, those of the path and the shape of its
 numbers are the tokens of a multinomial naive Bayes model, trained on all pages that a rule
 decides and applied to all others.
 
+The words stay a table. Each different name is joined to it by its substrings of up to
+``HEAD`` letters, which find longer words by their first letters.
+
 Defined cases: a null URL or one without ``://`` has an empty host and path, no tokens, and gets
 the verdict of the larger class. Null pages count no words. Where no rule decides any page,
 everything without a rule is allowed. Repeated rows are judged alike, and train twice.
@@ -12,15 +15,16 @@ everything without a rule is allowed. Repeated rows are judged alike, and train
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tradewind.llm.common import store
+
 #: (verdict, host, path): fits the host and its subdomains, if the path starts so.
 RULES = (
     ("allow", "com", "/"),
@@ -29,9 +33,8 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-MOST_WORDS = 50_000  # of the unigram model: the most frequent, ties in order of letters
-MOST_TOKENS = 50_000  # of the naive Bayes model, likewise
-LONGEST_WORD = 20
+MOST_TOKENS = 50_000  # of the naive Bayes model: the most frequent, ties in order of letters
+HEAD = 20  # letters by which words are looked up
 _UNSEEN = math.log(10)  # cost of each letter of an unknown word
 _NAME = re.compile(r"[a-z]+|[0-9]+")
 
@@ -61,118 +64,190 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
     named = pages.select(pages[page_id].alias("page_id"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     ruled = named.withColumn("rule", rule).withColumn("ruled", verdict)
-    words = unigrams(pages.select(pages[html].alias("html")))
-    model = train(ruled.where("ruled IS NOT NULL"), words)
-    return _apply(ruled, words, model)
+    counts = store(word_counts(pages.select(pages[html].alias("html"))), "words")
+    size = counts.agg(F.sum("n").alias("total"), F.min("n").alias("least")).first()
+    words = counts.select("word", (-F.log(F.col("n") / F.lit(size.total))).alias("cost"))
+    unknown = _UNSEEN + (math.log(size.total / size.least) if size.total else 0.0)
+    tokens = _tokens(ruled, words, unknown)
+    return _apply(ruled, tokens, _model(ruled, tokens))
 
 
-def unigrams(pages: DataFrame) -> dict[str, float]:
-    """Negative log probabilities of the most frequent words of all pages, without their tags."""
+def word_counts(pages: DataFrame) -> DataFrame:
+    """word and n: the words of all pages, without their tags."""
     plain = F.regexp_replace(F.lower("html"), "<[^>]*>", " ")
     words = pages.select(F.explode(F.split(plain, "[^a-z]+")).alias("word"))
-    words = words.where(F.length("word").between(1, LONGEST_WORD))
-    counts = words.groupBy("word").agg(F.count("*").alias("n"))
-    top = counts.orderBy(F.desc("n"), "word").limit(MOST_WORDS).collect()
-    total = sum(r.n for r in top) or 1
-    return {r.word: -math.log(r.n / total) for r in top}
+    return words.where("word != ''").groupBy("word").agg(F.count("*").alias("n"))
+
+
+def unigrams(pages: DataFrame) -> dict[str, float]:
+    """Negative log probabilities of all words of a small table, for the driver."""
+    counts = word_counts(pages).collect()
+    total = sum(r.n for r in counts)
+    return {r.word: -math.log(r.n / total) for r in counts}
+
+
+def cheapest(name: str, known: Iterable[tuple[int, int, float]], unknown: float) -> tuple[str, ...]:
+    """The cheapest split into known words (start, end, cost) and unknown letters."""
+    if name.isdigit():
+        return (name,)
+    ending: list[list[tuple[int, float]]] = [[] for _ in range(len(name) + 1)]
+    for start, end, cost in known:
+        ending[end].append((start, cost))
+    best, back = [0.0], [0]
+    # An unknown word costs its letters: its best start is the same for all later ends.
+    cheap = (0.0, 0)
+    for end in range(1, len(name) + 1):
+        choices = [(cheap[0] + unknown + _UNSEEN * end, cheap[1])]
+        choices += [(best[start] + cost, start) for start, cost in ending[end]]
+        least, start = min(choices)
+        best.append(least)
+        back.append(start)
+        cheap = min(cheap, (least - _UNSEEN * end, end))
+    words, end = [], len(name)
+    while end:
+        words.append(name[back[end] : end])
+        end = back[end]
+    return tuple(reversed(words))
+
+
+def _named_runs(host: str, path: str) -> Iterator[tuple[str, str]]:
+    """Names of the host and of the path, and the shapes of numbers."""
+    for kind, text in (("h", host), ("p", path.lower())):
+        for run in _NAME.findall(text):
+            yield kind, "0" * len(run) if run.isdigit() else run
 
 
 class Segmenter:
-    """Splits names into words; one per task, with the costs of the unigram model."""
+    """Splits names into words on one machine, with the costs of a unigram model."""
 
     def __init__(self, costs: dict[str, float]):
         self._costs = costs
         self._unknown = max(costs.values(), default=0.0) + _UNSEEN
+        self._longest = max(map(len, costs), default=0)
         self.split = lru_cache(100_000)(self._split)
 
     def _split(self, name: str) -> tuple[str, ...]:
-        best, back = [0.0], [0]
-        for end in range(1, len(name) + 1):
-            choices = []
-            for start in range(max(0, end - LONGEST_WORD), end):
-                cost = self._costs.get(name[start:end])
-                if cost is None:
-                    cost = self._unknown + _UNSEEN * (end - start)
-                choices.append((best[start] + cost, start))
-            least, start = min(choices)
-            best.append(least)
-            back.append(start)
-        words, end = [], len(name)
-        while end:
-            words.append(name[back[end] : end])
-            end = back[end]
-        return tuple(reversed(words))
+        spans = (
+            (start, end)
+            for start in range(len(name))
+            for end in range(start + 1, min(start + self._longest, len(name)) + 1)
+        )
+        known = ((i, j, self._costs[name[i:j]]) for i, j in spans if name[i:j] in self._costs)
+        return cheapest(name, known, self._unknown)
 
     def tokens(self, host: str, path: str) -> list[str]:
         """Words and number shapes of the host and of the path."""
-        found = []
-        for kind, text in (("h", host), ("p", path.lower())):
-            for run in _NAME.findall(text):
-                if run.isdigit():
-                    found.append(f"{kind}:{'0' * len(run)}")
-                else:
-                    found += [f"{kind}:{word}" for word in self.split(run)]
-        return found
+        return [f"{kind}:{word}" for kind, run in _named_runs(host, path) for word in self.split(run)]
 
 
-def train(labelled: DataFrame, words: dict[str, float]) -> dict[str, float]:
-    """Log ratios of block to allow by token; under ``""`` that of the classes."""
+def _url() -> Column:
+    """A key of host and path: the path starts with the first slash."""
+    return F.unhex(F.md5(F.concat("host", "path"))).alias("url")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(words)
-        for batch in batches:
-            counts: Counter = Counter()
-            rows = (batch.column(c).to_pylist() for c in ("ruled", "host", "path"))
-            for verdict, host, path in zip(*rows, strict=True):
-                counts.update((verdict, token) for token in ["", *segmenter.tokens(host, path)])
-            keys = list(counts)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([v for v, _ in keys], pa.string()),
-                    pa.array([t for _, t in keys], pa.string()),
-                    pa.array([counts[k] for k in keys], pa.int64()),
-                ],
-                ["verdict", "token", "n"],
+
+def _runs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("host", "path")), strict=True)
+        found = [(i, *run) for i, row in enumerate(rows) for run in _named_runs(*row)]
+        for at in range(0, len(found), 10_000):
+            of, kind, name = zip(*found[at : at + 10_000], strict=True)
+            kept = [batch.column(c).take(pa.array(of)) for c in ("url", "ruled", "copies")]
+            texts = [pa.array(kind, pa.string()), pa.array(name, pa.string())]
+            yield pa.RecordBatch.from_arrays([*kept, *texts], ["url", "ruled", "copies", "kind", "name"])
+
+
+def _split_names(unknown: float, batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        split = []
+        for name, known in zip(*(batch.column(c).to_pylist() for c in ("name", "known")), strict=True):
+            spans = (
+                (k["start"] - 1, k["start"] - 1 + k["size"], k["cost"])
+                for k in known or ()
+                if k["word"] is None or name.startswith(k["word"], k["start"] - 1)
             )
+            split.append(cheapest(name, spans, unknown))
+        kinds = pa.list_(pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(split, kinds)], ["name", "words"])
+
+
+def _segment(names: DataFrame, words: DataFrame, unknown: float) -> DataFrame:
+    """name and its words."""
+    keyed = names.withColumn("key", F.unhex(F.md5("name")))
+    left = F.length("name") - F.col("start") + 1
+    spans = (
+        keyed.where("name RLIKE '^[a-z]'")
+        .withColumn("start", F.explode(F.sequence(F.lit(1), F.length("name"))))
+        .withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(HEAD), left))))
+        .select("key", "start", F.col("name").substr(F.col("start"), F.col("size")).alias("head"))
+    )
+    looked_up = words.select(
+        F.substring("word", 1, HEAD).alias("head"), F.length("word").alias("size"), "cost",
+        # What goes on after its head is compared where the name is at hand.
+        F.when(F.length("word") > HEAD, F.col("word")).alias("word"),
+    )
+    known = spans.join(looked_up, "head").groupBy("key").agg(
+        F.collect_list(F.struct("start", "size", "cost", "word")).alias("known")
+    )
+    return keyed.join(known, "key", "left").select("name", "known").mapInArrow(
+        partial(_split_names, unknown), "name string, words array<string>"
+    )
 
-    counted = labelled.select("ruled", "host", "path").mapInArrow(
-        run, "verdict string, token string, n bigint"
+
+def _tokens(ruled: DataFrame, words: DataFrame, unknown: float) -> DataFrame:
+    """url, its verdict under a rule, its number of rows, and each of its tokens."""
+    urls = ruled.groupBy("host", "path", "ruled").agg(F.count("*").alias("copies"))
+    runs = urls.select(_url(), "ruled", "copies", "host", "path").mapInArrow(
+        _runs, "url binary, ruled string, copies bigint, kind string, name string"
     )
-    of = lambda v: F.coalesce(F.sum(F.when(F.col("verdict") == v, F.col("n"))), F.lit(0))
-    tokens = counted.groupBy("token").agg(of("block").alias("block"), of("allow").alias("allow"))
-    top = tokens.orderBy(F.desc(F.col("token") == ""), F.desc(F.col("block") + F.col("allow")), "token")
-    found = top.limit(MOST_TOKENS + 1).collect()
-    if not found:
-        return {}
-    block, allow = (sum(r[c] for r in found if r.token) + len(found) for c in ("block", "allow"))
-    return {
-        r.token: math.log((r.block + 1) / block) - math.log((r.allow + 1) / allow)
-        if r.token
-        else math.log((r.block + 1) / (r.allow + 1))
-        for r in found
-    }
-
-
-def _apply(ruled: DataFrame, words: dict[str, float], model: dict[str, float]) -> DataFrame:
-    names = ["page_id", "host", "path", "rule", "verdict", "score"]
-    kinds = [ruled.schema["page_id"].dataType, *[T.StringType()] * 4, T.DoubleType()]
-    schema = T.StructType(list(map(T.StructField, names, kinds)))
+    runs = store(runs, "runs")
+    split = store(_segment(runs.select("name").distinct(), words, unknown), "split")
+    tokens = runs.join(split, "name").select("url", "ruled", "copies", "kind", F.explode("words").alias("word"))
+    return store(tokens.select("url", "ruled", "copies", F.concat_ws(":", "kind", "word").alias("token")), "tokens")
+
+
+def _by_verdict(n: Column) -> list[Column]:
+    return [
+        F.coalesce(F.sum(F.when(F.col("ruled") == v, n)), F.lit(0)).alias(v) for v in ("block", "allow")
+    ]
+
+
+def _model(ruled: DataFrame, tokens: DataFrame) -> tuple[DataFrame, float]:
+    """Log ratios of block to allow by token, and that of the classes."""
+    rows = ruled.agg(*_by_verdict(F.lit(1))).first()
+    counts = tokens.where("ruled IS NOT NULL").groupBy("token").agg(*_by_verdict(F.col("copies")))
+    top = counts.orderBy(F.desc(F.col("block") + F.col("allow")), "token").limit(MOST_TOKENS)
+    counts = store(top, "token_counts")
+    size = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("block", "allow")), F.count("*").alias("n")).first()
+    share = lambda c: F.log((F.col(c) + 1) / F.lit(size[c] + size.n + 1))
+    ratios = counts.select("token", (share("block") - share("allow")).alias("ratio"))
+    return ratios, math.log((rows.block + 1) / (rows.allow + 1))
+
+
+def train(labelled: DataFrame, words: dict[str, float]) -> dict[str, float]:
+    """Log ratios of block to allow by token, of a small table, for the driver; under ``""`` that
+    of the classes."""
+    table = pa.table({"word": pa.array(list(words), pa.string()), "cost": pa.array(list(words.values()), pa.float64())})
+    unknown = max(words.values(), default=0.0) + _UNSEEN
+    ratios, classes = _model(labelled, _tokens(labelled, labelled.sparkSession.createDataFrame(table), unknown))
+    return {r.token: r.ratio for r in ratios.collect()} | {"": classes}
+
+
+def _apply(ruled: DataFrame, tokens: DataFrame, model: tuple[DataFrame, float]) -> DataFrame:
+    ratios, classes = model
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(words)
         for batch in batches:
-            verdicts, scores = [], []
-            rows = (batch.column(c).to_pylist() for c in ("ruled", "host", "path"))
-            for verdict, host, path in zip(*rows, strict=True):
-                score = None
-                if verdict is None:
-                    tokens = ["", *segmenter.tokens(host, path)]
-                    score = math.fsum(model.get(t, 0.0) for t in tokens)
-                    verdict = "block" if score > 0 else "allow"
-                verdicts.append(verdict)
-                scores.append(score)
-            columns = [batch.column(c) for c in names[:4]]
-            columns += [pa.array(verdicts, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    return ruled.mapInArrow(run, schema)
+            # An exact sum, as the order of a list is not fixed.
+            scores = [math.fsum([classes, *found]) for found in batch.column("found").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("url"), pa.array(scores, pa.float64())], ["url", "sum"])
+
+    open_tokens = tokens.where("ruled IS NULL").select("url", "token")
+    found = open_tokens.join(ratios, "token").groupBy("url").agg(F.collect_list("ratio").alias("found"))
+    sums = store(found.mapInArrow(run, "url binary, sum double"), "scores")
+    # Only rows without a verdict have a key to join by.
+    keyed = ruled.withColumn("url", F.when(F.col("ruled").isNull(), _url()))
+    score = F.when(F.col("ruled").isNull(), F.coalesce("sum", F.lit(classes)))
+    judged = F.coalesce("ruled", F.when(F.col("score") > 0, "block").otherwise("allow"))
+    return keyed.join(sums, "url", "left").withColumn("score", score).select(
+        "page_id", "host", "path", "rule", judged.alias("verdict"), "score"
+    )
