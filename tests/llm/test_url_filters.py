@@ -159,6 +159,17 @@ def test_toxic_words_of_blocked_hosts_are_carried_over(spark):
     assert verdicts["badstuff.org"] == "block" and verdicts["goodnews.org"] == "allow"
 
 
+def test_rare_tokens_of_blocked_pages_count(spark):
+    """More tokens than any limit; the rare one is the last of them."""
+    many = "/".join(many_words(60_000))
+    urls = [f"http://a.com/{many}", "http://b.net/fr/zzz", "http://q.org/zzz", "http://q.org/yyy"]
+    found = {r.path: r for r in uf.judge(pages(spark, urls)).collect()}
+    tokens = 60_006
+    ratio = math.log(2 / (4 + tokens + 1)) - math.log(1 / (60_002 + tokens + 1))
+    assert found["/zzz"].score == pytest.approx(ratio) and found["/zzz"].verdict == "block"
+    assert found["/yyy"].score == 0 and found["/yyy"].verdict == "allow"
+
+
 @pytest.mark.parametrize("urls", [[], ["http://x.org/"], [None]])
 def test_without_labelled_pages_all_is_allowed(spark, urls):
     assert all(r.verdict == "allow" for r in uf.judge(pages(spark, urls)).collect())

@@ -5,7 +5,7 @@ most likely split of each name by Viterbi; the words, those of the path and the
 numbers are the tokens of a multinomial naive Bayes model, trained on all pages that a rule
 decides and applied to all others.
 
-The words stay a table. Each different name is joined to it by its substrings of up to
+Words and tokens stay tables. Each different name is joined to it by its substrings of up to
 ``HEAD`` letters, which find longer words by their first letters.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, no tokens, and gets
@@ -33,7 +33,6 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-MOST_TOKENS = 50_000  # of the naive Bayes model: the most frequent, ties in order of letters
 HEAD = 20  # letters by which words are looked up
 _UNSEEN = math.log(10)  # cost of each letter of an unknown word
 _NAME = re.compile(r"[a-z]+|[0-9]+")
@@ -215,8 +214,7 @@ def _model(ruled: DataFrame, tokens: DataFrame) -> tuple[DataFrame, float]:
     """Log ratios of block to allow by token, and that of the classes."""
     rows = ruled.agg(*_by_verdict(F.lit(1))).first()
     counts = tokens.where("ruled IS NOT NULL").groupBy("token").agg(*_by_verdict(F.col("copies")))
-    top = counts.orderBy(F.desc(F.col("block") + F.col("allow")), "token").limit(MOST_TOKENS)
-    counts = store(top, "token_counts")
+    counts = store(counts, "token_counts")
     size = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("block", "allow")), F.count("*").alias("n")).first()
     share = lambda c: F.log((F.col(c) + 1) / F.lit(size[c] + size.n + 1))
     ratios = counts.select("token", (share("block") - share("allow")).alias("ratio"))
