@@ -134,6 +134,22 @@ def test_large_families_keep_all_links(spark):
     assert result(found) == sorted(map(str, brute_force(rows)))
 
 
+@pytest.mark.parametrize("same_id", [None, 7])
+def test_texts_of_one_id_are_fetched_once_each(spark, same_id, monkeypatch):
+    """Many near copies under one id: no join of all texts of it with all its classes."""
+    fetched, plain = [], nc._texts
+
+    def counted(*args):
+        fetched.append(plain(*args).count())
+        return plain(*args)
+
+    monkeypatch.setattr(nc, "_texts", counted)
+    base = prose("base", 200)
+    rows = [(same_id, changed(base, 1, i), "en", "s", 0) for i in range(40)]
+    assert result(nc.near_copies(frame(spark, rows))) == sorted(map(str, brute_force(rows)))
+    assert fetched == [40]
+
+
 def test_empty_table(spark):
     empty = frame(spark, edges()).limit(0)
     assert nc.near_copies(empty).count() == 0 and nc.without_near_copies(empty).count() == 0

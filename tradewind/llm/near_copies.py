@@ -213,9 +213,10 @@ def near_copies(
     groups = _blocks(leaves, most_at_once)
 
     # What is left after the sifting carries its payload along.
-    members = groups.join(payload.withColumn("rep_id", F.col("rep.doc_id")).drop("rep", "n"), _KEY)
+    rep = [F.col("rep.doc_id").alias("rep_id"), F.col("rep.body").alias("rep_body")]
+    members = groups.join(payload.select("*", *rep).drop("rep", "n"), _KEY)
     sifted = store(_by_group(members, _sift(threshold), members.schema), "candidates")
-    sets = _sets(own, sifted.select(*_KEY, "rep_id").distinct(), id_kind)
+    sets = _sets(own, sifted.select(*_KEY, "rep_id", "rep_body").distinct(), id_kind)
     linked = _by_group(sifted.join(sets, _KEY), _verify(threshold), "hi bigint, lo bigint, links bigint, root_hi bigint, root_lo bigint")
     linked = store(linked, "links")
 
@@ -375,21 +376,32 @@ def _sift(threshold: float):
 
 def _sets(own: DataFrame, wanted: DataFrame, id_kind: str) -> DataFrame:
     """The shingle sets of the wanted classes, from the text of one document of each."""
-    packed = own.mapInArrow(_pack, f"doc_id {id_kind}, packed binary")
-    wanted = wanted.select(F.col("hi").alias("of_hi"), F.col("lo").alias("of_lo"), F.col("rep_id").alias("of_id"))
-    chosen = packed.join(wanted, F.col("doc_id").eqNullSafe(F.col("of_id")))
+    chosen = _texts(own, wanted, id_kind)
     sets = chosen.select("of_hi", "of_lo", "packed").mapInArrow(
         _set_of, "hi bigint, lo bigint, shingles binary"
     )
-    # Rows of one id may hold other texts, and the same row may come again.
+    # The same row may come again.
     return store(sets.dropDuplicates(_KEY), "sets")
 
 
+def _texts(own: DataFrame, wanted: DataFrame, id_kind: str) -> DataFrame:
+    """The texts of the wanted ids and text hashes: rows of one id may hold many others."""
+    packed = own.mapInArrow(_pack, f"doc_id {id_kind}, body int, packed binary")
+    wanted = wanted.select(
+        F.col("hi").alias("of_hi"), F.col("lo").alias("of_lo"),
+        F.col("rep_id").alias("of_id"), F.col("rep_body").alias("of_body"),
+    )
+    same = F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("body") == F.col("of_body"))
+    return packed.join(wanted, same)
+
+
 def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in text_pieces(batch, "text", _PIECE_BYTES):
-            packed = pa.array([pack(t) for t in column_bytes(part, "text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), packed], ["doc_id", "packed"])
+            texts = column_bytes(part, "text")
+            hashes = pa.array(map(text_hash, texts), pa.int32())
+            packed = pa.array(map(pack, texts), pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), hashes, packed], ["doc_id", "body", "packed"])
 
 
 def _set_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
