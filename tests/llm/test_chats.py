@@ -98,6 +98,17 @@ def test_edges(spark):
     assert sum(r.n_lines for r in found) >= 3000 and all(r.role in chats.ROLES for r in found)
 
 
+def test_repeated_turns_share_the_transitions(spark, monkeypatch):
+    """Rows of one turn number count once for each row after them, not with each row before."""
+    monkeypatch.setattr(chats, "Model", lambda follows, lines: follows)
+    rows = [(None, 0, chats.ROLES[0], "a")] * 30 + [(None, 0, chats.ROLES[1], "b")] * 10
+    rows += [(None, 1, chats.ROLES[1], "c")] * 8
+    rows += [(1, 0, chats.ROLES[0], "a"), (1, 1, chats.ROLES[1], "b")]
+    follows = model(spark, rows)
+    assert follows[0, 1] == 8 * 0.75 + 1 and follows[1, 1] == 8 * 0.25
+    assert follows[-1].tolist()[:2] == [31, 10] and follows.sum() == len(rows)
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     own = chats.train(df, "conv_id", "turn", "role", "raw")

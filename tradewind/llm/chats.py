@@ -14,7 +14,9 @@ line, turns of the same number follow each other in order of their text. An unla
 trains nothing. Without any labelled turn all probabilities are even.
 """
 
+import math
 import re
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -115,21 +117,30 @@ class Model:
 
 
 def train(turns: DataFrame, conv_id: str, turn: str, role: str, raw: str) -> Model:
-    """Counts over all labelled turns; a few hundred numbers reach the driver."""
+    """Counts over all labelled turns. Where a turn number comes again in a conversation, its rows
+    share the transitions of each row after them. A few hundred numbers reach the driver, and some
+    for each different number of rows of one turn."""
     own = turns.select(
         *[c.alias(n) for c, n in zip(row_key(conv_id), ("known", "conv"), strict=True)],
         F.col(turn).cast("bigint").alias("turn"), F.col(role).alias("role"),
         F.coalesce(F.col(raw), F.lit("")).alias("raw"),
     ).where(F.col("role").isin(*ROLES))
     # Spread by conversation and turn, so a long conversation is no hot key.
-    here = own.select("known", "conv", F.coalesce("turn", F.lit(-1)).alias("turn"), "role")
-    before = here.select(
-        "known", "conv", (F.col("turn") + 1).alias("turn"), F.col("role").alias("last")
+    key = ["known", "conv", "turn"]
+    here = own.withColumn("turn", F.coalesce("turn", F.lit(-1))).groupBy(*key, "role").agg(F.count("*").alias("n"))
+    before = here.withColumn("turn", F.col("turn") + 1).groupBy(*key).agg(
+        F.collect_list(F.struct("role", "n")).alias("lasts"), F.sum("n").alias("among")
     )
-    pairs = here.join(before, ["known", "conv", "turn"], "left").groupBy("last", "role").count()
+    pairs = (
+        here.join(before, key, "left").select("role", "n", "among", F.explode_outer("lasts").alias("last"))
+        .groupBy("last.role", "role", "among").agg(F.sum(F.col("n") * F.coalesce("last.n", F.lit(1))))
+    )
+    shares = defaultdict(list)
+    for last, next_, among, n in pairs.collect():
+        shares[ROLES.index(last) if last else len(ROLES), ROLES.index(next_)].append(n / (among or 1))
     follows = np.zeros((len(ROLES) + 1, len(ROLES)))
-    for last, next_, n in pairs.collect():
-        follows[ROLES.index(last) if last else len(ROLES), ROLES.index(next_)] += n
+    for at, found in shares.items():
+        follows[at] = math.fsum(found)
     seen = own.select("role", "raw").mapInArrow(_count_lines, "state int, value int, n bigint")
     lines = np.zeros((_STATES, _VALUES))
     for state, value, n in seen.groupBy("state", "value").agg(F.sum("n")).collect():
