@@ -9,10 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tradewind.llm import (
     bpe,
     chats,
+    collocations,
+    contamination,
     fingerprints,
     mixing,
     near_copies,
     quality,
+    search,
     sharding,
     substrings,
     token_counts,
@@ -76,6 +79,21 @@ def op10_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(_read(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op11_best_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    return search.rank(docs, _read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op12_son_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_read(spark, sf_dir, "documents", "text", "lang"))
+
+
+def op13_wu_manber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    items = _read(spark, sf_dir, "benchmark", "item_id", "text")
+    return contamination.report(contamination.find_items(docs, items))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -89,5 +107,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_prefix_free_parsing,
         op9_transcripts,
         op10_quartile_digest,
+        op11_best_positions,
+        op12_son_collocations,
+        op13_wu_manber,
     )
 } | {"pipeline": corpus_pipeline.run}
