@@ -1,16 +1,17 @@
 """Collocations of two to four words by language, mined shard by shard and counted exactly.
 
-A document belongs to one of ``SHARDS`` shards, by a hash of its text. A phrase that occurs
-``support`` times among the n words of its language occurs ``support * n_s / n`` times or more in
-at least one shard of n_s words, so every shard is mined at this lowered support and the phrases
-frequent in some shard hold all those sought. A shard is not the work of one task: each task counts
-what its own documents add to each shard, and Spark adds these up by phrase, so shards stay few,
-and their supports high, however large the input is.
+Texts are read once and kept as word numbers, in blocks of one language, each of which belongs to
+one of ``SHARDS`` shards. A phrase that occurs ``support`` times among the n words of its language
+occurs ``support * n_s / n`` times or more in at least one shard of n_s words, so every shard is
+mined at this lowered support and the phrases frequent in some shard hold all those sought. A
+shard is not the work of one task: tasks count what their blocks add to it, and Spark adds these
+up by phrase, so shards stay few, and their supports high, however large the input is.
 
 Shards are mined a length at a time. A phrase is only counted if both its parts of one word less
-are frequent in some shard. Tasks know these from a filter of ``2 ** BITS`` bits over hashes of
-phrases, whatever their number: chance hits are counted in vain, none is missed. Mining counts
-hashes. The last pass counts the text of the phrases found, exactly and over all shards.
+are candidates. Tasks know these from a filter of ``2 ** BITS`` bits over hashes of phrases,
+whatever their number: chance hits are counted in vain, none is missed. Mining counts hashes, so
+what it finds over all shards is never too little, and a phrase for which that is below the support
+is no candidate. The last pass counts the text of the candidates, exactly and over all shards.
 
 Defined cases: null texts have no words, a null language is ``und``. Repeated rows count each.
 Case of A-Z alone is folded. A document's word numbers are held together, its words are not.
@@ -21,6 +22,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ COVERED = 80  # per cent of a phrase's occurrences that lie in one longer phrase
 SCALE = 2_000_000
 BITS = 26
 NO_LANGUAGE = "und"
-RUN_WORDS = 2 << 20  # words that a task counts at a time
+RUN_WORDS = 2 << 20  # words that a task holds at a time, and at most in a block, but for longer texts
 _RUN_BYTES = 1 << 20
 _PIECE_BYTES = 4 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -71,27 +73,53 @@ def numbered(text: bytes, numbers: _Numbers) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def _runs(batches: Iterable[pa.RecordBatch], shards: int) -> Iterator[tuple]:
-    """(language, shard, words, their numbers in texts) of some ``RUN_WORDS`` words together."""
-    held: dict[tuple, tuple[_Numbers, list]] = {}
-    size = 0
-    for batch in batches:
-        for part in text_pieces(batch, "text", _PIECE_BYTES):
-            texts = column_bytes(part, "text")
-            for lang, text in zip(part.column("lang").to_pylist(), texts, strict=True):
-                shard = xxhash.xxh3_64_intdigest(text) % shards
-                numbers, arrays = held.setdefault((lang, shard), (_Numbers(), []))
-                arrays.append(numbered(text, numbers))
-                size += len(arrays[-1])
-            if size >= RUN_WORDS:
-                yield from _held(held)
-                held, size = {}, 0
-    yield from _held(held)
+_BLOCKS = "lang string, shard int, part int, n bigint, words binary, texts binary"
+
+
+def _blocks(shards: int):
+    """Blocks of the texts of one language, of some ``RUN_WORDS`` words for all together. Their
+    shard goes by the task. ``part`` is a number of language and shard."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = TaskContext.get().partitionId() % shards
+        held: dict[str, tuple[_Numbers, list]] = {}
+        size = 0
+        for batch in batches:
+            for part in text_pieces(batch, "text", _PIECE_BYTES):
+                texts = column_bytes(part, "text")
+                for lang, text in zip(part.column("lang").to_pylist(), texts, strict=True):
+                    numbers, arrays = held.setdefault(lang, (_Numbers(), []))
+                    arrays.append(numbered(text, numbers))
+                    size += len(arrays[-1])
+                if size >= RUN_WORDS:
+                    yield from _held(held, shard)
+                    held, size = {}, 0
+        yield from _held(held, shard)
+
+    return run
+
+
+def _held(held: dict, shard: int) -> Iterator[pa.RecordBatch]:
+    for lang, (numbers, arrays) in held.items():
+        texts = np.concatenate(arrays)
+        part = xxhash.xxh32_intdigest(f"{shard} {lang}") - (1 << 31)
+        row = [
+            (lang, pa.string()), (shard, pa.int32()), (part, pa.int32()), (np.count_nonzero(texts), pa.int64()),
+            (_END.join(list(numbers)[1:]), pa.binary()), (texts.tobytes(), pa.binary()),
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in row], _names(_BLOCKS))
 
 
-def _held(held: dict) -> Iterator[tuple]:
-    for (lang, shard), (numbers, arrays) in held.items():
-        yield lang, shard, list(numbers), np.concatenate(arrays)
+def _names(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
+
+
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
+    """(language, part, words, their numbers in texts) of each block."""
+    for batch in batches:
+        for row in range(batch.num_rows):
+            lang, part, words, texts = (batch.column(c)[row].as_py() for c in ("lang", "part", "words", "texts"))
+            yield lang, part, [_END, *words.split(_END)], np.frombuffer(texts, np.int32)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -119,26 +147,19 @@ def _phrases(lang: str, words: list[bytes], texts: np.ndarray, filters: list[np.
         yield length, starts, hashes[starts]
 
 
-_MINED = "lang string, shard int, phrase bigint, n bigint"
+_MINED = "phrase bigint, part int, n bigint"
 
 
-def _mine(filters: list[np.ndarray], shards: int):
-    """Counts of the hashes of the phrases of one word more than the filters have; with a null
-    phrase, of all words."""
+def _mine(filters: list[np.ndarray]):
+    """Counts of the hashes of the phrases of one word more than the filters have."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, shard, words, texts in _runs(batches, shards):
+        for lang, part, words, texts in _rows(batches):
             *_, (_, _, hashes) = _phrases(lang, words, texts, filters)
             found, counts = np.unique(hashes, return_counts=True)
-            phrases = pa.array(np.append(found.view(np.int64), 0), mask=np.arange(len(found) + 1) == len(found))
-            rows = pa.array(np.append(counts, np.count_nonzero(texts)).astype(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([lang] * len(rows), pa.string()), pa.array([shard] * len(rows), pa.int32()),
-                    phrases, rows,
-                ],
-                ["lang", "shard", "phrase", "n"],
-            )
+            parts = np.full(len(found), part, np.int32)
+            columns = [found.view(np.int64), parts, counts.astype(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _names(_MINED))
 
     return run
 
@@ -150,7 +171,7 @@ def _count(filters: list[np.ndarray]):
     """Counts of the text of the phrases that pass the filter of their length."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, _, words, texts in _runs(batches, 1):
+        for lang, _, words, texts in _rows(batches):
             # Equal numbers stand for equal phrases, from those of one word less and the last word.
             equal = texts.astype(np.int64)
             for length, starts, hashes in _phrases(lang, words, texts, filters[:-1]):
@@ -197,27 +218,28 @@ def frequent_phrases(
 ) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, n) of all phrases of at least ``support`` occurrences, and (lang, n),
     the number of all words. ``docs`` has text and lang."""
+    blocks = store(docs.mapInArrow(_blocks(shards), _BLOCKS), "blocks")
+    words = blocks.groupBy("lang", "part").agg(F.sum("n").alias("of_shard")).where("of_shard > 0")
+    words = store(words, "totals")
+    local = _local(words, support)
     filters: list[np.ndarray] = []
-    totals = None
     for _ in range(most_words):
-        mined = docs.mapInArrow(_mine(filters, shards), _MINED).groupBy("lang", "shard", "phrase")
-        counts = mined.agg(F.sum("n").alias("n"))
-        if totals is None:
-            counts = store(counts, "words")
-            totals = store(_shares(counts.where("phrase IS NULL"), support), "totals")
-        local = counts.where("phrase IS NOT NULL").join(totals, ["lang", "shard"])
-        filters.append(_filter(local.where("n >= least")))
-    counted = docs.mapInArrow(_count(filters), _COUNTED).groupBy("lang", "phrase", "words")
+        # Already added up by block, so they are not combined before the shuffle.
+        mined = blocks.mapInArrow(_mine(filters), _MINED).repartition("phrase")
+        counts = mined.groupBy("phrase", "part").agg(F.sum("n").alias("n")).join(local, "part")
+        found = counts.groupBy("phrase").agg(F.sum("n").alias("n"), F.bool_or(F.expr("n >= least")).alias("frequent"))
+        filters.append(_filter(found.where(F.col("frequent") & (F.col("n") >= support))))
+    counted = blocks.mapInArrow(_count(filters), _COUNTED).groupBy("lang", "phrase", "words")
     frequent = counted.agg(F.sum("n").alias("n")).where(F.col("n") >= support)
-    return store(frequent, "phrases"), totals.groupBy("lang").agg(F.sum("of_shard").alias("n"))
+    return store(frequent, "phrases"), words.groupBy("lang").agg(F.sum("of_shard").alias("n"))
 
 
-def _shares(words: DataFrame, support: int) -> DataFrame:
-    """The support ``least`` of a shard of a language, in proportion to its words, rounded up."""
-    words = words.where("n > 0").select("lang", "shard", F.col("n").alias("of_shard"))
+def _local(words: DataFrame, support: int) -> DataFrame:
+    """The support ``least`` of each part, in proportion to its words, rounded up."""
     whole = words.withColumn("n", F.sum("of_shard").over(Window.partitionBy("lang")))
     least = f"CAST((CAST(of_shard AS DECIMAL(20,0)) * {support} + n - 1) div n AS BIGINT)"
-    return whole.select("lang", "shard", "of_shard", F.expr(least).alias("least"))
+    # Should two parts have one number, the lower support misses nothing of either.
+    return store(whole.groupBy("part").agg(F.expr(f"min({least})").alias("least")), "supports")
 
 
 def mine(
