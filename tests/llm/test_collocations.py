@@ -87,7 +87,7 @@ def test_full_filters_lose_nothing(spark, monkeypatch):
     rows = texts(60, 2)
     everything = lambda frequent: collocations.np.full(1 << 20, -1, "i8").view("u8")
     monkeypatch.setattr(collocations, "_filter", everything)
-    assert result(spark, rows) == brute_force(rows, 8, 40)
+    assert result(spark, rows, run_words=100) == brute_force(rows, 8, 40)
 
 
 @pytest.mark.parametrize("rows", [[], [(None, None)], [("", "en"), (" \n", "de"), ("..", None)]])

@@ -7,23 +7,25 @@ mined at this lowered support and the phrases frequent in some shard hold all th
 shard is not the work of one task: tasks count what their blocks add to it, and Spark adds these
 up by phrase, so shards stay few, and their supports high, however large the input is.
 
-Shards are mined a length at a time. A phrase is only counted if both its parts of one word less
-are candidates. Tasks know these from a filter of ``2 ** BITS`` bits over hashes of phrases,
-whatever their number: chance hits are counted in vain, none is missed. Mining counts hashes, so
-what it finds over all shards is never too little, and a phrase for which that is below the support
-is no candidate. The last pass counts the text of the candidates, exactly and over all shards.
+Shards are mined a length at a time, over 96-bit hashes of phrases. A phrase is only counted if both
+its parts of one word less are candidates. Tasks know these from a filter of ``2 ** BITS`` bits,
+whatever their number: chance hits are counted in vain, none is missed. The counts of a candidate
+in all shards, whether frequent there or not, add up to its exact count, and those below the
+support go. Last, one block that holds a phrase gives its text, again known from a filter.
 
 Defined cases: null texts have no words, a null language is ``und``. Repeated rows count each.
 Case of A-Z alone is folded. A document's word numbers are held together, its words are not.
 """
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tradewind.llm.common import column_bytes, store, text_pieces
@@ -36,7 +38,7 @@ COVERED = 80  # per cent of a phrase's occurrences that lie in one longer phrase
 SCALE = 2_000_000
 BITS = 26
 NO_LANGUAGE = "und"
-RUN_WORDS = 2 << 20  # words that a task holds at a time, and at most in a block, but for longer texts
+RUN_WORDS = 6 << 20  # words that a task holds at a time, but for longer texts
 _RUN_BYTES = 1 << 20
 _PIECE_BYTES = 4 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -73,15 +75,15 @@ def numbered(text: bytes, numbers: _Numbers) -> np.ndarray:
     return np.concatenate(parts)
 
 
-_BLOCKS = "lang string, shard int, part int, n bigint, words binary, texts binary"
+_BLOCKS = "lang string, part int, block bigint, n bigint, words binary, texts binary"
 
 
-def _blocks(shards: int):
-    """Blocks of the texts of one language, of some ``RUN_WORDS`` words for all together. Their
-    shard goes by the task. ``part`` is a number of language and shard."""
+def _blocks(shards: int, run_words: int):
+    """Blocks of the texts of one language, of some ``run_words`` words for all together. Their
+    shard goes by the task, whose number is ``block``; ``part`` is one of language and shard."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId() % shards
+        task = TaskContext.get().partitionId()
         held: dict[str, tuple[_Numbers, list]] = {}
         size = 0
         for batch in batches:
@@ -91,20 +93,20 @@ def _blocks(shards: int):
                     numbers, arrays = held.setdefault(lang, (_Numbers(), []))
                     arrays.append(numbered(text, numbers))
                     size += len(arrays[-1])
-                if size >= RUN_WORDS:
-                    yield from _held(held, shard)
+                if size >= run_words:
+                    yield from _held(held, task, task % shards)
                     held, size = {}, 0
-        yield from _held(held, shard)
+        yield from _held(held, task, task % shards)
 
     return run
 
 
-def _held(held: dict, shard: int) -> Iterator[pa.RecordBatch]:
+def _held(held: dict, task: int, shard: int) -> Iterator[pa.RecordBatch]:
     for lang, (numbers, arrays) in held.items():
         texts = np.concatenate(arrays)
         part = xxhash.xxh32_intdigest(f"{shard} {lang}") - (1 << 31)
         row = [
-            (lang, pa.string()), (shard, pa.int32()), (part, pa.int32()), (np.count_nonzero(texts), pa.int64()),
+            (lang, pa.string()), (part, pa.int32()), (task, pa.int64()), (np.count_nonzero(texts), pa.int64()),
             (_END.join(list(numbers)[1:]), pa.binary()), (texts.tobytes(), pa.binary()),
         ]
         yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in row], _names(_BLOCKS))
@@ -114,12 +116,19 @@ def _names(schema: str) -> list[str]:
     return [field.split()[0] for field in schema.split(", ")]
 
 
-def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
-    """(language, part, words, their numbers in texts) of each block."""
+class _Block(NamedTuple):
+    lang: str
+    part: int
+    block: int
+    words: list[bytes]
+    texts: np.ndarray
+
+
+def _rows(batches: Iterable[pa.RecordBatch]) -> Iterator[_Block]:
     for batch in batches:
         for row in range(batch.num_rows):
-            lang, part, words, texts = (batch.column(c)[row].as_py() for c in ("lang", "part", "words", "texts"))
-            yield lang, part, [_END, *words.split(_END)], np.frombuffer(texts, np.int32)
+            *values, words, texts = (batch.column(c)[row].as_py() for c in _Block._fields)
+            yield _Block(*values, [_END, *words.split(_END)], np.frombuffer(texts, np.int32))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -134,72 +143,93 @@ def _holds(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 
 def _phrases(lang: str, words: list[bytes], texts: np.ndarray, filters: list[np.ndarray]):
-    """(length, starts, hashes) of the phrases whose parts pass the filters, by length."""
+    """(length, starts, hashes, signs) of the phrases whose parts pass the filters, by length."""
     named = lang.encode() + _END
-    own = np.fromiter((xxhash.xxh3_64_intdigest(named + w) for w in words), np.uint64, len(words))
-    hashes, starts = own[texts], np.flatnonzero(texts)
-    yield 1, starts, hashes[starts]
+    digests = b"".join(xxhash.xxh3_128_digest(named + w) for w in words)
+    own, other = np.frombuffer(digests, ">u8").astype(np.uint64).reshape(-1, 2).T.copy()
+    hashes, signs, starts = own[texts], other[texts], np.flatnonzero(texts)
+    yield 1, starts, hashes[starts], signs[starts]
     for length, bits in enumerate(filters, 2):
         passed = np.zeros(len(texts) + 1, bool)
         passed[starts] = _holds(bits, hashes[starts])
         starts = starts[passed[starts] & passed[starts + 1]]
-        hashes[starts] = _mix(hashes[starts] * _BASE + own[texts[starts + length - 1]])
-        yield length, starts, hashes[starts]
+        last = texts[starts + length - 1]
+        hashes[starts] = _mix(hashes[starts] * _BASE + own[last])
+        signs[starts] = _mix(signs[starts] * _BASE + other[last])
+        yield length, starts, hashes[starts], signs[starts]
+
+
+def _distinct(length: int, starts: np.ndarray, texts: np.ndarray, words: int):
+    """Which of the phrases are the first of their kind in the block, and how many there are."""
+    texts = texts.astype(np.int64)
+    if length == 1:
+        key = texts[starts]
+    else:
+        # Pairs of words by number: one more word or one more pair still fits 64 bits.
+        pairs = np.zeros(len(texts), np.int64)
+        at = np.unique(np.concatenate([starts, starts + length - 2]))
+        pairs[at] = np.unique(texts[at] * words + texts[at + 1], return_inverse=True)[1]
+        more = 0 if length == 2 else texts[starts + 2] if length == 3 else pairs[starts + 2]
+        key = pairs[starts] * max(words, len(at)) + more
+    _, first, counts = np.unique(key, return_index=True, return_counts=True)
+    return first, counts
 
 
-_MINED = "phrase bigint, part int, n bigint"
+_MINED = "phrase bigint, sign int, part int, block bigint, n bigint"
+
+
+def _sign(signs: np.ndarray) -> np.ndarray:
+    return (signs >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _mine(filters: list[np.ndarray]):
-    """Counts of the hashes of the phrases of one word more than the filters have."""
+    """Counts of the phrases of one word more than the filters have."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, part, words, texts in _rows(batches):
-            *_, (_, _, hashes) = _phrases(lang, words, texts, filters)
-            found, counts = np.unique(hashes, return_counts=True)
-            parts = np.full(len(found), part, np.int32)
-            columns = [found.view(np.int64), parts, counts.astype(np.int64)]
+        for row in _rows(batches):
+            *_, (length, starts, hashes, signs) = _phrases(row.lang, row.words, row.texts, filters)
+            first, counts = _distinct(length, starts, row.texts, len(row.words))
+            columns = [
+                hashes[first].view(np.int64), _sign(signs[first]), np.full(len(first), row.part, np.int32),
+                np.full(len(first), row.block), counts.astype(np.int64),
+            ]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], _names(_MINED))
 
     return run
 
 
-_COUNTED = "lang string, phrase string, words int, n bigint"
+_NAMED = "lang string, text string, phrase bigint, sign int"
 
 
-def _count(filters: list[np.ndarray]):
-    """Counts of the text of the phrases that pass the filter of their length."""
+def _name(filters: list[np.ndarray], named: np.ndarray):
+    """The text of the phrases that a block is to name, by the filter of pairs of the two."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, _, words, texts in _rows(batches):
-            # Equal numbers stand for equal phrases, from those of one word less and the last word.
-            equal = texts.astype(np.int64)
-            for length, starts, hashes in _phrases(lang, words, texts, filters[:-1]):
-                starts = starts[_holds(filters[length - 1], hashes)]
-                key = equal[starts]
-                if length > 1:
-                    key = key * len(words) + texts[starts + length - 1]
-                _, first, number, counts = np.unique(
-                    key, return_index=True, return_inverse=True, return_counts=True
-                )
-                equal[starts] = number
-                phrases = (
-                    b" ".join([words[w] for w in texts[at : at + length].tolist()])
+        for row in _rows(batches):
+            for length, starts, hashes, signs in _phrases(row.lang, row.words, row.texts, filters[:-1]):
+                some = _holds(filters[length - 1], hashes) & _holds(named, hashes ^ np.uint64(_pair(row.block)))
+                starts, hashes, signs = starts[some], hashes[some], signs[some]
+                first, _ = _distinct(length, starts, row.texts, len(row.words))
+                texts = [
+                    b" ".join([row.words[w] for w in row.texts[at : at + length].tolist()])
                     for at in starts[first].tolist()
-                )
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([lang] * len(first), pa.string()),
-                        pa.array(phrases, pa.binary(), size=len(first)).cast(pa.string()),
-                        pa.array([length] * len(first), pa.int32()),
-                        pa.array(counts.astype(np.int64)),
+                        pa.array([row.lang] * len(first), pa.string()), pa.array(texts, pa.binary()).cast(pa.string()),
+                        pa.array(hashes[first].view(np.int64)), pa.array(_sign(signs[first])),
                     ],
-                    ["lang", "phrase", "words", "n"],
+                    _names(_NAMED),
                 )
 
     return run
 
 
+def _pair(block: int) -> int:
+    """What a phrase's hash is combined with to stand for the phrase and a block."""
+    return (block << (64 - BITS)) & ((1 << 64) - 1)
+
+
 def _filter(frequent: DataFrame) -> np.ndarray:
     """The filter over the hashes in ``phrase``: 2 ** BITS bits, made where the hashes are."""
     place = F.shiftrightunsigned("phrase", 64 - BITS)
@@ -213,24 +243,51 @@ def _filter(frequent: DataFrame) -> np.ndarray:
     return bits
 
 
+@contextmanager
+def _freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files go with the query that made them: each length has one as large as any."""
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def frequent_phrases(
-    docs: DataFrame, support: int = SUPPORT, most_words: int = MOST_WORDS, shards: int = SHARDS
+    docs: DataFrame,
+    support: int = SUPPORT,
+    most_words: int = MOST_WORDS,
+    shards: int = SHARDS,
+    run_words: int = RUN_WORDS,
 ) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, words, n) of all phrases of at least ``support`` occurrences, and (lang, n),
     the number of all words. ``docs`` has text and lang."""
-    blocks = store(docs.mapInArrow(_blocks(shards), _BLOCKS), "blocks")
+    blocks = store(docs.mapInArrow(_blocks(shards, run_words), _BLOCKS), "blocks")
     words = blocks.groupBy("lang", "part").agg(F.sum("n").alias("of_shard")).where("of_shard > 0")
     words = store(words, "totals")
     local = _local(words, support)
     filters: list[np.ndarray] = []
-    for _ in range(most_words):
+    found = None
+    # A block is chosen for each phrase by the phrase, so that no block names the most.
+    chosen = F.min(F.expr("block ^ (phrase & 16777215)")).alias("chosen")
+    for length in range(1, most_words + 1):
         # Already added up by block, so they are not combined before the shuffle.
         mined = blocks.mapInArrow(_mine(filters), _MINED).repartition("phrase")
-        counts = mined.groupBy("phrase", "part").agg(F.sum("n").alias("n")).join(local, "part")
-        found = counts.groupBy("phrase").agg(F.sum("n").alias("n"), F.bool_or(F.expr("n >= least")).alias("frequent"))
-        filters.append(_filter(found.where(F.col("frequent") & (F.col("n") >= support))))
-    counted = blocks.mapInArrow(_count(filters), _COUNTED).groupBy("lang", "phrase", "words")
-    frequent = counted.agg(F.sum("n").alias("n")).where(F.col("n") >= support)
+        counts = mined.groupBy("phrase", "sign", "part").agg(F.sum("n").alias("n"), chosen)
+        everywhere = counts.join(local, "part").groupBy("phrase", "sign").agg(
+            F.sum("n").alias("n"), F.min("chosen").alias("chosen"), F.bool_or(F.expr("n >= least")).alias("frequent")
+        )
+        kept = everywhere.where(F.col("frequent") & (F.col("n") >= support)).select(
+            "phrase", "sign", F.lit(length).alias("words"), "n", F.expr("chosen ^ (phrase & 16777215)").alias("block")
+        )
+        kept = store(kept, f"phrases{length}")
+        filters.append(_filter(kept.select("phrase")))
+        found = kept if found is None else found.unionByName(kept)
+    pairs = found.select(F.expr(f"phrase ^ shiftleft(block, {64 - BITS})").alias("phrase"))
+    names = blocks.mapInArrow(_name(filters, _filter(pairs)), _NAMED).dropDuplicates(["phrase", "sign"])
+    frequent = names.join(found, ["phrase", "sign"]).select("lang", F.col("text").alias("phrase"), "words", "n")
     return store(frequent, "phrases"), words.groupBy("lang").agg(F.sum("of_shard").alias("n"))
 
 
@@ -250,12 +307,14 @@ def mine(
     most_words: int = MOST_WORDS,
     shards: int = SHARDS,
     best: int = BEST,
+    run_words: int = RUN_WORDS,
 ) -> DataFrame:
     """The ``best`` collocations of each language: lang, rank, phrase, a (occurrences), l and r
     (those of the two parts of its lowest-scoring cut), n (words of the language), score."""
     language = F.coalesce(docs[lang].cast("string"), F.lit(NO_LANGUAGE)).alias("lang")
     own = docs.select(docs[text].cast("string").alias("text"), language)
-    frequent, totals = frequent_phrases(own, support, most_words, shards)
+    with _freed_shuffles(docs.sparkSession):
+        frequent, totals = frequent_phrases(own, support, most_words, shards, run_words)
     longest = frequent.where("words > 1").withColumn("parts", F.split("phrase", " "))
     scored = _scored(longest, frequent)
 
