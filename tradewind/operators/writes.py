@@ -2,10 +2,12 @@
 
 from pyspark.sql import DataFrame
 
+from tradewind.sources.warehouse import replace_table
+
 
 def write_table(df: DataFrame, path: str) -> None:
-    """Replace the whole table; safe to repeat."""
-    df.write.mode("overwrite").parquet(path)
+    """Replace the whole table; safe to repeat, and a write that fails leaves the old rows."""
+    replace_table(df.sparkSession, path, df.write.parquet)
 
 
 def append_table(df: DataFrame, path: str, month_column: str | None = None) -> None:
@@ -18,20 +20,22 @@ def append_table(df: DataFrame, path: str, month_column: str | None = None) -> N
 def write_clustered(df: DataFrame, path: str, *columns: str, spread: str | None = None) -> None:
     """Replace the table, rows of equal ``columns`` side by side, so reads skip row groups.
 
+    A write that fails leaves the old rows.
+
     Files hold ranges of ``columns``, so the least and greatest value of most row groups leave
     a wanted value out. ``spread`` names a column of evenly spread numbers that is not stored:
     ranges go by it as well, so a value with a third of all rows is cut into several tasks.
     """
     keys = [*columns, spread] if spread else list(columns)
     ranges = df.repartitionByRange(*keys).sortWithinPartitions(*columns)
-    (ranges.drop(spread) if spread else ranges).write.mode("overwrite").parquet(path)
+    stored = ranges.drop(spread) if spread else ranges
+    replace_table(df.sparkSession, path, stored.write.parquet)
 
 
 def write_months(df: DataFrame, path: str, month_column: str) -> None:
     """Replace the whole table, one directory per month, in one pass over ``df``."""
-    _by_month(df, month_column).mode("overwrite").option(
-        "partitionOverwriteMode", "static"
-    ).partitionBy(month_column).parquet(path)
+    writer = _by_month(df, month_column).partitionBy(month_column)
+    replace_table(df.sparkSession, path, writer.parquet)
 
 
 def overwrite_months(df: DataFrame, path: str, month_column: str, spread: bool = True) -> None:

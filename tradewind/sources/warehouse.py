@@ -1,6 +1,6 @@
 """Where tables lie, and reading them with their declared schema."""
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -34,7 +34,12 @@ class Warehouse:
 
 def read_declared(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Parquet with a declared schema: no inference pass, and a wrong file type is an error."""
-    return spark.read.schema(schema).parquet(path)
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND" and restore(spark, path):
+            return spark.read.schema(schema).parquet(path)
+        raise
 
 
 def read_existing(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame | None:
@@ -108,5 +113,53 @@ def landed_months(
     return stored_months(spark, warehouse.landing(table), PARTITION_MONTH, among)
 
 
+def replace_table(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """Replace a table by what ``write`` stores at the path it is given, or leave it as it is.
+
+    The new table is written beside the old one, which is in place until the new one is whole.
+    The switch is two renames. A job that fails before it leaves the old table, one that is killed
+    between the two leaves it under another name, from where the next read or write puts it back.
+    One job at a time may replace a table.
+    """
+    restore(spark, path)
+    table, new, old = (_hadoop_path(spark, p) for p in (path, _beside(path, "next"), _beside(path, "last")))
+    system = table.getFileSystem(spark._jsc.hadoopConfiguration())
+    # What a killed job has left, half a table or one replaced since.
+    for left in (new, old):
+        system.delete(left, True)
+    try:
+        write(new.toString())
+        if system.exists(table):
+            _rename(system, table, old)
+        _rename(system, new, table)
+    except BaseException:
+        system.delete(new, True)
+        restore(spark, path)
+        raise
+    system.delete(old, True)
+    spark.catalog.refreshByPath(path)
+
+
+def restore(spark: SparkSession, path: str) -> bool:
+    """Put a table back that a killed job has moved aside; whether there was one."""
+    table, old = (_hadoop_path(spark, p) for p in (path, _beside(path, "last")))
+    system = table.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(table) or not system.exists(old):
+        return False
+    _rename(system, old, table)
+    return True
+
+
+def _beside(path: str, kind: str) -> str:
+    """A sibling that Spark takes for no data."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return f"{folder}/_{kind}-{name}"
+
+
+def _rename(system, source, target) -> None:
+    if not system.rename(source, target):
+        raise OSError(f"cannot rename {source.toString()} to {target.toString()}")
+
+
 def _hadoop_path(spark: SparkSession, path: str):
     return spark._jvm.org.apache.hadoop.fs.Path(path)
