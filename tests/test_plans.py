@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tradewind.operators.months import with_month
 from tradewind.operators.writes import overwrite_months, write_clustered, write_months
+from tradewind.operators.quality import CHECKS, UNIQUE
 from tradewind.plans import jobs, kpi, marts
 from tradewind.queries import QUERIES
 from tradewind.schemas import PARTITION_MONTH, raw_schema
@@ -220,3 +221,21 @@ def test_months_come_from_the_listing_without_a_job(spark, tmp_path):
         assert not list(spark.sparkContext.statusTracker().getJobIdsForGroup("listing"))
     finally:
         spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_unique_check_of_a_month_groups_its_ids_alone(spark, tmp_path):
+    """Ids of other months pass a semi-join before anything is grouped or shuffled."""
+    warehouse = Warehouse(str(tmp_path))
+    write_months(with_month(orders(spark), "orders"), warehouse.raw("orders"), PARTITION_MONTH)
+    unique = tuple(c for c in CHECKS if c.kind == UNIQUE)
+    lines = plan(jobs.check_months(spark, warehouse, ["2017-01"], unique)).splitlines()
+    others = next(i for i, x in enumerate(lines) if "FileScan" in x and "NOT coalesce" in x)
+    assert "ReadSchema: struct<order_id:string>" in lines[others]
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    above, at = [], depth(lines[others])
+    for line in reversed(lines[:others]):
+        if depth(line) < at:
+            at = depth(line)
+            above.append(line)
+    first = next(i for i, x in enumerate(above) if "LeftSemi" in x)
+    assert not any("Aggregate" in x or "Exchange" in x for x in above[:first])

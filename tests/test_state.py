@@ -203,3 +203,82 @@ def test_static_checks_run_on_loaded_tables(spark, warehouse):
     assert report.count() == 23
     failures = {(r.model, r.column): r.failing for r in report.where("failing > 0").collect()}
     assert failures == {("stg_order_payments", "payment_value"): 1}
+
+
+def loaded(spark, warehouse, *order_ids):
+    load_statics(spark, warehouse)
+    land(warehouse, "orders", orders(spark, *order_ids))
+
+
+def test_repeat_across_months_is_found(spark, warehouse):
+    """The month at hand has the id once, and so has one that was checked before."""
+    loaded(spark, warehouse, "o1", "o2")
+    jobs.run_month(spark, warehouse, JAN)
+    again = orders(spark, "o4", "o5").replace("o5", "o1", subset="order_id")
+    land(warehouse, "orders", orders(spark, "o1", "o2").unionAll(again))
+    with pytest.raises(CheckFailed, match="stg_orders.order_id unique: 1$"):
+        jobs.run_month(spark, warehouse, FEB)
+    assert mart_ids(spark, warehouse) == ["o1", "o2"]
+
+
+def test_repeat_among_undated_orders_is_found(spark, warehouse):
+    loaded(spark, warehouse, "o1")
+    undated = with_month(orders(spark, "o7").replace("o7", "o1", subset="order_id"), "orders")
+    append_table(undated, warehouse.raw("orders"), PARTITION_MONTH)
+    with pytest.raises(CheckFailed, match="stg_orders.order_id unique: 1$"):
+        jobs.run_month(spark, warehouse, JAN)
+
+
+def built(monkeypatch):
+    """The months of each build from now on."""
+    seen, build = [], jobs.build_marts
+    monkeypatch.setattr(
+        jobs, "build_marts", lambda s, w, months, *args, **kw: seen.append(months) or build(s, w, months, *args, **kw)
+    )
+    return seen
+
+
+def test_month_behind_is_built_with_the_next_and_no_other(spark, warehouse, monkeypatch):
+    loaded(spark, warehouse, "o1", "o4")
+    seen = built(monkeypatch)
+    jobs.backfill(spark, warehouse, [JAN, FEB])
+    # January comes again with a fault; its raw month is replaced before the check stops the run.
+    land(warehouse, "orders", orders(spark, "o1", "o2").unionAll(orders(spark, "o2", "o4")))
+    with pytest.raises(CheckFailed):
+        jobs.run_month(spark, warehouse, JAN)
+    assert jobs.months_behind(spark, warehouse) == [JAN]
+    # The fault stops the run of another month as well.
+    with pytest.raises(CheckFailed):
+        jobs.run_month(spark, warehouse, "2017-03")
+    assert mart_ids(spark, warehouse) == ["o1", "o4"]
+    # Mended in the raw table by hand, it is built with the next month, and February is not.
+    land(warehouse, "orders", orders(spark, "o1", "o2", "o4"))
+    reload_months(spark, warehouse, "orders", [JAN])
+    jobs.run_month(spark, warehouse, "2017-03")
+    assert seen == [[JAN, FEB], [JAN, "2017-03"]]
+    assert mart_ids(spark, warehouse) == ["o1", "o2", "o4"]
+    assert jobs.months_behind(spark, warehouse) == []
+
+
+def test_build_that_fails_is_made_up_for(spark, warehouse, monkeypatch):
+    loaded(spark, warehouse, "o1", "o4")
+    jobs.run_month(spark, warehouse, JAN)
+    with monkeypatch.context() as patch:
+        patch.setattr(jobs, "update_fct_orders", lambda *args, **kw: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            jobs.run_month(spark, warehouse, FEB)
+    assert jobs.months_behind(spark, warehouse) == [FEB]
+    seen = built(monkeypatch)
+    jobs.run_month(spark, warehouse, "2017-03")
+    assert seen == [["2017-02", "2017-03"]]
+    assert mart_ids(spark, warehouse) == ["o1", "o4"]
+
+
+def test_month_gone_from_the_raw_table_is_behind(spark, warehouse):
+    loaded(spark, warehouse, "o1", "o4")
+    jobs.backfill(spark, warehouse, [JAN, FEB])
+    delete_month(spark, warehouse, "orders", FEB)
+    assert jobs.months_behind(spark, warehouse) == [FEB]
+    jobs.run_month(spark, warehouse, JAN)
+    assert mart_ids(spark, warehouse) == ["o1"]
+    assert jobs.months_behind(spark, warehouse) == []

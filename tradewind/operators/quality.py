@@ -83,6 +83,22 @@ def check_report(models: dict[str, DataFrame], checks: tuple[Check, ...] = CHECK
     return reduce(DataFrame.unionByName, parts)
 
 
+def check_part(
+    model: str, part: DataFrame, others: DataFrame, checks: tuple[Check, ...] = CHECKS
+) -> DataFrame:
+    """The report for the rows of a model that are new, ``others`` being its checked rows.
+
+    Null and value checks read the new rows alone. Of the others a unique check reads its column,
+    and keeps only values that the new rows have too, so values of all time are never grouped. It
+    counts the new rows' values that occur again among them or among the others.
+    """
+    own = tuple(c for c in checks if c.model == model)
+    one_pass = tuple(c for c in own if c.kind != UNIQUE)
+    parts = [check_report({model: part}, one_pass)] if one_pass else []
+    parts.extend(_repeated_in_part(part, others, c) for c in own if c.kind == UNIQUE)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def enforce(report: DataFrame) -> None:
     """Raise when any check failed. The report has one row per check."""
     failures = report.where("failing > 0").orderBy("model", "column", "check").collect()
@@ -111,6 +127,15 @@ def _repeated(df: DataFrame, check: Check) -> DataFrame:
     return failing.select(F.inline(F.array(_row(check, F.col("failing")))))
 
 
+def _repeated_in_part(part: DataFrame, others: DataFrame, check: Check) -> DataFrame:
+    c = F.col(check.column)
+    per_value = part.where(c.isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("n"))
+    again = others.select(c).join(per_value, check.column, "left_semi")
+    repeated = per_value.where("n > 1").select(c).unionAll(again)
+    failing = repeated.agg(F.count_distinct(c).alias("failing"))
+    return failing.select(F.inline(F.array(_row(check, F.col("failing")))))
+
+
 def _row(check: Check, failing: Column) -> Column:
     return F.struct(
         F.lit(check.model).alias("model"),

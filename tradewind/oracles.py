@@ -1,7 +1,7 @@
 """The queries as ANSI SQL over the driver's tables, to check the Spark results against."""
 
 from tradewind.operators.quality import ACCEPTED, CHECKS, NOT_NULL, UNIQUE, Check
-from tradewind.queries import LATER_FROM, MID_MONTH, MONTH
+from tradewind.queries import LATER_FROM, MID_MONTH, MONTH, MONTH_CHECKS
 from tradewind.schemas import MART_COLUMNS, RAW_COLUMNS, STATIC_TABLES
 from tradewind.standins import DELIVERED_STANDIN
 
@@ -213,6 +213,11 @@ SELECT * FROM fct_orders WHERE purchased_at > (
     "gated_build": "SELECT * FROM fct_seller_revenue",
     "cast_columns": _all_as_expected(*(f"raw_{t}" for t in RAW_COLUMNS)),
     "cast_order_items": "SELECT * FROM raw_order_items",
+    "cast_missing_columns": """
+SELECT order_id, order_item_id, product_id, seller_id, freight_value,
+       CAST(order_item_id AS VARCHAR) AS note
+FROM raw_order_items""",
+    "month_prefix": f"SELECT * FROM raw_orders_stored WHERE partition_month = '{MONTH}'",
     "csv_roundtrip": """
 SELECT * REPLACE (review_comment_message || ', "' || review_comment_title || '"' || chr(10) || ',end'
                   AS review_comment_message)
@@ -259,6 +264,20 @@ def _check(check: Check) -> str:
     )
 
 
+def _check_of_a_month(check: Check) -> str:
+    """As above for one month; of a unique check, its values that any order has again."""
+    own = f"(SELECT * FROM stg_orders WHERE strftime(purchased_at, '%Y-%m') = '{MONTH}')"
+    if check.kind != UNIQUE:
+        return _check(check).replace("FROM stg_orders", f"FROM {own} m")
+    c = f'"{check.column}"'
+    repeated = f"SELECT {c} FROM stg_orders GROUP BY {c} HAVING count(*) > 1"
+    failing = f"(SELECT count(DISTINCT {c}) FROM {own} m WHERE {c} IN ({repeated}))"
+    return (
+        f"SELECT 'stg_orders' AS model, '{check.column}' AS \"column\","
+        f" '{check.kind}' AS \"check\", {failing} AS failing"
+    )
+
+
 def _report(*kinds: str) -> str:
     return "\nUNION ALL ".join(_check(c) for c in CHECKS if c.kind in kinds)
 
@@ -271,5 +290,8 @@ ORACLES: dict[str, str] = {
         "dq_unique": _report(UNIQUE),
         "dq_accepted_values": _report(ACCEPTED),
         "dq_report": _report(NOT_NULL, UNIQUE, ACCEPTED),
+        "dq_month": "\nUNION ALL ".join(
+            _check_of_a_month(c) for c in MONTH_CHECKS if c.model == "stg_orders"
+        ),
     }.items()
 }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradewind.functions.casts import cast_columns
-from tradewind.functions.dates import month_label, month_start
+from tradewind.functions.dates import in_month, month_label, month_of, month_start, not_in_month
 from tradewind.operators.months import (
     delete_month,
     high_water_mark,
@@ -23,6 +23,8 @@ from tradewind.operators.quality import (
     CHECKS,
     NOT_NULL,
     UNIQUE,
+    Check,
+    check_part,
     check_report,
     enforce,
 )
@@ -136,6 +138,18 @@ def _checks(*kinds: str) -> _Query:
     return query
 
 
+# Besides the checks of the orders, one that fails: customers order again in other months.
+MONTH_CHECKS = (*CHECKS, Check("stg_orders", "customer_id", UNIQUE))
+
+
+def _checks_of_a_month(spark, sf_dir):
+    """The orders of one month, their ids sought among those of all others."""
+    orders = _staged(spark, sf_dir, "stg_orders")
+    own = in_month(F.col("purchased_at"), MONTH)
+    others = orders.where(not_in_month(F.col("purchased_at"), MONTH))
+    return check_part("stg_orders", orders.where(own), others, MONTH_CHECKS)
+
+
 def _compared(expected: dict[str, DataFrame], actual: dict[str, DataFrame]) -> DataFrame:
     """By table: the rows that are there, and how many are too many or missing, duplicates
     counted. Every column of every row is compared."""
@@ -164,6 +178,19 @@ def _cast_columns(spark, sf_dir):
     return _compared(raw, {t: cast_columns(_as_text(df), t) for t, df in raw.items()})
 
 
+def _cast_missing_columns(spark, sf_dir):
+    """Declared columns that are not there are left out, columns not declared stay as they are."""
+    texts = _as_text(raw_table(spark, sf_dir, "order_items"))
+    more = texts.drop("price", "shipping_limit_date").withColumn("note", F.col("order_item_id"))
+    return cast_columns(more, "order_items")
+
+
+def _month_prefix(spark, sf_dir):
+    """Orders of the month that a date within it names."""
+    orders = _dated(spark, sf_dir, "orders")
+    return orders.where(F.col(PARTITION_MONTH) == month_of(f"{MONTH}-15"))
+
+
 def _csv_roundtrip_items(spark, sf_dir):
     path = scratch_dir(spark)
     _write_csv(_as_text(raw_table(spark, sf_dir, "order_items")), path)
@@ -440,9 +467,12 @@ QUERIES: dict[str, _Query] = {
         "dq_unique": _checks(UNIQUE),
         "dq_accepted_values": _checks(ACCEPTED),
         "dq_report": _checks(NOT_NULL, UNIQUE, ACCEPTED),
+        "dq_month": _checks_of_a_month,
         "gated_build": _gated_build,
         "cast_columns": _cast_columns,
         "cast_order_items": _cast_order_items,
+        "cast_missing_columns": _cast_missing_columns,
+        "month_prefix": _month_prefix,
         "csv_roundtrip": _csv_roundtrip,
         "csv_roundtrip_items": _csv_roundtrip_items,
         "ingest": _ingest,

@@ -115,6 +115,9 @@ MART_COLUMNS = {
     "fct_seller_revenue": {"seller_id": "string", "item_gross_revenue": "double"},
 }
 
+# By month, a digest of the names of the raw files a mart was built from.
+BUILT_FROM = {"month": "string", "files": "string"}
+
 
 def struct(columns: dict[str, str]) -> T.StructType:
     """A schema with every field nullable."""

@@ -31,6 +31,10 @@ class Warehouse:
     def mart(self, name: str) -> str:
         return f"{self.root}/marts/{name}"
 
+    def built_from(self, name: str) -> str:
+        """What each month of a mart was built from."""
+        return f"{self.root}/state/{name}"
+
 
 def read_declared(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """Parquet with a declared schema: no inference pass, and a wrong file type is an error."""
