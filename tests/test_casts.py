@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tradewind.functions.casts import cast_columns, cast_text
+from tradewind.functions.casts import NULL_TOKENS, cast_columns, cast_text
 from tradewind.plans import jobs
 from tradewind.sources.csv import read_table_csv
 from tradewind.sources.warehouse import Warehouse, landed_months, read_declared
@@ -43,6 +43,11 @@ def test_text_to_numbers(spark):
     assert list(zip(*columns, strict=True)) == list(expected.values())
 
 
+@pytest.mark.parametrize("kind", ["bigint", "double", "string", "timestamp_ntz"])
+def test_null_tokens_are_null_in_every_type(spark, kind):
+    assert read(spark, NULL_TOKENS, kind) == [None] * len(NULL_TOKENS)
+
+
 @pytest.mark.parametrize("value", ["5.5", "inf", "-Infinity", "1e30", "9" * 20])
 def test_fraction_or_infinity_is_no_whole_number(spark, value):
     with pytest.raises(Exception, match="not a whole number"):
@@ -57,6 +62,15 @@ def test_infinity_is_a_real_number(spark):
     assert read(spark, ["inf", "-Infinity"], "double") == [float("inf"), float("-inf")]
 
 
+@pytest.mark.parametrize("value", [
+    "2017-01-01 10:00:0Z", "2017-01-01 10:00:0z", "-2017-1-01 10:00:00", "+2017-1-01 10:00:00",
+    "2017-01-01 10:00+01", "2017-01-01 10:00UTC", "2017-01-01T10:00:0Z",
+])
+def test_nineteen_letters_of_another_form_are_no_time(spark, value):
+    assert len(value) == 19
+    assert read(spark, [value], "timestamp_ntz") == [None]
+
+
 def test_text_to_timestamp(spark):
     expected = {
         "2017-01-02 03:04:05": datetime(2017, 1, 2, 3, 4, 5),

@@ -36,10 +36,11 @@ def cast_text(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """Columns read as text and cast to the given types.
 
     Three projections in a row, so that each reads what the one before has computed instead
-    of computing it again: null tokens, the value as parsed, the value if it is acceptable.
+    of computing it again: the text, the value as parsed, the value if it is acceptable. Null
+    tokens are looked for in texts alone: none of them reads as a time or an acceptable number.
     """
     names = df.columns
-    texts = df.select(*[_text(n) if n in kinds else F.col(n) for n in names])
+    texts = df.select(*[_text(n, kinds[n]) if n in kinds else F.col(n) for n in names])
     parsed = texts.select("*", *[_PARSE[kinds[n]](n).alias(_parsed(n)) for n in _typed(kinds)])
     return parsed.select(
         *[_ACCEPT[kinds[n]](n).alias(n) if n in _typed(kinds) else F.col(n) for n in names]
@@ -54,9 +55,9 @@ def _parsed(name: str) -> str:
     return f"_parsed_{name}"
 
 
-def _text(name: str) -> Column:
+def _text(name: str, kind: str) -> Column:
     c = F.col(name).cast("string")
-    return F.when(~c.isin(*NULL_TOKENS), c).alias(name)
+    return (F.when(~c.isin(*NULL_TOKENS), c) if kind == "string" else c).alias(name)
 
 
 def _parse_real(name: str) -> Column:
@@ -96,12 +97,13 @@ def _parse_time(name: str) -> Column:
 
 
 def _accept_time(name: str) -> Column:
-    # Spark alone reads years, months, times without seconds and zones. The usual form is
-    # told by its length and separators, so that the pattern need not be tried.
+    # Spark alone reads years, months, times without seconds and zones. Of 19 bytes with these
+    # two separators it reads the usual form, with a sign before it or a zone for the last digit,
+    # so that the pattern need not be tried.
     c, at = F.col(name), lambda place: F.substring(F.col(name), place, 1)
-    digits = at(1).between("0", "9") & at(19).between("0", "9")
-    usual = (F.length(c) == 19) & (at(14) == ":") & (at(17) == ":") & digits
-    return F.when(usual | c.rlike(_TIME), F.col(_parsed(name)))
+    usual = (F.octet_length(c) == 19) & (at(14) == ":") & (at(17) == ":")
+    plain = (c >= "0") & ~c.endswith("Z") & ~c.endswith("z")
+    return F.when((usual & plain) | c.rlike(_TIME), F.col(_parsed(name)))
 
 
 _PARSE = {"bigint": _parse_whole, "double": _parse_real, "timestamp_ntz": _parse_time}
