@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame
 
-from tradewind.sources.warehouse import replace_table
+from tradewind.sources.warehouse import replace_table, stored_once
 
 
 def write_table(df: DataFrame, path: str) -> None:
@@ -20,16 +20,19 @@ def append_table(df: DataFrame, path: str, month_column: str | None = None) -> N
 def write_clustered(df: DataFrame, path: str, *columns: str, spread: str | None = None) -> None:
     """Replace the table, rows of equal ``columns`` side by side, so reads skip row groups.
 
-    A write that fails leaves the old rows.
-
     Files hold ranges of ``columns``, so the least and greatest value of most row groups leave
     a wanted value out. ``spread`` names a column of evenly spread numbers that is not stored:
     ranges go by it as well, so a value with a third of all rows is cut into several tasks.
+
+    Spark samples the rows for the bounds of the ranges and then reads them again, so they are
+    stored first, and what they are computed from is read once. A write that fails leaves the
+    old rows.
     """
     keys = [*columns, spread] if spread else list(columns)
-    ranges = df.repartitionByRange(*keys).sortWithinPartitions(*columns)
-    stored = ranges.drop(spread) if spread else ranges
-    replace_table(df.sparkSession, path, stored.write.parquet)
+    with stored_once(df, path) as rows:
+        ranges = rows.repartitionByRange(*keys).sortWithinPartitions(*columns)
+        stored = ranges.drop(spread) if spread else ranges
+        replace_table(df.sparkSession, path, stored.write.parquet)
 
 
 def write_months(df: DataFrame, path: str, month_column: str) -> None:

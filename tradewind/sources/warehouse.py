@@ -1,6 +1,7 @@
 """Where tables lie, and reading them with their declared schema."""
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
@@ -144,6 +145,20 @@ def replace_table(spark: SparkSession, path: str, write: Callable[[str], None])
     spark.catalog.refreshByPath(path)
 
 
+@contextmanager
+def stored_once(df: DataFrame, path: str) -> Iterator[DataFrame]:
+    """``df`` as a table beside ``path``, to be read more than once; it is gone in the end."""
+    spark, beside = df.sparkSession, _beside(path, "rows")
+    folder = _hadoop_path(spark, beside)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(folder, True)
+    try:
+        df.write.parquet(beside)
+        yield spark.read.schema(df.schema).parquet(beside)
+    finally:
+        system.delete(folder, True)
+
+
 def restore(spark: SparkSession, path: str) -> bool:
     """Put a table back that a killed job has moved aside; whether there was one."""
     table, old = (_hadoop_path(spark, p) for p in (path, _beside(path, "last")))
