@@ -253,7 +253,7 @@ def test_a_clustered_mart_reads_its_inputs_once(spark, hot, tmp_path, mart):
     # Else it would be run again for the filter that Spark derives from the join.
     watched = F.udf(count, "string").asNondeterministic()
     rows = hot.select(watched("order_id").alias("order_id"), *[c for c in hot.columns if c != "order_id"])
-    with small_partitions(spark):
+    with small_partitions(spark), settings(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
         if mart == "fct_delivery_by_state":
             customers = hot.select("customer_id").distinct().withColumn("state", F.lit("SP"))
             df = marts.fct_delivery_by_state(marts.int_orders_enriched(rows, customers), spread=True)
