@@ -1,0 +1,126 @@
+"""CSV records with line breaks inside quotes, read by many tasks."""
+
+import csv
+import io
+import random
+
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
+
+from tradewind.sources import csv as source
+from tradewind.sources.csv import read_csv
+
+SPLIT = "spark.sql.files.maxPartitionBytes"
+
+
+@pytest.fixture
+def split(spark):
+    """Byte ranges of a given size."""
+    before = spark.conf.get(SPLIT)
+    yield lambda size: spark.conf.set(SPLIT, str(size))
+    spark.conf.set(SPLIT, before)
+
+
+def rows(df):
+    return sorted(map(str, map(tuple, df.collect())))
+
+
+def written(path, records, end="\n"):
+    text = io.StringIO(newline="")
+    csv.writer(text, lineterminator=end).writerows(records)
+    path.write_text(text.getvalue(), encoding="utf-8", newline="")
+    return text.getvalue()
+
+
+FIELDS = ["", "plain", "two\nlines", 'a "quoted", word', "\n", "\n\n\n", '"', '""\n"', "é\n中文", " x ", ",\n,", "ends\n"]
+
+
+def records(n, seed=0):
+    draw = random.Random(seed)
+    return [["id", "text", "other"]] + [[f"r{i}", draw.choice(FIELDS), draw.choice(FIELDS)] for i in range(n)]
+
+
+def one_task(spark, path):
+    """What Spark's own reader makes of the file, from start to end in one task."""
+    return source._reader(spark).option("multiLine", True).csv(path)
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 8, 13, 21, 34, 55, 10_000])
+def test_ranges_of_any_size(spark, tmp_path, split, size):
+    """With ranges of one byte, an edge lies at every place of the file."""
+    written(tmp_path / "a.csv", records(25, size))
+    path = str(tmp_path / "a.csv")
+    expected = rows(one_task(spark, path))
+    split(size)
+    assert rows(read_csv(spark, path, multiline=True)) == expected
+    assert len(expected) == 25
+
+
+def test_every_edge_inside_one_record(spark, tmp_path, split):
+    text = 'id,text\nr1,"a\n""b"",\n\nc"\nr2,\n'
+    (tmp_path / "a.csv").write_text(text)
+    for size in range(1, len(text) + 1, 3):
+        split(size)
+        found = read_csv(spark, str(tmp_path / "a.csv"), multiline=True).collect()
+        assert sorted(map(tuple, found)) == [("r1", 'a\n"b",\n\nc'), ("r2", None)]
+
+
+def test_carriage_returns(spark, tmp_path, split):
+    """Those of line ends go, those inside quotes stay, as pandas has it."""
+    path = tmp_path / "a.csv"
+    written(path, [["id", "text"], ["r1", "two\r\nlines"], ["r2", "x"], ["r3", "ends\r\n"]], "\r\n")
+    expected = sorted(str((r.id, r.text)) for r in pd.read_csv(path).itertuples())
+    for size in (3, 7, 1000):
+        split(size)
+        assert rows(read_csv(spark, str(path), multiline=True)) == expected
+    assert "('r1', 'two\\r\\nlines')" in expected
+
+
+def test_many_files_empty_lines_and_no_last_line_end(spark, tmp_path, split):
+    for i in range(3):
+        text = written(tmp_path / f"{i}.csv", records(8, f"file {i}"))
+        (tmp_path / f"{i}.csv").write_text(text.rstrip("\n") if i == 1 else text + "\n\n")
+    split(40)
+    assert rows(read_csv(spark, str(tmp_path), multiline=True)) == rows(one_task(spark, str(tmp_path)))
+
+
+def test_one_record_over_many_ranges(spark, tmp_path, split):
+    long = "\n".join(f"line {i}, \"x\"" for i in range(500))
+    written(tmp_path / "a.csv", [["id", "text"], ["r0", "a"], ["r1", long], ["r2", "b"]])
+    split(100)
+    found = {r.id: r.text for r in read_csv(spark, str(tmp_path / "a.csv"), multiline=True).collect()}
+    assert found == {"r0": "a", "r1": long, "r2": "b"}
+
+
+def test_header_alone_has_no_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,text\n")
+    df = read_csv(spark, str(tmp_path / "a.csv"), multiline=True)
+    assert (df.columns, df.count()) == (["id", "text"], 0)
+
+
+@pytest.mark.parametrize("text", ["id,text\nr1\n", "id,text\nr1,a,b\n", 'id,text\nr1,"a\nb",c\n', '\nid,text\nr1,"a"\n'])
+@pytest.mark.parametrize("columns", [["id"], ["id", "text"]])
+def test_rows_of_another_width_and_late_headers_fail(spark, tmp_path, text, columns):
+    (tmp_path / "a.csv").write_text(text)
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|another header"):
+        read_csv(spark, str(tmp_path / "a.csv"), multiline=True).select(columns).collect()
+
+
+def test_a_file_with_other_columns_fails(spark, tmp_path):
+    written(tmp_path / "0.csv", [["id", "text"], ["r1", "a"]])
+    written(tmp_path / "1.csv", [["text", "id"], ["a", "r1"]])
+    with pytest.raises(Exception, match="another header"):
+        read_csv(spark, str(tmp_path), multiline=True).collect()
+
+
+def test_a_file_is_read_by_many_tasks(spark, tmp_path, split):
+    written(tmp_path / "a.csv", records(4000))
+    split(4000)
+    df = read_csv(spark, str(tmp_path / "a.csv"), multiline=True)
+    lines = source._lines(spark, str(tmp_path / "a.csv"))
+    assert lines.select("range").distinct().count() > 20
+    assert lines.select(F.spark_partition_id()).distinct().count() > 5
+    assert df.count() == 4000
+    text = df._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in text and "SinglePartition" not in text
