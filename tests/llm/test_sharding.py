@@ -54,6 +54,40 @@ def test_all_alike(spark):
     check(rows, sharding.shard(frame(spark, rows), 4).collect(), 4)
 
 
+def test_repeated_rows_are_dealt_out(spark):
+    """A third of the rows, and of the bytes, are one row again and again."""
+    rows = [(7, prose("hot", 50), "en", "s", 0)] * 900
+    rows += [(i, prose(i, 50), "en", f"s{i % 5}", 0) for i in range(1800)]
+    found = sharding.shard(frame(spark, rows), 10).collect()
+    sizes = check(rows, found, 10)
+    mean = sum(sizes.values()) / 10
+    assert len(sizes) == 10 and all(abs(s - mean) < 0.02 * mean for s in sizes.values())
+    again = sharding.shard(frame(spark, rows[::-1], parts=7), 10).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, again))
+
+
+def test_names_are_ranked_whole(spark):
+    """Sources of a long common head part the documents as short ones do."""
+    names = ["https://example.com/a", "https://example.com/b", "source_01", "source_02", "é", "", None]
+    docs = frame(spark, [(i, "text", "en", names[i % 7], 0) for i in range(50)], parts=5)
+    ranked = sharding._ranked(docs, "source")
+    assert ranked.count() == 50
+    found = {names[r.doc_id % 7]: r.by_source for r in ranked.collect()}
+    known = sorted((n for n in names if n is not None), key=lambda n: n.encode())
+    assert found == {None: -1} | {n: k for k, n in enumerate(known)}
+
+
+def test_long_names_split_a_dimension(spark):
+    rows = [(5, prose(i, 40)[:100], "en", f"https://site.example/{i % 8}", 0) for i in range(800)]
+    found = sharding.shard(frame(spark, rows), 8).collect()
+    check(rows, found, 8)
+    by_crc = {zlib.crc32(r[1].encode()): r[3] for r in rows}
+    shards = {}
+    for r in found:
+        shards.setdefault(by_crc[r.text_crc32], set()).add(r.shard)
+    assert sum(map(len, shards.values())) <= 8 + 7
+
+
 def test_edges(spark):
     rows = edges()
     check(rows, sharding.shard(frame(spark, rows, extra=True), 5).collect(), 5)

@@ -7,7 +7,8 @@ finer ones within the bin that holds the quantile. Ties go by a hash, so a dimen
 all documents agree can still be cut.
 
 The law is ``bytes``. Equal texts form one unit at one place and stay together, unless they
-outweigh a quarter of a shard; then they are dealt out as smaller units.
+outweigh a quarter of a shard; then they are dealt out as smaller units, repeated rows as well.
+Languages and sources enter by the rank of the whole name among all that occur.
 
 Defined cases: a null text has size 16 and the checksum of no bytes. Null languages, sources and
 ids come before all others. Repeated rows are rows of their own, at the same place. An empty
@@ -73,11 +74,12 @@ def shard(
             F.crc32(body.cast("binary")).alias("text_crc32"),
             F.xxhash64(body).alias("body"),
             F.coalesce(docs[doc_id].cast("bigint"), F.lit(-1)).alias("by_id"),
-            _prefix_number(docs[lang]).alias("by_lang"),
-            _prefix_number(docs[source]).alias("by_source"),
+            docs[lang].cast("string").alias("lang"),
+            docs[source].cast("string").alias("source"),
         ),
-        "rows",
+        "documents",
     )
+    rows = store(_ranked(_ranked(rows, "lang"), "source"), "rows")
     total = rows.agg(F.sum("size")).first()[0] or 0
     rows, units = _units(rows, max(1, total // n_shards))
     tree = _grow(units, n_shards, total)
@@ -89,10 +91,24 @@ def shard(
     )
 
 
-def _prefix_number(name: Column) -> Column:
-    """The first seven bytes as a number: the order of names, cut off; null is -1."""
-    head = F.rpad(F.hex(F.substring(name.cast("string").cast("binary"), 1, 7)), 14, "0")
-    return F.coalesce(F.conv(head, 16, 10).cast("bigint"), F.lit(-1))
+def _ranked(rows: DataFrame, column: str) -> DataFrame:
+    """The rows with a name's rank among the distinct ones for the name; null is -1.
+
+    Ranges of names are numbered apart and start where the one before has ended, so no task
+    holds all names, and a rank does not depend on the ranges.
+    """
+    names = rows.select(column).where(F.col(column).isNotNull()).distinct()
+    ordered = names.repartitionByRange(column).sortWithinPartitions(column)
+    numbered = store(ordered.withColumn("at", F.monotonically_increasing_id()), column)
+    ranges = numbered.groupBy(F.shiftright("at", 33).alias("range")).agg(F.count("*").alias("n"))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row a task
+    starts = ranges.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    ranks = numbered.withColumn("range", F.shiftright("at", 33)).join(starts, "range").select(
+        column, (F.col("start") + F.expr(f"at & {(1 << 33) - 1}L")).alias("rank")
+    )
+    by = F.coalesce("rank", F.lit(-1)).alias(f"by_{column}")
+    joined = rows.join(ranks, column, "left")
+    return joined.select(*[c for c in rows.columns if c != column], by)
 
 
 def _units(rows: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
@@ -104,8 +120,15 @@ def _units(rows: DataFrame, share: int) -> tuple[DataFrame, DataFrame]:
         .select(*key, F.ceil(F.col("bytes") / max(1.0, PIECE_SHARE * share)).alias("pieces"))
     )
     heavy = store(heavy, "heavy")  # a few groups a shard at most
-    piece = F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit("piece")), F.col("pieces")), F.lit(0))
-    rows = rows.join(heavy, key, "left").withColumn("piece", piece).drop("pieces")
+    names = rows.columns
+    light = rows.join(heavy, key, "left_anti").withColumn("piece", F.lit(0).cast("bigint"))
+    # Equal rows are counted, and their copies go to one piece after the other.
+    counted = rows.join(heavy, key).groupBy(*names, "pieces").agg(F.count("*").alias("n"))
+    dealt = counted.withColumn("j", F.explode(F.expr("sequence(0, least(n, pieces) - 1)")))
+    piece = F.pmod(F.xxhash64("doc_id", F.lit("piece")) % F.col("pieces") + F.col("j"), F.col("pieces"))
+    copies = F.expr("n div pieces + if(j < n % pieces, 1, 0)")
+    dealt = dealt.select(*names, piece.alias("piece"), F.explode(F.sequence(F.lit(1), copies)).alias("copy"))
+    rows = light.unionByName(dealt.drop("copy"))
     least = [F.min(c).alias(c) for c in ("by_id", "by_lang", "by_source")]
     units = rows.groupBy(*key, "piece").agg(F.sum("size").alias("weight"), *least)
     units = units.withColumn("by_size", F.col("size")).withColumn(
@@ -203,11 +226,11 @@ def _number(placed: DataFrame) -> DataFrame:
     """Slots without gaps: rows are numbered in buckets, which start where the last one ended."""
     placed = store(placed, "placed")
     most = placed.groupBy("shard").count().agg(F.max("count")).first()[0] or 0
-    bucket = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(-(-most // SLOT_ROWS) or 1)).cast("int")
+    bucket = F.pmod(F.xxhash64("doc_id", "text_crc32", "piece"), F.lit(-(-most // SLOT_ROWS) or 1)).cast("int")
     placed = placed.withColumn("bucket", bucket)
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = placed.groupBy("shard", "bucket").count()
     starts = starts.withColumn("start", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "body")
+    inside = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "body", "piece")
     numbered = placed.withColumn("n", F.row_number().over(inside))
     return numbered.join(starts, ["shard", "bucket"]).withColumn("slot", F.col("start") + F.col("n") - 1)
