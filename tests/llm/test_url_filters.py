@@ -184,3 +184,21 @@ def test_rules_are_the_plain_ones(spark, sf_dir):
             if re.search(r"(^|\.)" + re.escape(of) + "$", r.host) and r.path.startswith(start)
         ]
         assert (r.rule, r.verdict) == max(fits)[1:] if fits else r.rule is None
+
+
+def test_letters_of_any_script(spark):
+    """Accented and Cyrillic words are counted and split whole."""
+    pages = spark.createDataFrame(
+        [("<p>ano año año über Über</p> мир Новости мир",)] * 3 + [("e\u0301te\u0301 x",)], "html string"
+    )
+    counts = {r.word: r.n for r in uf.word_counts(pages).collect()}
+    assert counts == {"ano": 3, "año": 6, "über": 6, "мир": 6, "новости": 3, "e\u0301te\u0301": 1, "x": 1}
+    segmenter = uf.Segmenter(uf.unigrams(pages))
+    assert segmenter.tokens("überaño.example", "/Новостимир/2") == [
+        "h:über", "h:año", *(f"h:{w}" for w in segmenter.split("example")), "p:новости", "p:мир", "p:0"
+    ]
+    named = spark.createDataFrame([("überaño.example", "/Новостимир/2", None)], "host string, path string, ruled string")
+    words = spark.createDataFrame(list(uf.unigrams(pages).items()), "word string, cost double")
+    unknown = max(uf.unigrams(pages).values()) + math.log(10)
+    found = sorted(r.token for r in uf._tokens(named, words, unknown).collect())
+    assert found == sorted(segmenter.tokens("überaño.example", "/Новостимир/2"))

@@ -5,7 +5,8 @@ most likely split of each name by Viterbi; the words, those of the path and the
 numbers are the tokens of a multinomial naive Bayes model, trained on all pages that a rule
 decides and applied to all others.
 
-Words and tokens stay tables. Each different name is joined to it by its substrings of up to
+Letters are those of any script; of a host only A-Z are lower-cased in what is returned, of the
+names all are. Words and tokens stay tables. Each different name is joined to it by its substrings of up to
 ``HEAD`` letters, which find longer words by their first letters.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, no tokens, and gets
@@ -14,11 +15,11 @@ everything without a rule is allowed. Repeated rows are judged alike, and train
 """
 
 import math
-import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache, partial
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,7 +36,9 @@ RULES = (
 )
 HEAD = 20  # letters by which words are looked up
 _UNSEEN = math.log(10)  # cost of each letter of an unknown word
-_NAME = re.compile(r"[a-z]+|[0-9]+")
+# Letters of any script, with the marks that belong to them, are in words and names.
+_LETTERS = r"\p{L}\p{M}"
+_NAME = regex.compile(rf"[{_LETTERS}]+|[0-9]+")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -74,7 +77,7 @@ def judge(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: st
 def word_counts(pages: DataFrame) -> DataFrame:
     """word and n: the words of all pages, without their tags."""
     plain = F.regexp_replace(F.lower("html"), "<[^>]*>", " ")
-    words = pages.select(F.explode(F.split(plain, "[^a-z]+")).alias("word"))
+    words = pages.select(F.explode(F.split(plain, f"[^{_LETTERS}]+")).alias("word"))
     return words.where("word != ''").groupBy("word").agg(F.count("*").alias("n"))
 
 
@@ -111,8 +114,8 @@ def cheapest(name: str, known: Iterable[tuple[int, int, float]], unknown: float)
 
 def _named_runs(host: str, path: str) -> Iterator[tuple[str, str]]:
     """Names of the host and of the path, and the shapes of numbers."""
-    for kind, text in (("h", host), ("p", path.lower())):
-        for run in _NAME.findall(text):
+    for kind, text in (("h", host), ("p", path)):
+        for run in _NAME.findall(text.lower()):
             yield kind, "0" * len(run) if run.isdigit() else run
 
 
@@ -174,7 +177,7 @@ def _segment(names: DataFrame, words: DataFrame, unknown: float) -> DataFrame:
     keyed = names.withColumn("key", F.unhex(F.md5("name")))
     left = F.length("name") - F.col("start") + 1
     spans = (
-        keyed.where("name RLIKE '^[a-z]'")
+        keyed.where("name NOT RLIKE '^[0-9]'")
         .withColumn("start", F.explode(F.sequence(F.lit(1), F.length("name"))))
         .withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(HEAD), left))))
         .select("key", "start", F.col("name").substr(F.col("start"), F.col("size")).alias("head"))
