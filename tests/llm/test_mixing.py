@@ -1,6 +1,7 @@
 """The mix: targets, balance, limits, reruns."""
 
 import random
+from collections import Counter
 
 import pytest
 from documents import edges, frame, prose
@@ -83,6 +84,18 @@ def test_mixed_documents_are_the_taken_ones(spark):
     assert sum(len(r.text.split()) for r in docs.collect()) == taken
 
 
+def test_many_repeated_rows(spark):
+    """A third of the rows is one row again and again; another comes with and without a source."""
+    hot = (1007, prose("hot", 30), "en", "a", 0)
+    rows = [hot] * 20_000 + [(1008, prose("twice", 30), "en", s, 0) for s in ("b", None)] * 50 + rows_of(300)
+    taken = Counter()
+    for r in mixing.mix(frame(spark, rows)).collect():
+        taken[r.doc_id] += r.copies
+    found = mixing.mixed_documents(frame(spark, rows))
+    assert Counter(r.doc_id for r in found.collect()) == +taken
+    assert {r.source for r in found.where("doc_id = 1008").collect()} <= {"b", None}
+
+
 def test_edges(spark):
     rows = edges()
     found = mixing.mix(frame(spark, rows, extra=True)).collect()

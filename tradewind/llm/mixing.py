@@ -205,21 +205,32 @@ def land(
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` (doc_id, text, source and others), each as often as it is taken."""
-    copies = F.sort_array(F.collect_list("copies"))
-    taken = mix(docs).groupBy(*row_key("doc_id"), "salt").agg(copies.alias("copies"))
+    """The rows of ``docs`` (doc_id, text, source and others), each as often as it is taken.
+
+    Repeated rows share the decisions on their id and text out among them. They are counted,
+    rows and decisions alike, and only the counts are compared.
+    """
     names = {c: f"k{i}" for i, c in enumerate(docs.columns)}
     id_, text = names["doc_id"], names["text"]
-    own = docs.toDF(*names.values()).select("*", *row_key(id_), F.xxhash64(text).alias("salt"))
+    others = [k for k in names.values() if k != text]
+    # As JSON, which tells which column is null.
+    row = F.xxhash64(F.to_json(F.struct(*others))).alias("row")
+    own = docs.toDF(*names.values()).select("*", *row_key(id_), F.xxhash64(text).alias("salt"), row)
     key = ["id_known", "id_value", "salt"]
-    # Repeated rows share their decisions out among them.
-    place = F.row_number().over(
-        Window.partitionBy(*key).orderBy(*[k for k in names.values() if k != text])
-    )
-    chosen = own.join(taken.where(F.array_max("copies") > 0), key).withColumn("place", place)
-    times = F.col("copies")[F.col("place") - 1].cast("int")
-    again = F.explode(F.sequence(F.lit(1), times))
-    return (
-        chosen.where(times > 0).select(*names.values(), again.alias("again"))
-        .select([F.col(k).alias(c) for c, k in names.items()])
+
+    decisions = mix(docs).groupBy(*row_key("doc_id"), "salt", "copies").agg(F.count("*").alias("m"))
+    decided = F.sort_array(F.collect_list(F.struct("copies", "m"))).alias("decided")  # four at most
+    decided = decisions.groupBy(*key).agg(decided, F.max("copies").alias("most")).where("most > 0")
+    counted = own.groupBy(*key, "row").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*key).orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.coalesce(F.sum("n").over(before), F.lit(0))
+    # Equal rows stand one after the other, and so do equal decisions: how many of them meet.
+    times = F.expr(
+        "aggregate(decided, struct(0L AS at, 0L AS times), (s, d) -> struct(s.at + d.m AS at, s.times + d.copies"
+        " * greatest(0L, least(first + n, s.at + d.m) - greatest(first, s.at)) AS times), s -> s.times)"
     )
+    taken = counted.withColumn("first", first).join(decided, key).select(*key, "row", times.alias("times"))
+    rows = own.groupBy(*key, "row").agg(*[F.first(k).alias(k) for k in names.values()])
+    again = F.explode(F.expr("sequence(1L, times)"))
+    chosen = rows.join(taken.where("times > 0"), [*key, "row"]).select(*names.values(), again.alias("again"))
+    return chosen.select([F.col(k).alias(c) for c, k in names.items()])
