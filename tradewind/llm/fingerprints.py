@@ -6,15 +6,19 @@ digests differ by a bounded score: the steps between quartiles, the widest count
 the steps between length codes.
 
 Each document is also compared with the next one in ascending order of id. Documents are dealt
-into ranges of ids whose first ids are known, and the first document of a range is also sent to
-the end of the range before, so no task sees more than its ranges and no order is made globally.
+into ranges of ids and text hashes, whose first keys occur, and the first document of a range is
+also sent to the end of the range before, so no task sees more than its ranges and no order is
+made globally. Rows of one id are cut by their hashes. Repeated rows, each the next of the one
+before, travel as one row of a batch with their number.
 
 Defined cases: null text counts as empty. Texts of less than three bytes have no triplet, all
-buckets in the lowest quartile. Null ids come first. Rows of the same id follow each other in
-order of their text. A single document is its own next.
+buckets in the lowest quartile. Null ids come first. Ids that are no whole numbers are ordered as
+text, by code points. Rows of the same id follow each other in order of a hash of their text, then
+of the text. A single document is its own next.
 """
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tradewind.llm.common import column_bytes, shuffle_partitions, text_pieces
+from tradewind.llm.common import column_bytes, shuffle_partitions, store, text_pieces
 
 BUCKETS = 128
 MOST_DIFFERENT = 256  # the bound of the score
@@ -32,6 +36,8 @@ _LENGTH_WEIGHT = 1
 _WIDE_STEP = 6  # counts for a difference of three quartiles
 _PATTERNS = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 _OUT_BYTES = 4 << 20
+_ROW_BYTES = 400  # about what a row of the result takes
+KEYS_A_RANGE = 16  # drawn to bound the ranges, on average
 
 
 def _table(name: str) -> np.ndarray:
@@ -89,115 +95,122 @@ def likeness(a: str, b: str) -> float:
 def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: the digest, that of the text with its last quarter taken from the next
     document, and the likeness of the first to the second and to the next document's."""
-    own = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].alias("text"))
+    whole = isinstance(docs.schema[doc_id].dataType, T.IntegralType)
+    id_kind = T.LongType() if whole else T.StringType()
+    own = docs.select(
+        docs[doc_id].cast(id_kind).alias("doc_id"), F.coalesce(docs[text], F.lit("")).alias("text")
+    ).select("doc_id", F.xxhash64("text").alias("body"), "text")
     ranges = 4 * shuffle_partitions(docs)
-    shares = [i / ranges for i in range(1, ranges)]
-    found = own.select(
-        F.percentile_approx("doc_id", shares, 10 * ranges).alias("cuts"),
-        F.min("doc_id").alias("least"),
-        F.count_if(F.col("doc_id").isNull()).alias("nulls"),
+    keys = store(own.select("doc_id", "body", F.xxhash64("doc_id", "body").alias("draw")), "keys")
+    known = F.col("doc_id").isNotNull()
+    found = keys.select(
+        F.min(F.struct(known.alias("known"), "doc_id", "body")).alias("least"),
+        F.approx_count_distinct("draw").alias("n"),
     ).first()
-    # The marks are approximate, and of large ids not even ids. The least id from each mark on
-    # is one that occurs: every range starts with its cut.
-    marks = np.array(sorted(set(found.cuts or ())), np.int64)
-    starts = own.select("doc_id").where("doc_id IS NOT NULL").mapInArrow(
-        _least_from(marks), "range int, doc_id bigint"
+    # Ranges are bounded by some of the keys that occur, drawn by hash: about KEYS_A_RANGE for each.
+    every = max(1, found.n // (KEYS_A_RANGE * ranges))
+    drawn = keys.where(F.pmod("draw", F.lit(every)) == 0).select("doc_id", "body").distinct().collect()
+    drawn = sorted(_key(*r) for r in drawn)
+    step = max(1, len(drawn) // ranges)
+    first = _key(*found.least[1:]) if found.least else None
+    kind = id_kind.simpleString()
+    dealt = own.mapInArrow(
+        _deal(drawn[step::step], first),
+        f"range int, ahead boolean, doc_id {kind}, body bigint, n int, text string",
     )
-    starts = starts.groupBy("range").agg(F.min("doc_id").alias("least")).collect()
-    cuts = np.array(sorted(r.least for r in starts)[1:], np.int64)
-    first = None if found.nulls else found.least
-    dealt = own.mapInArrow(_deal(cuts, first), "range int, ahead boolean, doc_id bigint, text string")
     ordered = dealt.repartition(shuffle_partitions(docs), "range").sortWithinPartitions(
-        "range", "ahead", F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")
+        "range", "ahead", F.asc_nulls_first("doc_id"), "body", "text"
     )
-    return ordered.mapInArrow(_compare, _RESULT)
-
-
-_RESULT = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("n_chars", T.LongType()),
-        T.StructField("edited_sha256", T.StringType()),
-        T.StructField("fingerprint", T.StringType()),
-        T.StructField("edited_fingerprint", T.StringType()),
-        T.StructField("near_edited", T.DoubleType()),
-        T.StructField("near_next", T.DoubleType()),
-    ]
-)
+    schema = T.StructType([T.StructField("doc_id", id_kind), *_RESULT])
+    return ordered.mapInArrow(_compare, schema)
 
 
-def _least_from(marks: np.ndarray):
-    """The least id of each range that a batch has, a row per range."""
+_RESULT = (
+    T.StructField("n_chars", T.LongType()),
+    T.StructField("edited_sha256", T.StringType()),
+    T.StructField("fingerprint", T.StringType()),
+    T.StructField("edited_fingerprint", T.StringType()),
+    T.StructField("near_edited", T.DoubleType()),
+    T.StructField("near_next", T.DoubleType()),
+)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = np.sort(batch.column("doc_id").to_numpy())
-            ranges, first = np.unique(np.searchsorted(marks, ids, side="right"), return_index=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ranges, pa.int32()), pa.array(ids[first], pa.int64())], ["range", "doc_id"]
-            )
 
-    return run
+def _key(doc_id: int | str | None, body: int) -> tuple:
+    """Keys in the order of rows: null ids first, then ids, then hashes."""
+    return (False, 0, body) if doc_id is None else (True, doc_id, body)
 
 
-def _deal(cuts: np.ndarray, first: int | None):
-    """Put rows into ranges of ids; the first id of each also goes ahead to the one before."""
-    last = len(cuts)
+def _deal(cuts: list[tuple], first: tuple | None):
+    """Put rows into ranges of keys; the first key of each also goes ahead to the one before,
+    and the first of all to the end of the last. Equal rows of a batch become one."""
+    names = ["range", "ahead", "doc_id", "body", "n", "text"]
+    kinds = [pa.int32(), pa.bool_(), None, pa.int64(), pa.int32()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id")
-            null = ids.is_null().to_numpy(zero_copy_only=False)
-            known = np.where(null, 0, ids.fill_null(0).to_numpy())
-            place = np.where(null, 0, np.searchsorted(cuts, known, side="right"))
-            yield _dealt(batch, place, False)
-            starts = (place > 0) & ~null
-            starts[starts] = known[starts] == cuts[place[starts] - 1]
-            before = np.where(starts, place - 1, -1)
-            yield _dealt_some(batch, before, starts)
-            opens = null if first is None else (known == first) & ~null
-            yield _dealt_some(batch, np.full(len(known), last), opens)
+            numbers: dict[tuple, int] = {}
+            places: dict[tuple, int] = {}
+            rows = zip(
+                batch.column("doc_id").to_pylist(), batch.column("body").to_pylist(),
+                column_bytes(batch, "text"), strict=True,
+            )
+            for i, row in enumerate(rows):
+                places.setdefault(row, i)
+                numbers[row] = numbers.get(row, 0) + 1
+            out = []
+            for (doc_id, body, _), i in places.items():
+                key = _key(doc_id, body)
+                place = bisect_right(cuts, key)
+                out.append((place, False, doc_id, body, i))
+                if place and cuts[place - 1] == key:
+                    out.append((place - 1, True, doc_id, body, i))
+                if key == first:
+                    out.append((len(cuts), True, doc_id, body, i))
+            count = dict(zip(places.values(), numbers.values(), strict=True))
+            columns = [list(c) for c in zip(*out, strict=True)] or [[]] * 5
+            taken = columns.pop()
+            columns.append([count[i] for i in taken])
+            kinds[2] = batch.schema.field("doc_id").type
+            arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            text = batch.column("text").take(pa.array(taken, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*arrays, text], names)
 
     return run
 
 
-def _dealt(batch: pa.RecordBatch, place: np.ndarray, ahead: bool) -> pa.RecordBatch:
-    n = batch.num_rows
-    return pa.RecordBatch.from_arrays(
-        [pa.array(place, pa.int32()), pa.array([ahead] * n, pa.bool_()), *batch.columns],
-        ["range", "ahead", *batch.schema.names],
-    )
-
-
-def _dealt_some(batch: pa.RecordBatch, place: np.ndarray, chosen: np.ndarray) -> pa.RecordBatch:
-    return _dealt(batch.filter(pa.array(chosen)), place[chosen], True)
-
-
 def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come by range, in order; each is given out once the one after it is known."""
     out: list[tuple] = []
     size = 0
     held = None  # range, id, text, digest, or None after a row that only went ahead
+    alone = None  # the result of the held row before a row like it, once it was needed
     for batch in batches:
+        kinds = [batch.schema.field("doc_id").type, *_KINDS]
         for part in text_pieces(batch, "text", _OUT_BYTES):
             texts = [t.decode() for t in column_bytes(part, "text")]
-            rows = zip(
-                part.column("range").to_pylist(), part.column("ahead").to_pylist(),
-                part.column("doc_id").to_pylist(), texts, strict=True,
-            )
-            for place, ahead, doc_id, text in rows:
+            rows = zip(*(part.column(c).to_pylist() for c in ("range", "ahead", "doc_id", "n")), texts, strict=True)
+            for place, ahead, doc_id, n, text in rows:
                 if ahead and held is None:
                     continue
-                digest = fingerprint(text.encode())
+                again = held is not None and held[1:3] == (doc_id, text)
+                digest = held[3] if again else fingerprint(text.encode())
+                if not again:
+                    alone = None
                 if held is not None and held[0] == place:
-                    out.append(_result(held, text, digest))
-                    size += 400
+                    if again:
+                        alone = alone or _result(held, text, digest)
+                    out.append(alone or _result(held, text, digest))
+                    size += _ROW_BYTES
                 held = None if ahead else (place, doc_id, text, digest)
+                if held and n > 1:
+                    alone = alone or _result(held, text, digest)
+                    out += [alone] * (n - 1)
+                    size += _ROW_BYTES * (n - 1)
             if size > _OUT_BYTES:
-                yield _batch(out)
+                yield _batch(out, kinds)
                 out, size = [], 0
     if out:
-        yield _batch(out)
+        yield _batch(out, kinds)
 
 
 def _result(held: tuple, next_text: str, next_digest: str) -> tuple:
@@ -211,7 +224,9 @@ def _result(held: tuple, next_text: str, next_digest: str) -> tuple:
     )
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+_KINDS = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+
+
+def _batch(rows: list[tuple], kinds: list) -> pa.RecordBatch:
     columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, _RESULT.names)
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", *(f.name for f in _RESULT)])
