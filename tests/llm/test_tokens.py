@@ -46,7 +46,30 @@ def test_full_caches_change_nothing(monkeypatch):
         expected = library_ids(text)
         assert np.frombuffer(own.encode_texts([text.encode()])[0], "<u4").tolist() == expected
         assert counter.count([text.encode()]) == [len(expected)]
-    assert len(own._cache) <= 5 and len(own._piece_cache) <= 3 and len(counter._cache) <= 5
+    assert len(counter._cache) <= 5
+    most = max(len(set(t.split())) for t in some_texts(200))
+    assert len(own._words._new) + len(own._words._old) <= 2 * (5 // 2 + most)
+
+
+def test_what_was_met_last_is_kept():
+    made = []
+    recent = bpe.Recent(4)
+
+    def find(keys):
+        made.extend(keys)
+        return [str(k).encode() for k in keys]
+
+    for turn in range(50):
+        table = recent.look_up({"often", turn}, find)
+        assert table["often"] == b"often" and table[turn] == str(turn).encode()
+    assert made.count("often") == 1 and len(recent._new) + len(recent._old) <= 8
+
+
+@pytest.mark.parametrize("texts", [[], [b""], [b" \n", b"", b" a  b\x0b\x0cc\r\n", "\u2028x\x85y\x1cz".encode()]])
+def test_white_space_at_all_places(texts):
+    own = bpe.PairIndexEncoder(PATH)
+    found = [np.frombuffer(x, "<u4").tolist() for x in own.encode_texts(texts)]
+    assert found == [library_ids(t.decode()) for t in texts]
 
 
 @pytest.mark.parametrize("text", ["aaaaa", "aaaaaaaa", "abababab", "thethethe", "…………", "!!!!!!!"])

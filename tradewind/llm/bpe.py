@@ -10,9 +10,10 @@ ASCII white space, which no token spans, so a long text costs no more memory tha
 
 import hashlib
 import heapq
+import itertools
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,16 +24,37 @@ from pyspark.sql import types as T
 
 from tradewind.llm.common import column_bytes, text_pieces
 
-# Words and pieces of words kept from batch to batch, per task; what is met after
-# that is encoded in each batch again.
+# Words and pieces kept from run to run, per task: those met last, and so all frequent ones. Of the
+# words of a run none goes before its end.
 CACHED_WORDS = 100_000
 CACHED_PIECES = 100_000
-BATCH_BYTES = 2 << 20
+RUN_BYTES = 8 << 20
 _SHIFT = 20  # symbol ids are below 2 ** 20
 # Words of printable Latin letters and signs, which normalization leaves as they are but for
 # case, can be cut without the library.
 _PLAIN = re.compile(r"[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]+")
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+|\n")
+_END = b"\xff" * 4  # between the ids of words: no id
+
+
+class Recent:
+    """What was looked up last, by key: two tables, of which the older goes when the other is full."""
+
+    def __init__(self, most: int):
+        self._most = most
+        self._new: dict = {}
+        self._old: dict = {}
+
+    def look_up(self, keys: set, find: Callable[[list], list[bytes]]) -> dict:
+        """A table with all ``keys``; those not in it yet are found together."""
+        if len(self._new) > self._most // 2:
+            self._new, self._old = {}, self._new
+        known, missing = self._new, keys.difference(self._new)
+        again = missing.intersection(self._old)
+        known.update((k, self._old[k]) for k in again)
+        first = list(missing.difference(again))
+        known.update(zip(first, find(first) if first else [], strict=True))
+        return known
 
 
 class PairIndexEncoder:
@@ -70,19 +92,23 @@ class PairIndexEncoder:
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = [b for b in range(256) if b not in printable]
         self._shown = {b: 256 + i for i, b in enumerate(others)}
-        self._cache: dict[bytes, bytes] = {}
-        self._piece_cache: dict[str, bytes] = {}
+        self._words = Recent(CACHED_WORDS)
+        # By the text of plain pieces, and by the signs that stand for the bytes of others.
+        self._plain_pieces, self._shown_pieces = Recent(CACHED_PIECES), Recent(CACHED_PIECES)
 
     def encode_texts(self, texts: list[bytes]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        words = [t.split() for t in texts]
-        cache = self._cache
-        new = list(set().union(*words).difference(cache))
-        cache.update(zip(new, self._encode_words(new), strict=True))
-        encoded = [b"".join(map(cache.__getitem__, w)) for w in words]
-        for word in new[max(0, CACHED_WORDS - len(cache) + len(new)) :]:
-            del cache[word]
-        return encoded
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).cast(pa.large_string()))
+        places = pc.dictionary_encode(split.flatten())
+        words = places.dictionary.to_pylist()
+        known = self._words.look_up(set(words), self._encode_words)
+        # The ids of all words, one after the other: those of a text lie side by side.
+        flat = pa.array([known[w] for w in words], pa.large_binary()).take(places.indices)
+        _, ends, data = flat.buffers()
+        ends = np.frombuffer(ends, np.int64, len(flat) + 1) if len(flat) else np.zeros(1, np.int64)
+        cuts = ends[split.offsets.to_numpy()].tolist()
+        data = memoryview(data or b"")
+        return [data[i:j].tobytes() for i, j in itertools.pairwise(cuts)]
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """Names of the tokens joined by blanks, special tokens included, as UTF-8.
@@ -95,29 +121,41 @@ class PairIndexEncoder:
         joined = pc.binary_join(tokens, pa.scalar(" ", pa.large_string()))
         return joined.cast(pa.large_binary()).to_pylist()
 
-    def _encode_words(self, words: list[bytes]) -> list[bytes]:
-        """A word is cut into special tokens and pieces; only distinct pieces are merged."""
-        cut = [self._pieces(w.decode()) for w in words]
-        ids = self._piece_cache
-        new = list({p for ps in cut for p in ps}.difference(ids, self._special))
-        ids.update(zip(new, self._merge(new), strict=True))
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Plain words are cut all at once, others one by one; only distinct pieces are merged."""
+        is_plain = [_PLAIN.fullmatch(w) is not None and "<|" not in w for w in words]
+        plain = self._encode_plain(list(itertools.compress(words, is_plain)))
+        if all(is_plain):
+            return plain
+        other = self._encode_other([w for w, p in zip(words, is_plain, strict=True) if not p])
+        sources = (iter(other), iter(plain))
+        return [next(sources[p]) for p in is_plain]
+
+    def _encode_plain(self, words: list[str]) -> list[bytes]:
+        if not words:
+            return []
+        pieces = _PIECE.findall("\n".join(words).lower() + "\n")
+        known = self._plain_pieces.look_up(
+            set(pieces) - {"\n"},
+            lambda new: self._merge([p if p.isascii() else self._show(p) for p in new]),
+        )
+        known["\n"] = _END
+        ids = b"".join(map(known.__getitem__, pieces))
+        del known["\n"]
+        ends = np.flatnonzero(np.frombuffer(ids, "<u4") == 0xFFFFFFFF) * 4
+        return [ids[i:j] for i, j in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist(), strict=True)]
+
+    def _show(self, piece: str) -> str:
+        return piece.encode().decode("latin-1").translate(self._shown)
+
+    def _encode_other(self, words: list[str]) -> list[bytes]:
+        cut = [self._pieces(w) for w in words]
         special = self._special
-        encoded = [
-            ids[ps[0]]
-            if len(ps) == 1 and ps[0] in ids
-            else b"".join([special[p] if p in special else ids[p] for p in ps])
-            for ps in cut
-        ]
-        for piece in new[max(0, CACHED_PIECES - len(ids) + len(new)) :]:
-            del ids[piece]
-        return encoded
+        known = self._shown_pieces.look_up({p for ps in cut for p in ps}.difference(special), self._merge)
+        return [b"".join([special[p] if p in special else known[p] for p in ps]) for ps in cut]
 
     def _pieces(self, word: str) -> list[str]:
-        if _PLAIN.fullmatch(word) and "<|" not in word:
-            found = _PIECE.findall(word.lower())
-            if word.isascii():
-                return found
-            return [p.encode().decode("latin-1").translate(self._shown) for p in found]
+        """Special tokens, and pieces in the signs that stand for their bytes."""
         found = []
         for part in self._special_cut.split(word):
             if part in self._special:
@@ -206,7 +244,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, with_ids: bool = Fals
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None  # freed with the task, for the worker lives on and serves other stages
         for batch in batches:
-            for part in text_pieces(batch, "text", BATCH_BYTES):
+            for part in text_pieces(batch, "text", RUN_BYTES):
                 own = own or PairIndexEncoder(tokenizer_path)
                 ids = own.encode_texts(column_bytes(part, "text"))
                 sizes = [len(x) // 4 for x in ids]
