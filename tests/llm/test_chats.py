@@ -60,6 +60,41 @@ def test_blocks_change_nothing(spark, monkeypatch):
     assert len({r[1] for r in whole}) == 60
 
 
+@pytest.mark.parametrize("turn", [None, 5])
+def test_a_crowded_turn_is_cut_into_places(spark, monkeypatch, turn):
+    """Many rows of one turn or none, a third of them equal: as one Viterbi over all, in small places."""
+    monkeypatch.setattr(chats, "BLOCK_TURNS", 8)
+    monkeypatch.setattr(chats, "CROWDED", 40)
+    texts = [f"{'User: ' if k % 3 else 'Well, '}{k} and some more?\nso" for k in range(150)] + ["Assistant: yes"] * 75
+    rows = [(None, turn, None, x) for x in texts] + [(None, t, None, f"User: {t}") for t in range(-3, 12)] + talk(3)
+    df, own = spark.createDataFrame(rows, SCHEMA), model(spark, talk(6))
+    noise = np.random.default_rng(1)  # so that no two paths are equally good
+    own.steps += 0.01 * noise.random(own.steps.shape)
+    own.emit += 0.01 * noise.random(own.emit.shape)
+
+    placed = chats._placed(df.selectExpr(
+        "conv_id IS NOT NULL AS known", "coalesce(string(conv_id), '') AS conv", "coalesce(floor(turn / 8), -1) AS block",
+        "xxhash64(raw) AS tie", "conv_id", "turn", "raw",
+    ))
+    assert placed.count() == len(rows)
+    assert max(n for *_, n in placed.groupBy(*chats._PLACE).count().collect()) <= 40
+
+    ties = {r.raw: r.tie for r in df.selectExpr("raw", "xxhash64(raw) AS tie").distinct().collect()}
+    many = {x for x in texts if texts.count(x) > 8}
+    place = lambda t: -100 if t is None else t
+    alone = sorted((r for r in rows if r[0] is None), key=lambda r: (place(r[1]), r[3] in many, ties[r[3]]))
+    lines = [r[3].split("\n") for r in alone]
+    seen = np.concatenate([chats._seen(x) for x in lines])
+    states = own.decode(seen, chats._STATES, int(own.block(seen)[chats._STATES].argmax()))
+    wanted, start = [], 0
+    for (_, t, _, _), x in zip(alone, lines, strict=True):
+        for k, (state, part) in enumerate(chats._turns(x, states[start : start + len(x)])):
+            wanted.append((place(t), k, chats.ROLES[state % 3], state >= 3, len(part)))
+        start += len(x)
+    found = chats.parse(df, own).where("conv_id IS NULL").collect()
+    assert sorted((place(r.turn), *r[2:6]) for r in found) == sorted(wanted)
+
+
 def test_roles_and_rendering(spark):
     rows = talk(5)
     found = sorted(chats.parse(spark.createDataFrame(rows, SCHEMA), model(spark, rows)).collect())

@@ -7,11 +7,14 @@ likely states of all lines, so a turn without a marker gets its role from its ne
 
 Conversations may be of any length. Blocks of ``BLOCK_TURNS`` turns are summed up as matrices of
 best scores from the state before to the state at the end; per conversation only these are
-scanned to find the states between blocks, and each block is then decoded by itself.
+scanned to find the states between blocks, and each block is then decoded by itself. A block of
+more than ``CROWDED`` rows, where many have one turn number or none, is cut further: by turn, then
+by ranges of a hash of the text, and equal rows are counted and dealt out by their number.
 
 Defined cases: null ids make one conversation, null turns come first, null text is one empty
-line, turns of the same number follow each other in order of their text. An unlabelled turn
-trains nothing. Without any labelled turn all probabilities are even.
+line, turns of the same number follow each other in order of a hash of their text; in a crowded
+block texts with more than ``BLOCK_TURNS`` copies under a turn come after its others. An unlabelled
+turn trains nothing. Without any labelled turn all probabilities are even.
 """
 
 import math
@@ -28,6 +31,7 @@ from tradewind.llm.common import row_key, store
 
 ROLES = ("system", "user", "assistant")
 BLOCK_TURNS = 256
+CROWDED = 8 * BLOCK_TURNS
 # Names under which speakers appear, by role.
 SPEAKERS = {
     "system": ("system", "instructions", "context"),
@@ -170,25 +174,25 @@ def parse(
     """A row per recovered turn, or part of one within an input row: conv_id, turn, segment,
     role, continues (the turn began in an earlier row), n_lines, and the canonical text."""
     id_kind, turn_kind = (transcripts.schema[c].dataType.simpleString() for c in (conv_id, turn))
-    rows = transcripts.select(
-        *[c.alias(n) for c, n in zip(row_key(conv_id), ("known", "conv"), strict=True)],
-        F.coalesce(F.floor(F.col(turn) / BLOCK_TURNS), F.lit(-1)).cast("bigint").alias("block"),
-        F.xxhash64(raw).alias("tie"),
-        F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"),
-        F.coalesce(F.col(raw), F.lit("")).alias("raw"),
+    rows = _placed(
+        transcripts.select(
+            *[c.alias(n) for c, n in zip(row_key(conv_id), ("known", "conv"), strict=True)],
+            F.coalesce(F.floor(F.col(turn) / BLOCK_TURNS), F.lit(-1)).cast("bigint").alias("block"),
+            F.xxhash64(raw).alias("tie"),
+            F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"),
+            F.coalesce(F.col(raw), F.lit("")).alias("raw"),
+        )
     )
-    key = ["known", "conv", "block"]
-    order = [*key, F.asc_nulls_first("turn"), "tie"]
-    block = "known boolean, conv string, block bigint"
-    codes = rows.drop("conv_id").mapInArrow(_see, f"{block}, tie bigint, turn {turn_kind}, seen binary")
-    sums = codes.repartition(*key).sortWithinPartitions(*order).mapInArrow(
-        _sum_blocks(model), f"{block}, best array<double>"
+    order = [*_PLACE, F.asc_nulls_first("turn"), "tie"]
+    codes = rows.drop("conv_id").mapInArrow(_see, f"{_PLACE_KINDS}, tie bigint, turn {turn_kind}, seen binary")
+    sums = codes.repartition(*_PLACE).sortWithinPartitions(*order).mapInArrow(
+        _sum_blocks(model), f"{_PLACE_KINDS}, best array<double>"
     )
-    ends = sums.repartition("known", "conv").sortWithinPartitions(*key).mapInArrow(
-        _scan(model), f"{block}, before int, last int"
+    ends = sums.repartition("known", "conv").sortWithinPartitions(*_PLACE).mapInArrow(
+        _scan(model), f"{_PLACE_KINDS}, before int, last int"
     )
     return (
-        rows.join(store(ends, "ends"), key).repartition(*key).sortWithinPartitions(*order)
+        rows.join(store(ends, "ends"), list(_PLACE)).repartition(*_PLACE).sortWithinPartitions(*order)
         .mapInArrow(
             _render(model),
             f"conv_id {id_kind}, turn {turn_kind}, segment int, role string, continues boolean, "
@@ -197,11 +201,48 @@ def parse(
     )
 
 
+# Where a row stands: its conversation and block, and within a crowded block its turn, whether its
+# text is a frequent one, which, and the range of texts or of copies.
+_PLACE = ("known", "conv", "block", "at", "frequent", "of", "part")
+_PLACE_KINDS = "known boolean, conv string, block bigint, at bigint, frequent boolean, of bigint, part bigint"
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """``rows`` with their place; rows of one place are one task's, a few times ``CROWDED`` at most."""
+    key = ["known", "conv", "block"]
+    crowded = store(rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > CROWDED).drop("n"), "crowded")
+    zero = F.lit(0).cast("bigint")
+    plain = rows.join(crowded, key, "left_anti").select(
+        "*", zero.alias("at"), F.lit(False).alias("frequent"), zero.alias("of"), zero.alias("part")
+    )
+    # Null turns come before all others of their block.
+    at = F.coalesce(F.col("turn").cast("bigint"), F.lit(-(1 << 63)))
+    counted = store(
+        rows.join(crowded, key, "left_semi").groupBy(*rows.columns).agg(F.count("*").alias("n")).withColumn("at", at),
+        "counted",
+    )
+    frequent = F.col("n") > BLOCK_TURNS
+    # Ranges of about a block of rows each, by the hash as a share of all hashes.
+    ranges = counted.where(~frequent).groupBy(*key, "at").agg(F.ceil(F.sum("n") / BLOCK_TURNS).alias("ranges"))
+    share = F.col("tie") / F.lit(2.0**64) + F.lit(0.5)
+    ranged = F.least(F.floor(share * F.col("ranges")), F.col("ranges") - 1)
+    others = counted.where(~frequent).join(store(ranges, "ranges"), [*key, "at"]).select(
+        *rows.columns, "at", F.lit(False).alias("frequent"), zero.alias("of"), ranged.alias("part"), "n"
+    )
+    parts = F.explode(F.expr(f"sequence(0L, (n - 1) div {BLOCK_TURNS})"))
+    copies = counted.where(frequent).select(
+        *rows.columns, "at", F.lit(True).alias("frequent"), F.col("tie").alias("of"), parts.alias("part"), "n"
+    ).withColumn("n", F.least(F.lit(BLOCK_TURNS), F.col("n") - F.col("part") * BLOCK_TURNS))
+    again = F.explode(F.expr("sequence(1L, n)")).alias("copy")
+    dealt = others.unionByName(copies).select("*", again).drop("n", "copy")
+    return plain.unionByName(dealt)
+
+
 def _see(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Feature places of each row's lines, one byte each, instead of its text."""
     for batch in batches:
         seen = [_seen(raw.split("\n")).astype(np.uint8).tobytes() for raw in batch.column("raw").to_pylist()]
-        kept = ["known", "conv", "block", "tie", "turn"]
+        kept = [*_PLACE, "tie", "turn"]
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in kept), pa.array(seen, pa.binary())], [*kept, "seen"]
         )
@@ -222,17 +263,16 @@ def _rows_by(batches: Iterable[pa.RecordBatch], key: tuple[str, ...]) -> Iterato
 
 def _sum_blocks(model: Model):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _rows_by(batches, ("known", "conv", "block")):
+        for rows in _rows_by(batches, _PLACE):
             flat = np.frombuffer(b"".join(r["seen"] for r in rows), np.uint8)
             best = model.block(flat.reshape(-1, len(_SIZES)).astype(np.int64))
-            names = ["known", "conv", "block", "best"]
-            yield _batch([(*(rows[0][c] for c in names[:3]), best.ravel().tolist())], names, _SUM_KINDS)
+            place = [rows[0][c] for c in _PLACE]
+            yield _batch([(*place, best.ravel().tolist())], [*_PLACE, "best"], [*_KINDS, pa.list_(pa.float64())])
 
     return run
 
 
-_KEY_KINDS = [pa.bool_(), pa.string(), pa.int64()]
-_SUM_KINDS = [*_KEY_KINDS, pa.list_(pa.float64())]
+_KINDS = [pa.bool_(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()]
 
 
 def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
@@ -260,10 +300,9 @@ def _scan(model: Model):
             last = int(score.argmax())
             found = []
             for row, way in zip(reversed(rows), reversed(ways), strict=True):
-                found.append((row["known"], row["conv"], row["block"], int(way[last]), last))
+                found.append((*(row[c] for c in _PLACE), int(way[last]), last))
                 last = int(way[last])
-            names = ["known", "conv", "block", "before", "last"]
-            yield _batch(found, names, [*_KEY_KINDS, pa.int32(), pa.int32()])
+            yield _batch(found, [*_PLACE, "before", "last"], [*_KINDS, pa.int32(), pa.int32()])
 
     return run
 
@@ -272,7 +311,7 @@ def _render(model: Model):
     names = ["conv_id", "turn", "segment", "role", "continues", "n_lines", "rendered"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _rows_by(_kinds_seen(batches, kinds := []), ("known", "conv", "block")):
+        for rows in _rows_by(_kinds_seen(batches, kinds := []), _PLACE):
             lines = [row["raw"].split("\n") for row in rows]
             seen = np.concatenate([_seen(x) for x in lines])
             states = model.decode(seen, rows[0]["before"], rows[0]["last"])
