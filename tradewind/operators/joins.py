@@ -9,13 +9,13 @@ def left_join_totals(left: DataFrame, totals: DataFrame, key: str) -> DataFrame:
 
     The grouped side is already partitioned by ``key``, and Spark would join on that as it
     is; adaptive execution then cannot cut a hot partition of ``left``, as it only cuts
-    partitions that come straight from a shuffle. Joining on a hash of the key as well gives
-    both sides a shuffle of their own. It is one more shuffle of (key, total) pairs, so skip
-    it by a plain join where ``key`` is known to be unique in ``left``.
+    partitions that come straight from a shuffle. Joining on one bit of the key's hash as well
+    gives both sides a shuffle of their own, of hardly more bytes. It is one more shuffle of
+    (key, total) pairs, so skip it by a plain join where ``key`` is known to be unique in ``left``.
     """
-    hashed = "_key_hash"
+    bit, of_key = "_key_bit", F.xxhash64(key).bitwiseAND(1)
     return (
-        left.withColumn(hashed, F.xxhash64(key))
-        .join(totals.withColumn(hashed, F.xxhash64(key)), [key, hashed], "left")
-        .drop(hashed)
+        left.withColumn(bit, of_key)
+        .join(totals.withColumn(bit, of_key), [key, bit], "left")
+        .drop(bit)
     )
