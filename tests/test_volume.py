@@ -1,5 +1,7 @@
 """What the stored jobs shuffle and write: rows sent once, dropped early, packed and compressed."""
 
+from pathlib import Path
+
 import pyarrow.parquet as pq
 import pytest
 from marketplace import orders, ts
@@ -112,3 +114,10 @@ def test_stored_tables_are_compressed(spark, tmp_path):
     write_table(spark.range(10), str(tmp_path / "t"))
     file = next((tmp_path / "t").glob("*.parquet"))
     assert pq.ParquetFile(file).metadata.row_group(0).column(0).compression == "ZSTD"
+
+
+def test_csv_files_are_compressed_but_for_those_read_in_ranges(spark, sf_dir):
+    root = Path(queries._ingested(spark, sf_dir).root.removeprefix("file:"))
+    for table, end in (("order_items", ".csv.gz"), ("order_reviews", ".csv")):
+        names = [f.name for f in (root / "csv" / table).glob("part-*")]
+        assert names and all(name.endswith(end) for name in names)

@@ -38,6 +38,7 @@ from tradewind.plans import jobs, kpi, marts
 from tradewind.plans.staging import STAGING, stage
 from tradewind.schemas import (
     MONTH_KEY,
+    MULTILINE_TABLES,
     PARTITION_MONTH,
     PURCHASE_MONTH,
     RAW_COLUMNS,
@@ -63,6 +64,9 @@ MONTH = "1998-07"
 LATER_FROM = "1999-01-01"
 MID_MONTH = "1998-01-15"
 
+# Rows of a compressed CSV file, about 20 MB of order items.
+GZIP_ROWS = 1_000_000
+
 _Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -234,7 +238,10 @@ def _ingested(spark, sf_dir) -> Warehouse:
     warehouse, paths = Warehouse(scratch_dir(spark)), {}
     for table in RAW_COLUMNS:
         paths[table] = f"{warehouse.root}/csv/{table}"
-        _write_csv(_as_text(raw_table(spark, sf_dir, table)), paths[table])
+        # Files whose records may go on over lines are read in ranges, so these stay as they are.
+        # A compressed file is read by one task, so it has a bounded number of rows.
+        codec, rows = ("none", 0) if table in MULTILINE_TABLES else ("gzip", GZIP_ROWS)
+        _write_csv(_as_text(raw_table(spark, sf_dir, table)), paths[table], codec, rows)
     jobs.ingest(spark, paths, warehouse)
     return warehouse
 
@@ -460,8 +467,10 @@ def _as_text(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).cast("string") for c in df.columns])
 
 
-def _write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).option("escape", '"').csv(path)
+def _write_csv(df: DataFrame, path: str, codec: str = "none", file_rows: int = 0) -> None:
+    """``file_rows`` bounds the rows of a file; 0 stands for no bound."""
+    writer = df.write.option("header", True).option("escape", '"')
+    writer.option("maxRecordsPerFile", file_rows).csv(path, compression=codec)
 
 
 def _configured(query: _Query) -> _Query:
