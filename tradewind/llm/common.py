@@ -22,9 +22,16 @@ BATCH_ROWS = 2000
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """The settings of the library, and batches that suit texts."""
+    """The settings of the library, and batches that suit texts.
+
+    Runtime filters stay off. They are sized for joins to some of the orders; here they drop
+    nothing, and a join by several columns would have one of 8 MB for each of them, which every
+    task that computes one holds, and the driver sends with every task that uses them.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return session.configure(spark)
+    session.configure(spark)
+    session.use_filters(spark, False)
+    return spark
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

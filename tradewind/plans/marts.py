@@ -7,6 +7,7 @@ from tradewind.functions.dates import days_between
 from tradewind.functions.money import money_sum
 from tradewind.operators.joins import left_join_totals
 from tradewind.schemas import DELIVERED
+from tradewind.session import use_filters
 
 # A column that only spreads rows over tasks in a clustered write.
 SPREAD = "_spread"
@@ -43,6 +44,7 @@ def fct_seller_revenue(
 
     ``spread`` adds a hash of order and item, which keeps a hot seller apart when it is written.
     """
+    use_filters(items.sparkSession, True)  # the operators on texts turn them off
     wanted = orders.where(F.col("order_status") == delivered).select("order_id")
     return items.join(wanted, "order_id").select(
         "seller_id",

@@ -17,9 +17,12 @@ SETTINGS = {
     "spark.sql.parquet.compression.codec": "zstd",
     # Such files are about 1.4 times smaller than by default: what is broadcast stays as it was.
     "spark.sql.sources.fileCompressionFactor": "1.4",
-    # Joins to some of the orders drop most other rows before these are shuffled. The filter has
-    # 8 MB and lets a sixth of the others through at 18 million orders; much larger selections,
-    # by their estimated size, are joined without one.
+}
+
+# Joins to some of the orders drop most other rows before these are shuffled. The filter has
+# 8 MB and lets a sixth of the others through at 18 million orders; much larger selections,
+# by their estimated size, are joined without one.
+FILTERS = {
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "4m",
     "spark.sql.optimizer.runtime.bloomFilter.creationSideThreshold": "1g",
@@ -32,11 +35,16 @@ SETTINGS = {
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings the jobs rely on; sizes and partition counts stay the cluster's."""
-    for key, value in SETTINGS.items():
+    for key, value in (SETTINGS | FILTERS).items():
         spark.conf.set(key, value)
     return spark
 
 
+def use_filters(spark: SparkSession, on: bool) -> None:
+    """Whether what the session plans next may have runtime filters."""
+    spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.enabled", str(on).lower())
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A fresh folder name below the cluster's shared ``spark.checkpoint.dir``.
 
