@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from documents import EXTRA
 
@@ -202,3 +203,13 @@ def test_letters_of_any_script(spark):
     unknown = max(uf.unigrams(pages).values()) + math.log(10)
     found = sorted(r.token for r in uf._tokens(named, words, unknown).collect())
     assert found == sorted(segmenter.tokens("überaño.example", "/Новостимир/2"))
+
+
+def test_words_are_counted_a_batch_at_a_time(spark, monkeypatch):
+    """Each word is no row of its own, and a task holds a bounded number of different ones."""
+    plan = uf.word_counts(pages(spark, ["a"]))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+    monkeypatch.setattr(uf, "HELD", 2)
+    batches = [pa.record_batch({"html": pa.array(html, pa.string())}) for html in ([None, "a B", "<a>b c"], [], ["c d a"])]
+    found = [dict(zip(*b.to_pydict().values(), strict=True)) for b in uf._count_words(iter(batches))]
+    assert found == [{"a": 1, "b": 2, "c": 1}, {"c": 1, "d": 1, "a": 1}, {}]
